@@ -315,6 +315,135 @@ def a13(spark, sf):
     return DZ.desert_map_summary(m)
 
 
+# ---------------------------------------------------------------------------
+# Geo: nearest facilities (grid join vs brute-force oracle)
+# ---------------------------------------------------------------------------
+
+def _geo_inputs(spark, sf):
+    from caregrid.operators import geo as GEO
+    from caregrid.sources.testdata import nearest_requests
+
+    g = PL.gold(spark, sf)
+    return GEO, nearest_requests(spark, sf), g
+
+
+@register("D8", q(O.CHAIN_GEO, """SELECT facility_id, cap_emergency, cap_icu, cap_maternity, cap_surgery,
+  cap_dialysis, cap_pediatric, cap_general FROM cand"""))
+def d8(spark, sf):
+    GEO, _, g = _geo_inputs(spark, sf)
+    c = GEO.facility_candidates(g)
+    return c.select("facility_id", *[F.col("cap_scores")[n].alias(f"cap_{n}") for n in (
+        "emergency", "icu", "maternity", "surgery", "dialysis", "pediatric", "general")])
+
+
+@register("D10", q(O.CHAIN_GEO, "SELECT facility_id, matched_capabilities FROM cand"))
+def d10(spark, sf):
+    GEO, _, g = _geo_inputs(spark, sf)
+    return GEO.facility_candidates(g).select(
+        "facility_id", F.array_join("matched_capabilities", "; ").alias("matched_capabilities"))
+
+
+_PAIRS_SQL = f"""
+allpairs AS (
+  SELECT r.request_id, c.facility_id, r.radius_km,
+    {O.rd(O.hav_sql('r.lat', 'r.lon', 'c.latitude', 'c.longitude'), 2)} AS distance_km
+  FROM req r, cand c
+)"""
+
+
+@register("J10", q(O.CHAIN_GEO + (_PAIRS_SQL,),
+                   "SELECT request_id, facility_id, distance_km FROM allpairs WHERE distance_km <= radius_km"))
+def j10(spark, sf):
+    GEO, req, g = _geo_inputs(spark, sf)
+    pairs = GEO.candidate_pairs(req, GEO.facility_candidates(g))
+    return pairs.select("request_id", "facility_id", "distance_km")
+
+
+@register("D7", q(O.CHAIN_GEO + (_PAIRS_SQL,), """SELECT request_id, count(*)::BIGINT AS n_in_radius,
+  min(distance_km) AS nearest_km, max(distance_km) AS farthest_km
+FROM allpairs WHERE distance_km <= radius_km GROUP BY request_id"""))
+def d7(spark, sf):
+    GEO, req, g = _geo_inputs(spark, sf)
+    pairs = GEO.candidate_pairs(req, GEO.facility_candidates(g))
+    return pairs.groupBy("request_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_in_radius"),
+        F.min("distance_km").alias("nearest_km"), F.max("distance_km").alias("farthest_km"))
+
+
+@register("F5", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"),),
+                  "SELECT request_id, count(*)::BIGINT AS n_candidates FROM rk_scored GROUP BY request_id"))
+def f5(spark, sf):
+    GEO, req, g = _geo_inputs(spark, sf)
+    fac = GEO.facility_candidates(g)
+    pairs = GEO.candidate_pairs(req, fac).where(
+        (~F.col("functional_only") | F.col("_func_l").isin("functional", ""))
+        & ((F.col("min_trust_score") <= 0) | (F.col("trust_score") >= F.col("min_trust_score"))))
+    return pairs.groupBy("request_id").agg(F.count(F.lit(1)).cast("long").alias("n_candidates"))
+
+
+@register("D9", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"),),
+                  "SELECT request_id, facility_id, distance_km, cap_score, composite_score FROM rk_scored"))
+def d9(spark, sf):
+    from caregrid.config import DEFAULT as P_
+
+    GEO, req, g = _geo_inputs(spark, sf)
+    fac = GEO.facility_candidates(g)
+    pairs = GEO.candidate_pairs(req, fac).where(
+        (~F.col("functional_only") | F.col("_func_l").isin("functional", ""))
+        & ((F.col("min_trust_score") <= 0) | (F.col("trust_score") >= F.col("min_trust_score"))))
+    cap = GEO._need_score(F.col("need_type"))
+    comp = rnd(F.lit(P_.w_dist) * F.exp(-F.col("distance_km") / F.lit(P_.decay_km))
+               + F.lit(P_.w_trust) * F.coalesce("trust_score", F.lit(0.0)) + F.lit(P_.w_cap) * cap, 4)
+    return pairs.select("request_id", "facility_id", "distance_km", cap.alias("cap_score"), comp.alias("composite_score"))
+
+
+_D11_COLS = """request_id, rank, facility_id, facility_name, composite_score, distance_km, estimated_travel_min,
+  trust_score, trust_grade, cap_score, matched_capabilities"""
+
+
+def _d11_select(df):
+    return df.select("request_id", "rank", "facility_id", "facility_name", "composite_score", "distance_km",
+                     "estimated_travel_min", "trust_score", "trust_grade", "cap_score",
+                     F.array_join("matched_capabilities", "; ").alias("matched_capabilities"))
+
+
+@register("D11", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"),), f"SELECT {_D11_COLS} FROM rk"))
+def d11(spark, sf):
+    GEO, req, g = _geo_inputs(spark, sf)
+    return _d11_select(GEO.rank_nearest(req, g))
+
+
+@register("W1", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"),), "SELECT request_id, rank, facility_id FROM rk"))
+def w1(spark, sf):
+    GEO, req, g = _geo_inputs(spark, sf)
+    return GEO.rank_nearest(req, g).select("request_id", "rank", "facility_id")
+
+
+_RETRY_SQL = f"""
+missing AS (SELECT * FROM req WHERE request_id NOT IN (SELECT request_id FROM rk)),
+req2 AS (
+  SELECT request_id, lat, lon, 'general' AS need_type, top_k, radius_km * {O.dbl(2)} AS radius_km,
+    {O.dbl(0.0)} AS min_trust_score, false AS functional_only
+  FROM missing
+)"""
+
+
+@register("D12", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"), _RETRY_SQL, O.ranked_sql("req2", "rk2")), f"""
+SELECT *, CAST(count(*) OVER (PARTITION BY request_id) AS INTEGER) AS total_found FROM (
+  SELECT request_id, rank, facility_id, composite_score, distance_km, false AS fallback_used, '' AS message FROM rk
+  UNION ALL
+  SELECT k.request_id, k.rank, k.facility_id, k.composite_score, k.distance_km, true AS fallback_used,
+    'No ' || m.need_type || ' specialists found within ' || printf('%.0f', m.radius_km)
+      || ' km. Showing nearest general facilities instead.' AS message
+  FROM rk2 k JOIN missing m ON k.request_id = m.request_id
+)"""))
+def d12(spark, sf):
+    GEO, req, g = _geo_inputs(spark, sf)
+    out = GEO.nearest_with_fallback(req, g)
+    return out.select("request_id", "rank", "facility_id", "composite_score", "distance_km",
+                      "fallback_used", "message", "total_found")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

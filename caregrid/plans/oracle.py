@@ -402,3 +402,108 @@ CHAIN_REGISTRY = (RAW, LOADED)
 CHAIN_BRONZE = (RAW, LOADED, BRONZE)
 CHAIN_GOLD = (RAW, LOADED, BRONZE, EXTRACT, RULES, GOLD)
 CHAIN_DESERTS = CHAIN_GOLD + (DESERTS,)
+
+
+# ---------------------------------------------------------------------------
+# Geo (brute force: every request x every facility, exact filter)
+# ---------------------------------------------------------------------------
+
+def _cap_sql() -> str:
+    def add(*terms):
+        return "(" + dbl(0.0) + "".join(f" + {t}" for t in terms) + ")"
+
+    def iff(cond, v):
+        return f"(CASE WHEN coalesce({cond}, false) THEN {dbl(v)} ELSE {dbl(0.0)} END)"
+
+    def clamp(x):
+        return rd(f"least({dbl(1.0)}, greatest({dbl(0.0)}, {x}))", 3)
+
+    spec = lambda needles: ("(len(list_filter(specialties_list, lambda s: "
+                            + " OR ".join(f"contains(lower(s), '{n}')" for n in needles) + ")) > 0)")
+    return ",\n    ".join([
+        clamp(add(iff(f"em_care IN {P}", 0.5), iff("em_24_7", 0.3), iff(f"ambulance IN {P}", 0.2))) + " AS cap_emergency",
+        clamp(add(f"(CASE WHEN icu_present = 'confirmed' THEN {dbl(0.6)} WHEN icu_present = 'claimed' THEN {dbl(0.35)} ELSE {dbl(0.0)} END)",
+                  iff("icu_functional = 'functional'", 0.3), iff("icu_beds > 0", 0.1))) + " AS cap_icu",
+        clamp(add(iff(f"sg_caes IN {P}", 0.6), iff(f"em_care IN {P}", 0.2), iff(spec(("mat", "obstet", "gyn")), 0.2))) + " AS cap_maternity",
+        clamp(add(iff(f"sg_general IN {P}", 0.5), iff(f"anest IN {RS}", 0.3), iff(f"surgeon IN {RS}", 0.2))) + " AS cap_surgery",
+        clamp(add(f"(CASE WHEN dial_present = 'confirmed' THEN {dbl(0.7)} WHEN dial_present = 'claimed' THEN {dbl(0.4)} ELSE {dbl(0.0)} END)",
+                  iff("dial_machines > 0", 0.3))) + " AS cap_dialysis",
+        clamp(add(iff(spec(("paed", "pedi", "child")), 0.7), iff(f"icu_neonatal IN {P}", 0.3))) + " AS cap_pediatric",
+        clamp(add(iff(f"em_care IN {P}", 0.5), iff(f"gp IN {RS}", 0.5))) + " AS cap_general",
+    ])
+
+
+CANDIDATES = f"""
+cand AS (
+  SELECT facility_id, name, latitude, longitude, trust_score, facility_type, category, functional_status,
+    coalesce(lower(functional_status), '') AS func_l,
+    {_cap_sql()},
+    array_to_string((list_filter([
+        CASE WHEN em_care IN {P} THEN 'Emergency Care' END,
+        CASE WHEN em_24_7 THEN '24/7 Service' END,
+        CASE WHEN ambulance IN {P} THEN 'Ambulance' END,
+        CASE WHEN icu_present IN {P} THEN 'ICU (' || CASE WHEN coalesce(icu_beds, 0) <> 0 THEN CAST(icu_beds AS VARCHAR) ELSE '?' END || ' beds)' END,
+        CASE WHEN sg_general IN {P} THEN 'Surgery' END,
+        CASE WHEN sg_caes IN {P} THEN 'Maternity / C-Section' END,
+        CASE WHEN dial_present IN {P} THEN 'Dialysis' END,
+        CASE WHEN anest IN {RS} THEN 'Anesthesiologist on staff' END], lambda x: x IS NOT NULL)
+      || specialties_list[1:3])[1:6], '; ') AS matched_capabilities
+  FROM gold WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+)"""
+
+REQUESTS = f"""
+req AS (
+  SELECT event_id AS request_id,
+    {dbl(4.0)} + CAST((event_id * 7907) % 10000 AS DOUBLE) / {dbl(1000.0)} AS lat,
+    {dbl(3.0)} + CAST((event_id * 10459) % 11000 AS DOUBLE) / {dbl(1000.0)} AS lon,
+    CASE event_id % 7 WHEN 0 THEN 'emergency' WHEN 1 THEN 'icu' WHEN 2 THEN 'maternity' WHEN 3 THEN 'surgery'
+         WHEN 4 THEN 'dialysis' WHEN 5 THEN 'pediatric' ELSE 'general' END AS need_type,
+    5 AS top_k,
+    {dbl(10.0)} + CAST(event_id % 3 AS DOUBLE) * {dbl(20.0)} AS radius_km,
+    CASE WHEN event_id % 5 = 0 THEN {dbl(0.5)} ELSE {dbl(0.0)} END AS min_trust_score,
+    (event_id % 4 = 0) AS functional_only
+  FROM events
+)"""
+
+
+def hav_sql(lat1, lon1, lat2, lon2) -> str:
+    a = (f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+         f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)")
+    return f"{dbl(12742.0)} * asin(sqrt(least({dbl(1.0)}, {a})))"
+
+
+def ranked_sql(req_cte: str, name: str) -> str:
+    """CTEs '<name>_pairs', '<name>_scored', '<name>_all' and '<name>' (top_k per request)."""
+    return f"""
+{name}_pairs AS (
+  SELECT r.request_id, r.need_type, r.top_k, r.radius_km, c.*,
+    {rd(hav_sql('r.lat', 'r.lon', 'c.latitude', 'c.longitude'), 2)} AS distance_km
+  FROM {req_cte} r, cand c
+  WHERE (NOT r.functional_only OR c.func_l IN ('functional', ''))
+    AND (r.min_trust_score <= 0 OR c.trust_score >= r.min_trust_score)
+),
+{name}_scored AS (
+  SELECT *,
+    {rd(f"{dbl(0.35)} * exp(-distance_km / {dbl(15.0)}) + {dbl(0.35)} * coalesce(trust_score, 0.0) + {dbl(0.30)} * cap_score", 4)} AS composite_score
+  FROM (
+    SELECT *,
+      CASE need_type WHEN 'emergency' THEN cap_emergency WHEN 'icu' THEN cap_icu WHEN 'maternity' THEN cap_maternity
+        WHEN 'surgery' THEN cap_surgery WHEN 'dialysis' THEN cap_dialysis WHEN 'pediatric' THEN cap_pediatric
+        ELSE cap_general END AS cap_score
+    FROM {name}_pairs WHERE distance_km <= radius_km
+  )
+),
+{name}_all AS (
+  SELECT request_id, facility_id, coalesce(nullif(name, ''), facility_id) AS facility_name, composite_score,
+    distance_km, CAST({rd(f'distance_km / {dbl(30.0)} * {dbl(60.0)}', 0)} AS INTEGER) AS estimated_travel_min,
+    coalesce(trust_score, 0.0) AS trust_score,
+    CASE WHEN trust_score >= 0.85 THEN 'A' WHEN trust_score >= 0.70 THEN 'B' WHEN trust_score >= 0.55 THEN 'C'
+         WHEN trust_score >= 0.40 THEN 'D' ELSE 'F' END AS trust_grade,
+    cap_score, matched_capabilities, top_k,
+    CAST(row_number() OVER (PARTITION BY request_id ORDER BY composite_score DESC, facility_id) AS INTEGER) AS rank
+  FROM {name}_scored
+),
+{name} AS (SELECT * FROM {name}_all WHERE rank <= top_k)"""
+
+
+CHAIN_GEO = CHAIN_GOLD + (CANDIDATES, REQUESTS)

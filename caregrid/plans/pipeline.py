@@ -18,19 +18,43 @@ from caregrid.sources.testdata import national_raw
 
 CARRIED = ("category", "functional_status", "accessibility_note", "src_key")
 
+_STAGES: dict = {}
 
+
+def _memo(name: str):
+    """Reuse a stage's DataFrame (the plan, not data) per session and input folder,
+    so queries sharing a stage do not rebuild its expression trees on the driver."""
+
+    def deco(fn):
+        def wrapper(spark: SparkSession, sf_dir: str, *args):
+            key = (name, id(spark), spark.sparkContext.applicationId, sf_dir, args)
+            if key not in _STAGES:
+                _STAGES[key] = fn(spark, sf_dir, *args)
+            return _STAGES[key]
+
+        wrapper.__name__ = fn.__name__
+        wrapper.__doc__ = fn.__doc__
+        return wrapper
+
+    return deco
+
+
+@_memo("registry")
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """National loader output (the facilities file handed to ingest)."""
     return load_national(national_raw(spark, sf_dir))
 
 
+@_memo("bronze")
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(registry(spark, sf_dir), order_col="src_ord", carry=CARRIED)
 
 
+@_memo("gold")
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heuristic_gold(bronze(spark, sf_dir))
 
 
+@_memo("deserts")
 def desert_table(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFrame:
     return deserts(gold(spark, sf_dir), params)
