@@ -444,6 +444,56 @@ def d12(spark, sf):
                       "fallback_used", "message", "total_found")
 
 
+# ---------------------------------------------------------------------------
+# Vector search
+# ---------------------------------------------------------------------------
+
+def _vector_inputs(spark, sf):
+    from caregrid.operators import vector as VX
+    from caregrid.sources.testdata import read_table, vector_queries
+
+    vt = VX.vector_table(PL.gold(spark, sf), read_table(spark, sf, "embeddings"), dim=64)
+    return VX, vector_queries(spark, sf), vt
+
+
+@register("V3", q(O.CHAIN_VECTOR, """SELECT facility_id, CAST(len(emb) AS INTEGER) AS embedding_dim,
+  {0} AS embedding_norm FROM vt""".format(O.rd("sqrt(list_dot_product(emb, emb))", 6))))
+def v3(spark, sf):
+    VX, _, vt = _vector_inputs(spark, sf)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return vt.select("facility_id", "embedding_dim", rnd(norm, 6).alias("embedding_norm"))
+
+
+@register("V2", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), "SELECT * FROM hits"))
+def v2(spark, sf):
+    VX, qs, vt = _vector_inputs(spark, sf)
+    return VX.search(qs, vt, top_k=5, mode="postfilter")
+
+
+@register("W3", q(O.CHAIN_VECTOR, """SELECT query_id, facility_id, similarity,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, facility_id) AS INTEGER) AS retrieval_rank
+FROM sims_ok QUALIFY retrieval_rank <= 5"""))
+def w3(spark, sf):
+    VX, qs, vt = _vector_inputs(spark, sf)
+    return VX.search(qs, vt, top_k=5, mode="prefilter")
+
+
+@register("J11", q(O.CHAIN_VECTOR, """SELECT query_id, facility_id, similarity, CAST(sim_rank AS INTEGER) AS retrieval_rank
+FROM sims_ranked WHERE sim_rank <= least((SELECT count(*) FROM vt), 20)"""))
+def j11(spark, sf):
+    VX, qs, vt = _vector_inputs(spark, sf)
+    unfiltered = qs.select("query_id", "query_vec", *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("state", "string"), ("city", "string"), ("facility_type", "string"), ("min_trust_score", "double"))])
+    return VX.search(unfiltered, vt, top_k=20, mode="prefilter")
+
+
+@register("V2B", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), "SELECT * FROM hits"))
+def v2_blocked(spark, sf):
+    """V2 through the blocked cogroup path (the plan used above the broadcast bound)."""
+    VX, qs, vt = _vector_inputs(spark, sf)
+    return VX.search(qs, vt, top_k=5, mode="postfilter", force_blocked=True)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

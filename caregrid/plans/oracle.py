@@ -507,3 +507,61 @@ def ranked_sql(req_cte: str, name: str) -> str:
 
 
 CHAIN_GEO = CHAIN_GOLD + (CANDIDATES, REQUESTS)
+
+
+# ---------------------------------------------------------------------------
+# Vector search (brute force over every query x corpus pair)
+# ---------------------------------------------------------------------------
+
+VECTORS = f"""
+vt AS (
+  SELECT g.facility_id, g.name, g.address_state, g.address_city, g.address_zip, g.facility_type, g.trust_score,
+    CAST(e.embedding AS DOUBLE[]) AS emb
+  FROM gold g JOIN embeddings e ON g.src_key = e.vec_id
+),
+vq AS (
+  SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS qv,
+    CASE label % 8 WHEN 0 THEN 'Need an ICU bed with ventilator support'
+      WHEN 1 THEN 'emergency c-section for my wife' WHEN 2 THEN 'kidney dialysis centre near me'
+      WHEN 3 THEN '24/7 casualty for a road accident' WHEN 4 THEN 'child fever, looking for a paediatric doctor'
+      WHEN 5 THEN 'dental clinic for tooth pain' WHEN 6 THEN 'heart surgery hospital'
+      ELSE 'general checkup' END AS query,
+    CASE WHEN label < 2 THEN CASE vec_id % 5 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA'
+      WHEN 3 THEN 'EUROPE' WHEN 4 THEN 'MIDDLE EAST' END END AS state,
+    CAST(NULL AS VARCHAR) AS city,
+    CASE WHEN label = 9 THEN 'hospital' END AS facility_type,
+    CASE WHEN label = 3 THEN {dbl(0.0)} END AS min_trust_score
+  FROM embeddings
+),
+sims AS (
+  SELECT q.query_id, q.state AS q_state, q.city AS q_city, q.facility_type AS q_type, q.min_trust_score AS q_min,
+    v.facility_id, v.address_state, v.address_city, v.facility_type, v.trust_score,
+    {rd('list_dot_product(q.qv, v.emb)', 6)} AS similarity
+  FROM vq q, vt v
+),
+sims_ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, facility_id) AS sim_rank FROM sims
+),
+sims_ok AS (
+  SELECT * FROM sims_ranked
+  WHERE (q_state IS NULL OR lower(coalesce(address_state, '')) = lower(q_state))
+    AND (q_city IS NULL OR lower(coalesce(address_city, '')) = lower(q_city))
+    AND (q_type IS NULL OR lower(coalesce(facility_type, '')) = lower(q_type))
+    AND (q_min IS NULL OR coalesce(trust_score, 0.0) >= q_min)
+)"""
+
+
+def postfilter_sql(k: int, name: str = "hits", min_default: str | None = None) -> str:
+    """Over-fetch min(N, 4k) by similarity, filter, first k (retrieval_rank)."""
+    extra = "" if min_default is None else f" AND coalesce(trust_score, 0.0) >= coalesce(q_min, {min_default})"
+    return f"""
+{name} AS (
+  SELECT query_id, facility_id, similarity,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim_rank) AS INTEGER) AS retrieval_rank
+  FROM sims_ok
+  WHERE sim_rank <= least((SELECT count(*) FROM vt), {4 * k}){extra}
+  QUALIFY retrieval_rank <= {k}
+)"""
+
+
+CHAIN_VECTOR = CHAIN_GOLD + (VECTORS,)
