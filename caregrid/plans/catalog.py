@@ -494,6 +494,114 @@ def v2_blocked(spark, sf):
     return VX.search(qs, vt, top_k=5, mode="postfilter", force_blocked=True)
 
 
+# ---------------------------------------------------------------------------
+# Intents, ranking, query pipeline
+# ---------------------------------------------------------------------------
+
+@register("X10", f"SELECT doc_id, array_to_string({O.intents_sql('text')}, ',') AS intents FROM documents")
+def x10(spark, sf):
+    from caregrid.functions.text import query_intents
+    from caregrid.sources.testdata import read_table
+
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", F.array_join(query_intents("text"), ",").alias("intents"))
+
+
+@register("X17", """SELECT conv_id, turn,
+  CASE WHEN contains(lower(coalesce(text, '')), 'icu') THEN 'icu'
+       WHEN contains(lower(coalesce(text, '')), 'maternity') OR contains(lower(coalesce(text, '')), 'baby')
+            OR contains(lower(coalesce(text, '')), 'birth') THEN 'maternity'
+       WHEN contains(lower(coalesce(text, '')), 'surgery') OR contains(lower(coalesce(text, '')), 'operation') THEN 'surgery'
+       WHEN contains(lower(coalesce(text, '')), 'dialysis') OR contains(lower(coalesce(text, '')), 'kidney') THEN 'dialysis'
+       WHEN contains(lower(coalesce(text, '')), 'emergency') OR contains(lower(coalesce(text, '')), 'help') THEN 'emergency'
+  END AS need_type
+FROM conversations""")
+def x17(spark, sf):
+    from caregrid.functions.text import need_from_text
+    from caregrid.sources.testdata import read_table
+
+    c = read_table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", need_from_text("text").alias("need_type"))
+
+
+def _ranked(spark, sf):
+    from caregrid.operators import rank as RK
+
+    VX, qs, vt = _vector_inputs(spark, sf)
+    return RK.query_facilities(qs, vt, PL.gold(spark, sf))
+
+
+_RANK_COLS = """query_id, rank, facility_id, facility_name, suitability_score, reasoning,
+  matched_capabilities, warnings"""
+
+
+def _rank_select(df):
+    return df.select("query_id", "rank", "facility_id", "facility_name", "suitability_score", "reasoning",
+                     F.array_join("matched_capabilities", ",").alias("matched_capabilities"),
+                     F.array_join("warnings", "; ").alias("warnings"))
+
+
+@register("D14", q(O.CHAIN_RANK, f"SELECT {_RANK_COLS} FROM ranked"))
+def d14(spark, sf):
+    return _rank_select(_ranked(spark, sf)[0])
+
+
+@register("D13", q(O.CHAIN_RANK, "SELECT query_id, facility_id, matched_capabilities FROM ranked_all"))
+def d13(spark, sf):
+    from caregrid.operators import rank as RK
+
+    VX, qs, vt = _vector_inputs(spark, sf)
+    qs = qs.withColumn("min_trust_score", F.coalesce("min_trust_score", F.lit(0.4)))
+    hits = VX.search(qs, vt, top_k=20, mode="postfilter")
+    valid = RK.revalidate(hits, qs, PL.gold(spark, sf))
+    intents = qs.select("query_id", __import__("caregrid.functions.text", fromlist=["x"]).query_intents("query").alias("intents"))
+    ex = F.col("extraction")
+    out = valid.join(intents, "query_id").select(
+        "query_id", "facility_id", F.filter("intents", lambda i: RK.intent_matched(i, ex)).alias("m"))
+    return out.select("query_id", "facility_id", F.array_join("m", ",").alias("matched_capabilities"))
+
+
+@register("J5", q(O.CHAIN_RANK, "SELECT query_id, facility_id, retrieval_rank FROM rcands"))
+def j5(spark, sf):
+    from caregrid.operators import rank as RK
+
+    VX, qs, vt = _vector_inputs(spark, sf)
+    qs = qs.withColumn("min_trust_score", F.coalesce("min_trust_score", F.lit(0.4)))
+    hits = VX.search(qs, vt, top_k=20, mode="postfilter")
+    return RK.revalidate(hits, qs, PL.gold(spark, sf)).select("query_id", "facility_id", "retrieval_rank")
+
+
+@register("D15", q(O.CHAIN_RANK, f"""SELECT {_RANK_COLS}, address_city AS meta_city, address_state AS meta_state,
+  CASE WHEN trust_score >= 0.85 THEN 'A' WHEN trust_score >= 0.70 THEN 'B' WHEN trust_score >= 0.55 THEN 'C'
+       WHEN trust_score >= 0.40 THEN 'D' ELSE 'F' END AS meta_trust_grade FROM ranked"""))
+def d15(spark, sf):
+    r = _ranked(spark, sf)[0]
+    return _rank_select(r.select("*", F.col("facility_meta.city").alias("meta_city"),
+                                 F.col("facility_meta.state").alias("meta_state"),
+                                 F.col("facility_meta.trust_grade").alias("meta_trust_grade"))).join(
+        r.select("query_id", "facility_id", F.col("facility_meta.city").alias("meta_city"),
+                 F.col("facility_meta.state").alias("meta_state"),
+                 F.col("facility_meta.trust_grade").alias("meta_trust_grade")), ["query_id", "facility_id"])
+
+
+@register("J6", q(O.CHAIN_RANK, """SELECT query_id, facility_id, address_city AS city, address_state AS state,
+  trust_score FROM ranked"""))
+def j6(spark, sf):
+    r = _ranked(spark, sf)[0]
+    return r.select("query_id", "facility_id", F.col("facility_meta.city").alias("city"),
+                    F.col("facility_meta.state").alias("state"), F.col("facility_meta.trust_score").alias("trust_score"))
+
+
+@register("A17", q(O.CHAIN_RANK, """SELECT vq.query_id, coalesce(h.n, 0)::BIGINT AS candidates_retrieved,
+  coalesce(c.n, 0)::BIGINT AS candidates_after_filter, r.top AS top_suitability
+FROM vq LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY 1) h ON vq.query_id = h.query_id
+LEFT JOIN (SELECT query_id, count(*) AS n FROM rcands GROUP BY 1) c ON vq.query_id = c.query_id
+LEFT JOIN (SELECT query_id, max(suitability_score) AS top FROM ranked GROUP BY 1) r ON vq.query_id = r.query_id"""))
+def a17(spark, sf):
+    stats = _ranked(spark, sf)[1]
+    return stats.select("query_id", "candidates_retrieved", "candidates_after_filter", "top_suitability")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

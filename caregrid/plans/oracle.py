@@ -565,3 +565,113 @@ def postfilter_sql(k: int, name: str = "hits", min_default: str | None = None) -
 
 
 CHAIN_VECTOR = CHAIN_GOLD + (VECTORS,)
+
+
+# ---------------------------------------------------------------------------
+# Intents and the deterministic ranker
+# ---------------------------------------------------------------------------
+
+INTENT_KEYWORDS_SQL = (
+    ("icu", ("icu", "intensive care", "critical care")),
+    ("ventilator", ("ventilator", "vent")),
+    ("dialysis", ("dialysis", "kidney", "renal")),
+    ("emergency", ("emergency", "casualty", "er ", "24/7", "24x7", "24*7", "trauma")),
+    ("trauma", ("trauma", "accident")),
+    ("surgery", ("surgery", "surgical", "operation", "ot ", "operation theatre")),
+    ("ambulance", ("ambulance", "108", "102")),
+    ("maternity", ("maternity", "obstetric", "delivery", "labour", "labor", "caesarean", "c-section")),
+    ("pharmacy", ("pharmacy", "chemist", "medicine")),
+    ("cardiac", ("cardiac", "cardiology", "heart")),
+    ("orthopedic", ("ortho", "bone", "fracture")),
+    ("neonatal", ("neonatal", "newborn", "nicu", "baby")),
+    ("dentist", ("dentist", "dental", "tooth")),
+)
+
+
+def intents_sql(text: str) -> str:
+    t = f"lower(coalesce({text}, ''))"
+    items = []
+    for tag, kws in INTENT_KEYWORDS_SQL:
+        cond = " OR ".join(f"contains({t}, '{k}')" for k in kws)
+        items.append(f"CASE WHEN {cond} THEN '{tag}' END")
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def _pres(c: str) -> str:
+    return f"coalesce(lower({c}) IN {P}, false)"
+
+
+MATCHED_SQL = f"""CASE i
+  WHEN 'icu' THEN {_pres('icu_present')}
+  WHEN 'ventilator' THEN {_pres('vent_present')}
+  WHEN 'dialysis' THEN {_pres('dial_present')}
+  WHEN 'emergency' THEN {_pres('em_care')}
+  WHEN 'trauma' THEN {_pres('trauma')}
+  WHEN 'surgery' THEN ({_pres('sg_general')} OR {_pres('sg_append')} OR {_pres('sg_caes')} OR {_pres('sg_ortho')} OR {_pres('sg_cardiac')})
+  WHEN 'ambulance' THEN {_pres('ambulance')}
+  ELSE (i IN ('maternity','cardiac','orthopedic','neonatal','dentist','pharmacy') AND (
+        len(list_filter(specialties_list, lambda s: contains(lower(s), i))) > 0
+        OR (i = 'neonatal' AND {_pres('icu_neonatal')})
+        OR (i = 'cardiac' AND {_pres('sg_cardiac')})))
+END"""
+
+EVIDENCE_SQL = f"""CASE
+  WHEN i = 'icu' THEN 'ICU available' || CASE WHEN coalesce(icu_beds, 0) <> 0 THEN ' (' || CAST(icu_beds AS VARCHAR) || ' beds)' ELSE '' END
+  WHEN i = 'ventilator' THEN 'Ventilator' || CASE WHEN coalesce(vent_count, 0) <> 1 THEN 's' ELSE '' END || ' on site'
+       || CASE WHEN coalesce(vent_count, 0) <> 0 THEN ' (n=' || CAST(vent_count AS VARCHAR) || ')' ELSE '' END
+  WHEN i = 'dialysis' THEN 'Dialysis service' || CASE WHEN coalesce(dial_machines, 0) <> 0 THEN ' (' || CAST(dial_machines AS VARCHAR) || ' machines)' ELSE '' END
+  WHEN i = 'emergency' THEN CASE WHEN coalesce(em_24_7, false) THEN '24/7 emergency care' ELSE 'Emergency care available' END
+  WHEN i = 'trauma' THEN 'Trauma capability'
+  WHEN i = 'surgery' THEN CASE WHEN {_pres('sg_general')} THEN 'Surgery: general surgery'
+       WHEN {_pres('sg_append')} THEN 'Surgery: appendectomy' WHEN {_pres('sg_caes')} THEN 'Surgery: caesarean'
+       WHEN {_pres('sg_ortho')} THEN 'Surgery: orthopedic' WHEN {_pres('sg_cardiac')} THEN 'Surgery: cardiac' ELSE '' END
+  WHEN i = 'ambulance' THEN 'Ambulance service'
+  WHEN len(list_filter(specialties_list, lambda s: contains(lower(s), i))) > 0 THEN 'Listed specialty: ' || i
+  WHEN i = 'neonatal' THEN 'Neonatal ICU'
+  WHEN i = 'cardiac' THEN 'Cardiac surgery available'
+  ELSE '' END"""
+
+
+def fmt2(x: str) -> str:
+    return f"printf('%.2f', {rd(x, 2)})"
+
+
+RANKER = f"""
+qint AS (SELECT query_id, min_trust_score, {intents_sql('query')} AS intents FROM vq),
+rcands AS (
+  SELECT h.query_id, h.facility_id, h.similarity, h.retrieval_rank, qi.intents, g.*
+    EXCLUDE (facility_id)
+  FROM hits h JOIN gold g ON h.facility_id = g.facility_id JOIN qint qi ON h.query_id = qi.query_id
+  WHERE g.trust_score >= coalesce(qi.min_trust_score, {dbl(0.4)})
+),
+rm0 AS (SELECT *, list_filter(intents, lambda i: {MATCHED_SQL}) AS matched FROM rcands),
+rm1 AS (
+  SELECT *,
+    list_filter(list_transform(matched, lambda i: {EVIDENCE_SQL}), lambda e: e <> '') AS evidence,
+    least({dbl(1.0)}, greatest({dbl(0.0)}, similarity)) AS sim,
+    {rd('coalesce(trust_score, 0.0)', 3)} AS trust,
+    CASE WHEN len(intents) > 0 THEN CAST(len(matched) AS DOUBLE) / CAST(len(intents) AS DOUBLE) ELSE {dbl(0.5)} END AS cov
+  FROM rm0
+),
+rscored AS (SELECT *, {dbl(0.55)} * sim + {dbl(0.30)} * trust + {dbl(0.15)} * cov AS score FROM rm1),
+ranked_all AS (
+  SELECT query_id, facility_id, retrieval_rank, coalesce(nullif(name, ''), 'Unknown facility') AS facility_name,
+    {rd(f'least({dbl(1.0)}, greatest({dbl(0.0)}, score))', 4)} AS suitability_score,
+    CASE WHEN len(evidence) > 0 THEN 'Top match for your query — ' || coalesce(nullif(name, ''), 'facility')
+           || ' reports: ' || array_to_string(evidence[1:4], '; ') || '. Trust score ' || {fmt2('trust')}
+           || ' based on data completeness and consistency checks.'
+         WHEN len(intents) > 0 THEN 'Closest semantic match by description (similarity ' || {fmt2('sim')}
+           || '); however, the facility''s structured records do not explicitly confirm '
+           || array_to_string(intents, ', ') || '. Verify by phone before travel. Trust score ' || {fmt2('trust')} || '.'
+         ELSE 'Closest semantic match (similarity ' || {fmt2('sim')} || '). Trust score ' || {fmt2('trust')} || '.'
+    END AS reasoning,
+    array_to_string(matched, ',') AS matched_capabilities,
+    CASE WHEN len(matched) = 0 THEN array_to_string(list_transform(intents, lambda i: 'No clear evidence of ' || i), '; ')
+         ELSE '' END AS warnings,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieval_rank) AS INTEGER) AS rank,
+    address_city, address_state, trust_score
+  FROM rscored
+),
+ranked AS (SELECT * FROM ranked_all WHERE rank <= 5)"""
+
+CHAIN_RANK = CHAIN_VECTOR + (postfilter_sql(20, "hits", min_default=dbl(0.4)), RANKER)

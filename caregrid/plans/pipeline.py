@@ -50,9 +50,37 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(registry(spark, sf_dir), order_col="src_ord", carry=CARRIED)
 
 
+def gold_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heuristic Gold as one unmaterialised plan (raw rows -> Gold)."""
+    return heuristic_gold(bronze(spark, sf_dir))
+
+
+def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Location of a materialised stage: under the shared ``spark.checkpoint.dir``,
+    one folder per application so concurrent runs never overwrite each other."""
+    import hashlib
+
+    from caregrid.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+    return f"{root}/caregrid-tables/{spark.sparkContext.applicationId}/{tag}/{name}"
+
+
 @_memo("gold")
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristic_gold(bronze(spark, sf_dir))
+    """Gold written once per session as Parquet in the shared folder and read back.
+
+    Writing the table is the medallion boundary of the pipeline: downstream read
+    models (deserts, ranking, search) start from a shallow scan instead of
+    re-planning the wide rule expressions, and a lost executor re-reads the
+    table instead of recomputing the whole lineage.
+    """
+    from caregrid.sources.files import write_table
+
+    path = table_path(spark, sf_dir, "gold")
+    write_table(gold_plan(spark, sf_dir), path, mode="overwrite")
+    return spark.read.parquet(path)
 
 
 @_memo("deserts")
