@@ -182,13 +182,25 @@ def validate(reply_json: Column, facility_id: Column) -> tuple[Column, Column]:
 
 
 def parse_reply(text: str | Column, facility_id: str | Column) -> tuple[Column, Column, Column]:
-    """X1 + X2: (cleaned JSON text, extraction or null, errors) for a raw model reply.
-    The facility id is always the caller's, never the model's."""
+    """X1 + X2 as column expressions: (cleaned JSON text, extraction or null, errors).
+    Prefer ``parse_replies`` on DataFrames: it parses each reply once."""
     body = unfence(text)
     ex, errs = validate(F.try_parse_json(body), col(facility_id))
     return body, ex, errs
 
 
+def parse_replies(df, text_col: str = "raw_response", id_col: str = "facility_id"):
+    """X1 + X2 over a DataFrame: adds body, extraction (null on failure) and errors.
+
+    The reply is unfenced and parsed into a VARIANT column in its own projection
+    (an expensive expression Catalyst will not inline into every field read), then
+    every field is read from that column. The facility id is always the caller's.
+    """
+    staged = df.withColumn("body", unfence(text_col)).withColumn("_v", F.try_parse_json("body"))
+    ex, errs = validate(F.col("_v"), F.col(id_col))
+    return staged.withColumn("extraction", ex).withColumn("errors", errs).drop("_v")
+
+
 def parse_ranking(text: str | Column) -> tuple[Column, Column]:
     """A ranking reply -> (array of ranked items or null, errors). Each item needs an integer
     rank, a facility id and name, a suitability in [0, 1] and a reasoning text; lists default to []."""

@@ -602,6 +602,80 @@ def a17(spark, sf):
     return stats.select("query_id", "candidates_retrieved", "candidates_after_filter", "top_suitability")
 
 
+# ---------------------------------------------------------------------------
+# Model replies: X1-X6
+# ---------------------------------------------------------------------------
+
+def _parsed_replies(spark, sf):
+    from caregrid.functions import parse as PR
+    from caregrid.sources.testdata import model_replies
+
+    return PR.parse_replies(model_replies(spark, sf), "raw_response", "facility_id")
+
+
+def _ok_only(col_expr, name):
+    return F.when(F.col("extraction").isNotNull(), col_expr).alias(name)
+
+
+@register("X1", q((O.REPLIES,), "SELECT event_id, body, coalesce(CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' END, false) AS is_object FROM parsed"))
+def x1(spark, sf):
+    p = _parsed_replies(spark, sf)
+    v = F.try_parse_json("body")
+    return p.select("event_id", "body", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"))
+
+
+@register("X3", q((O.REPLIES,), "SELECT event_id, facility_id, error IS NULL AS ok, error FROM validated"))
+def x3(spark, sf):
+    p = _parsed_replies(spark, sf)
+    return p.select("event_id", "facility_id", F.col("extraction").isNotNull().alias("ok"),
+                    F.try_element_at("errors", F.lit(1)).alias("error"))
+
+
+@register("X2", q((O.REPLIES,), """SELECT event_id, facility_id,
+  CASE WHEN error IS NULL THEN icu_present END AS icu_present,
+  CASE WHEN error IS NULL THEN dialysis_present END AS dialysis_present,
+  CASE WHEN error IS NULL THEN is_24_7 END AS is_24_7
+FROM validated"""))
+def x2(spark, sf):
+    p = _parsed_replies(spark, sf)
+    ex = F.col("extraction")
+    return p.select("event_id", "facility_id", _ok_only(ex.icu.present, "icu_present"),
+                    _ok_only(ex.dialysis.present, "dialysis_present"), _ok_only(ex.emergency.is_24_7, "is_24_7"))
+
+
+@register("X4", q((O.REPLIES,), """SELECT event_id,
+  CASE WHEN error IS NULL THEN icu_beds END AS icu_beds,
+  CASE WHEN error IS NULL THEN total_doctors END AS total_doctors,
+  CASE WHEN error IS NULL THEN dialysis_machines END AS dialysis_machines,
+  CASE WHEN error IS NULL THEN vent_count END AS vent_count
+FROM validated"""))
+def x4(spark, sf):
+    p = _parsed_replies(spark, sf)
+    ex = F.col("extraction")
+    return p.select("event_id", _ok_only(ex.icu.bed_count, "icu_beds"),
+                    _ok_only(ex.staff.total_doctor_count, "total_doctors"),
+                    _ok_only(ex.dialysis.machine_count, "dialysis_machines"),
+                    _ok_only(ex.ventilator["count"], "vent_count"))
+
+
+@register("X5", q((O.REPLIES,), """SELECT event_id,
+  CASE WHEN error IS NULL THEN array_to_string(specialist_types, '|') END AS specialist_types,
+  CASE WHEN error IS NULL THEN CAST(len(specialist_types) AS INTEGER) END AS n_specialist_types
+FROM validated"""))
+def x5(spark, sf):
+    p = _parsed_replies(spark, sf)
+    st = F.col("extraction.staff.specialist_types")
+    return p.select("event_id", _ok_only(F.array_join(st, "|"), "specialist_types"),
+                    _ok_only(F.size(st), "n_specialist_types"))
+
+
+@register("X6", q((O.REPLIES,), """SELECT event_id,
+  CASE WHEN error IS NULL THEN array_to_string(specialties, '|') END AS specialties FROM validated"""))
+def x6(spark, sf):
+    p = _parsed_replies(spark, sf)
+    return p.select("event_id", _ok_only(F.array_join("extraction.specialties_extracted", "|"), "specialties"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

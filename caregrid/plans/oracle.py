@@ -675,3 +675,95 @@ ranked_all AS (
 ranked AS (SELECT * FROM ranked_all WHERE rank <= 5)"""
 
 CHAIN_RANK = CHAIN_VECTOR + (postfilter_sql(20, "hits", min_default=dbl(0.4)), RANKER)
+
+
+# ---------------------------------------------------------------------------
+# Model replies: unfence + relaxed validation (subset of fields)
+# ---------------------------------------------------------------------------
+
+def _jt(path: str) -> str:
+    return f"json_type(json_extract(jbody, '{path}'))"
+
+
+def _int_sql(path: str) -> str:
+    t = _jt(path)
+    s = f"trim(json_extract_string(jbody, '{path}'))"
+    d = (f"CASE WHEN {t} IN ('BIGINT','UBIGINT','DOUBLE','INTEGER') THEN TRY_CAST(json_extract_string(jbody, '{path}') AS DOUBLE) "
+         f"WHEN {t} = 'VARCHAR' THEN CASE WHEN lower({s}) IN ('null','none','n/a','nan','') THEN NULL "
+         f"ELSE TRY_CAST({s} AS DOUBLE) END END")
+    return f"CAST(trunc({d}) AS INTEGER)"
+
+
+def _enum_sql(path: str, default: str) -> str:
+    return (f"CASE WHEN json_extract(jbody, '{path}') IS NULL THEN '{default}' "
+            f"WHEN {_jt(path)} = 'VARCHAR' THEN json_extract_string(jbody, '{path}') END")
+
+
+def _list_sql(path: str, comma: bool) -> str:
+    s = f"trim(json_extract_string(jbody, '{path}'))"
+    items = lambda expr: (f"list_filter(list_transform({expr}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), "
+                          f"lambda x: x <> '')")
+    text_case = (f"CASE WHEN {s} = '' THEN CAST([] AS VARCHAR[]) "
+                 f"WHEN json_valid({s}) AND json_type({s}) = 'ARRAY' THEN {items(f'json_extract_string({s}, ' + chr(39) + '$[*]' + chr(39) + ')')} "
+                 f"WHEN json_valid({s}) THEN CAST([] AS VARCHAR[]) "
+                 + (f"ELSE {items(f'string_split({s}, ' + chr(39) + ',' + chr(39) + ')')} END" if comma
+                    else "ELSE CAST([] AS VARCHAR[]) END"))
+    return (f"CASE WHEN {_jt(path)} = 'ARRAY' THEN {items(f'json_extract_string(jbody, ' + chr(39) + path + '[*]' + chr(39) + ')')} "
+            f"WHEN {_jt(path)} = 'VARCHAR' THEN {text_case} ELSE CAST([] AS VARCHAR[]) END")
+
+
+REPLIES = f"""
+replies0 AS (
+  SELECT event_id, sha256('fac-' || CAST(event_id AS VARCHAR)) AS facility_id,
+    CAST(json_extract(props, '$.k') AS VARCHAR) AS n, event_type
+  FROM events
+),
+replies1 AS (
+  SELECT event_id, facility_id,
+    CASE event_id % 8
+      WHEN 0 THEN '{{"icu":{{"present":"claimed","bed_count":' || n || '}},"staff":{{"specialist_types":["Surgery","Paediatrics"],"total_doctor_count":"' || n || '"}},"facility_id":"other"}}'
+      WHEN 1 THEN '```json' || chr(10) || '{{"icu":{{"present":"claimed","bed_count":' || n || '}},"staff":{{"specialist_types":["Surgery","Paediatrics"],"total_doctor_count":"' || n || '"}},"facility_id":"other"}}' || chr(10) || '```'
+      WHEN 2 THEN '{{"icu":{{"present":"definitely_yes"}},"note":"' || event_type || '"}}'
+      WHEN 3 THEN '{{"dialysis":{{"present":"confirmed","machine_count":"' || n || '.7"}},"emergency":{{"is_24_7":true,"emergency_care":"claimed"}}}}'
+      WHEN 4 THEN '{{"icu": {{"present": "claimed"' || n
+      WHEN 5 THEN '{{"staff":{{"specialist_types":"cardiology, oncology, , urology"}},"specialties_extracted":"[\\"x\\", \\" y \\"]","ventilator":{{"count":"nan"}}}}'
+      WHEN 6 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || '{{"icu":{{"present":"claimed","bed_count":' || n || '}},"staff":{{"specialist_types":["Surgery","Paediatrics"],"total_doctor_count":"' || n || '"}},"facility_id":"other"}}' || chr(10) || '```'
+      ELSE '[' || n || ']' END AS raw_response
+  FROM replies0
+),
+replies2 AS (
+  SELECT *, regexp_replace(raw_response, '^\\s+|\\s+$', '', 'g') AS c FROM replies1
+),
+replies3 AS (
+  SELECT *, regexp_extract(c, '(?s)^```(.*?)(?:```|$)', 1) AS inner_txt FROM replies2
+),
+parsed AS (
+  SELECT event_id, facility_id, raw_response,
+    CASE WHEN starts_with(c, '```') THEN regexp_replace(
+      CASE WHEN starts_with(lower(regexp_replace(inner_txt, '^\\s+', '')), 'json')
+           THEN CASE WHEN contains(inner_txt, chr(10)) THEN regexp_replace(inner_txt, '^[^\\n]*\\n', '') ELSE '' END
+           ELSE inner_txt END, '^\\s+|\\s+$', '', 'g')
+    ELSE c END AS body
+  FROM replies3
+),
+parsed_j AS (
+  SELECT *, CASE WHEN json_valid(body) THEN body END AS jbody FROM parsed
+),
+validated AS (
+  SELECT event_id, facility_id, body,
+    CASE WHEN NOT json_valid(body) THEN 'invalid JSON'
+         WHEN json_type(jbody) <> 'OBJECT' THEN 'JSON is not an object'
+         WHEN NOT coalesce({_enum_sql('$.icu.present', 'uncertain')} IN ('confirmed','claimed','not_present','uncertain'), false)
+           THEN 'icu.present: invalid value'
+    END AS error,
+    {_enum_sql('$.icu.present', 'uncertain')} AS icu_present,
+    {_int_sql('$.icu.bed_count')} AS icu_beds,
+    {_int_sql('$.staff.total_doctor_count')} AS total_doctors,
+    {_int_sql('$.dialysis.machine_count')} AS dialysis_machines,
+    {_int_sql('$.ventilator.count')} AS vent_count,
+    {_enum_sql('$.dialysis.present', 'uncertain')} AS dialysis_present,
+    coalesce(CAST(json_extract(jbody, '$.emergency.is_24_7') AS BOOLEAN), false) AS is_24_7,
+    {_list_sql('$.staff.specialist_types', True)} AS specialist_types,
+    {_list_sql('$.specialties_extracted', False)} AS specialties
+  FROM parsed_j
+)"""
