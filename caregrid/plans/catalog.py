@@ -676,6 +676,175 @@ def x6(spark, sf):
     return p.select("event_id", _ok_only(F.array_join("extraction.specialties_extracted", "|"), "specialties"))
 
 
+# ---------------------------------------------------------------------------
+# Reports over Gold and deserts
+# ---------------------------------------------------------------------------
+
+@register("A6", q(O.CHAIN_GOLD, f"""SELECT count(*)::BIGINT AS rows, {O.rd('avg(trust_score)', 3)} AS avg_trust,
+  {O.rd('avg(conf_overall)', 3)} AS avg_conf, count_if(trust_score < 0.65)::BIGINT AS low_trust FROM gold"""))
+def a6(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.smoke_summary(PL.gold(spark, sf))
+
+
+@register("W5", q(O.CHAIN_GOLD, """SELECT facility_id, name, address_city, facility_type,
+  total_doctors AS doctors, trust_score, conf_overall AS confidence_overall
+FROM gold ORDER BY trust_score DESC, facility_id LIMIT 10"""))
+def w5(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.top_by_trust(PL.gold(spark, sf), 10)
+
+
+@register("W6", q(O.CHAIN_DESERTS, f"""SELECT pin_code, state, facility_count, {O.rd('avg_trust_score', 6)} AS avg_trust_score,
+  {O.rd('icu_coverage', 6)} AS icu_coverage, {O.rd('emergency_coverage', 6)} AS emergency_coverage,
+  {O.rd('dialysis_coverage', 6)} AS dialysis_coverage, {O.rd('surgery_coverage', 6)} AS surgery_coverage,
+  desert_risk_score, desert_risk_score >= 0.70 AS is_high_risk, desert_categories
+FROM deserts ORDER BY desert_risk_score DESC, pin_code NULLS FIRST, state NULLS FIRST LIMIT 15"""))
+def w6(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.worst_areas(PL.desert_table(spark, sf), 15)
+
+
+@register("A9", q(O.CHAIN_BRONZE, """SELECT address_stateOrRegion AS state, count(*)::BIGINT AS n FROM bronze
+GROUP BY 1 ORDER BY n DESC, state NULLS FIRST LIMIT 20"""))
+def a9(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.state_distribution(PL.bronze(spark, sf), 20)
+
+
+@register("A10", q(O.CHAIN_REGISTRY, """SELECT 'facility_type' AS dimension, facilityTypeId AS value, count(*)::BIGINT AS n FROM registry GROUP BY 2
+UNION ALL SELECT 'functional_status', functional_status, count(*)::BIGINT FROM registry GROUP BY 2
+UNION ALL SELECT 'category', category, count(*)::BIGINT FROM registry GROUP BY 2
+UNION ALL SELECT 'distinct_states', NULL, count(DISTINCT address_stateOrRegion)::BIGINT FROM registry
+UNION ALL SELECT 'with_coordinates', NULL, count_if(latitude IS NOT NULL AND longitude IS NOT NULL)::BIGINT FROM registry"""))
+def a10(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.registry_profile(PL.registry(spark, sf))
+
+
+@register("A16", q(O.CHAIN_VECTOR, f"""SELECT gate, value, threshold,
+  CASE WHEN gate = 'indexed_share' THEN value = threshold ELSE value > threshold END AS pass FROM (
+  SELECT 'description_share' AS gate, {O.rd("CAST((SELECT count_if(length(trim(coalesce(description, ''))) > 0) FROM bronze) AS DOUBLE) / CAST((SELECT count(*) FROM bronze) AS DOUBLE)", 6)} AS value, {O.dbl(0.6)} AS threshold
+  UNION ALL SELECT 'extraction_success', {O.rd("CAST((SELECT count(*) FROM gold) AS DOUBLE) / CAST((SELECT count(*) FROM bronze) AS DOUBLE)", 6)}, {O.dbl(0.85)}
+  UNION ALL SELECT 'indexed_share', {O.rd("CAST((SELECT count(*) FROM vt) AS DOUBLE) / CAST((SELECT count(*) FROM gold) AS DOUBLE)", 6)}, {O.dbl(1.0)})"""))
+def a16(spark, sf):
+    from caregrid.operators import reports as RP
+
+    VX, _, vt = _vector_inputs(spark, sf)
+    return RP.quality_gates(PL.bronze(spark, sf), PL.gold(spark, sf), vt)
+
+
+@register("F8", q(O.CHAIN_DESERTS, """SELECT pin_code, state, desert_risk_score FROM deserts
+WHERE desert_risk_score >= 0.70 AND contains(desert_categories, 'EMERGENCY_DESERT')"""))
+def f8(spark, sf):
+    d = PL.desert_table(spark, sf)
+    return DZ.desert_map(d, high_risk_only=True, desert_type="EMERGENCY_DESERT", limit=2000).select(
+        "pin_code", "state", "desert_risk_score")
+
+
+@register("F11", q(O.CHAIN_DESERTS, f"""SELECT pin_code, state, {O.rd('centroid_lat', 6)} AS centroid_lat,
+  {O.rd('centroid_lon', 6)} AS centroid_lon, desert_risk_score FROM deserts WHERE centroid_lat IS NOT NULL"""))
+def f11(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.geo_ready_regions(PL.desert_table(spark, sf))
+
+
+@register("D19", q(O.CHAIN_GOLD, """SELECT facility_id, name, coalesce(address_city, 'None') || ', ' || coalesce(address_state, 'None') AS location,
+  trust_score, CASE WHEN trust_score >= 0.85 THEN 'A' WHEN trust_score >= 0.70 THEN 'B' WHEN trust_score >= 0.55 THEN 'C'
+       WHEN trust_score >= 0.40 THEN 'D' ELSE 'F' END AS trust_grade,
+  flag_types, conf_overall AS confidence_overall, 0 AS correction_iterations, icu_present, em_care AS emergency_care
+FROM gold"""))
+def d19(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.trust_report(PL.gold(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Merge / resume (J3, J8, J9, A3) and rule Gold (J1, D4), splits
+# ---------------------------------------------------------------------------
+
+_BATCH_SQL = f"""
+batch AS (
+  SELECT facility_id, name || ' v' || CAST(v AS VARCHAR) AS name,
+    {O.rd('least(' + O.dbl(1.0) + ', trust_score + CAST(v AS DOUBLE) * ' + O.dbl(0.1) + ')', 3)} AS trust_score,
+    src_key * 10 + v AS batch_ord
+  FROM gold, (SELECT unnest([1, 2]) AS v) vv WHERE trust_score < 0.65
+  UNION ALL
+  SELECT sha256('supplier|' || CAST(s_suppkey AS VARCHAR)), s_name, {O.dbl(0.5)}, s_suppkey * 10 + 3 FROM supplier
+),
+latest AS (SELECT * FROM batch QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY batch_ord DESC) = 1)"""
+
+
+def _batch(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.correction_batch(PL.gold(spark, sf), spark, sf)
+
+
+@register("A3", q(O.CHAIN_GOLD + (_BATCH_SQL,), "SELECT facility_id, name, trust_score, batch_ord FROM latest"))
+def a3(spark, sf):
+    from caregrid.operators.dedup import dedup_keep_last
+
+    return dedup_keep_last(_batch(spark, sf), ["facility_id"], "batch_ord")
+
+
+@register("J8", q(O.CHAIN_GOLD + (_BATCH_SQL,), """SELECT facility_id, name, trust_score, CAST(NULL AS BIGINT) AS batch_ord FROM gold
+WHERE facility_id NOT IN (SELECT facility_id FROM latest)
+UNION ALL SELECT facility_id, name, trust_score, batch_ord FROM latest"""))
+def j8(spark, sf):
+    from caregrid.operators.upsert import merge
+
+    existing = PL.gold(spark, sf).select("facility_id", "name", "trust_score")
+    return merge(existing, _batch(spark, sf), "facility_id", "batch_ord").select(
+        "facility_id", "name", "trust_score", "batch_ord")
+
+
+@register("J9", q(O.CHAIN_GOLD + (_BATCH_SQL,), """SELECT g.facility_id, coalesce(l.name, g.name) AS name,
+  CASE WHEN l.facility_id IS NOT NULL THEN l.trust_score ELSE g.trust_score END AS trust_score, g.address_state
+FROM gold g LEFT JOIN latest l ON g.facility_id = l.facility_id"""))
+def j9(spark, sf):
+    from caregrid.operators.dedup import dedup_keep_last
+    from caregrid.operators.upsert import update_matched
+
+    target = PL.gold(spark, sf).select("facility_id", "name", "trust_score", "address_state")
+    upd = dedup_keep_last(_batch(spark, sf), ["facility_id"], "batch_ord")
+    return update_matched(target, upd, "facility_id", ["name", "trust_score"])
+
+
+@register("J3", q(O.CHAIN_VECTOR, "SELECT facility_id, src_key FROM bronze WHERE facility_id NOT IN (SELECT facility_id FROM vt)"))
+def j3(spark, sf):
+    from caregrid.operators.upsert import pending
+
+    VX, _, vt = _vector_inputs(spark, sf)
+    return pending(PL.bronze(spark, sf), vt, "facility_id").select("facility_id", "src_key")
+
+
+@register("D4", q(O.CHAIN_RULE_GOLD, """SELECT facility_id, base_trust AS trust_score, flag_types,
+  CAST(n_flags AS INTEGER) AS n_flags FROM rg_scored"""))
+def d4(spark, sf):
+    from caregrid.operators import reports as RP
+
+    g = RP.rule_gold_from_heuristic_silver(PL.bronze(spark, sf), PL.table_path(spark, sf, "silver_rule"))
+    return g.select("facility_id", "trust_score", TR.flags_text("trust_flags").alias("flag_types"),
+                    F.size("trust_flags").alias("n_flags"))
+
+
+@register("J1", q(O.CHAIN_RULE_GOLD, """SELECT facility_id, coalesce(nullif(trim(name), ''), '') AS name,
+  nullif(trim(address_city), '') AS address_city FROM rg_scored"""))
+def j1(spark, sf):
+    from caregrid.operators import reports as RP
+
+    return RP.rule_gold_from_heuristic_silver(PL.bronze(spark, sf), PL.table_path(spark, sf, "silver_rule")).select(
+        "facility_id", "name", "address_city")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

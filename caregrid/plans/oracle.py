@@ -767,3 +767,22 @@ validated AS (
     {_list_sql('$.specialties_extracted', False)} AS specialties
   FROM parsed_j
 )"""
+
+
+# Rule Gold (D4): same rules over the extraction, text length without the
+# heuristic path's "not functional -> 0" substitution, no category adjustments.
+RULE_GOLD = ("extracted_rg AS (SELECT * REPLACE (coalesce(composite_text_length, 0) AS ctl) FROM extracted),\n"
+             + RULES.strip("\n").replace("ruled0", "rg_ruled0").replace("ruled AS", "rg_ruled AS")
+             .replace("FROM ruled", "FROM rg_ruled").replace("scored AS", "rg_scored AS")
+             .replace("FROM extracted", "FROM extracted_rg"))
+CHAIN_RULE_GOLD = CHAIN_GOLD + (RULE_GOLD,)
+
+# Second registry split (S6): suppliers as facilities, same loader rules.
+SUPPLIER_SPLIT = f"""
+supplier_raw AS (
+  SELECT s.s_suppkey AS k, s.s_name AS prmry_name,
+    {dbl(5.0)} + CAST((s.s_suppkey * 7561) % 9000 AS DOUBLE) / {dbl(1000.0)} AS latitude,
+    {dbl(4.0)} + CAST((s.s_suppkey * 6007) % 9000 AS DOUBLE) / {dbl(1000.0)} AS longitude,
+    r.r_name AS statename, n.n_name AS lganame
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+)"""

@@ -45,9 +45,18 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_national(national_raw(spark, sf_dir))
 
 
+def bronze_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest(registry(spark, sf_dir), order_col="src_ord", carry=CARRIED)
+
+
 @_memo("bronze")
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest(registry(spark, sf_dir), order_col="src_ord", carry=CARRIED)
+    """Bronze written once per session (Parquet, shared folder) and read back; see ``gold``."""
+    from caregrid.sources.files import write_table
+
+    path = table_path(spark, sf_dir, "bronze")
+    write_table(bronze_plan(spark, sf_dir), path, mode="overwrite")
+    return spark.read.parquet(path)
 
 
 def gold_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
