@@ -138,3 +138,14 @@ def rule_gold_from_heuristic_silver(bronze: DataFrame, silver_path: str | None =
         parsed.write.mode("overwrite").parquet(silver_path)
         parsed = bronze.sparkSession.read.parquet(silver_path)
     return rule_gold(parsed, bronze)
+
+
+def yield_rollup(silver: DataFrame, gold: DataFrame) -> DataFrame:
+    """Silver rows, gold rows, avg trust (3), avg confidence (3), token sums - two one-row
+    aggregates side by side."""
+    s = silver.agg(F.count(F.lit(1)).cast("long").alias("silver_rows"),
+                   F.sum("prompt_tokens").cast("long").alias("total_prompt_tokens"),
+                   F.sum("completion_tokens").cast("long").alias("total_completion_tokens"))
+    g = gold.agg(F.count(F.lit(1)).cast("long").alias("gold_rows"), rnd(F.avg("trust_score"), 3).alias("avg_trust"),
+                 rnd(F.avg("confidence.overall"), 3).alias("avg_conf"))
+    return s.crossJoin(g)

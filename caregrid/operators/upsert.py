@@ -36,9 +36,13 @@ def upsert_table(spark: SparkSession, updates: DataFrame, path: str, key: str, o
     from caregrid.sources.files import table_exists
 
     existing = spark.read.parquet(path) if table_exists(spark, path) else None
-    merged = merge(existing, updates, key, order_col)
+    return replace_table(spark, merge(existing, updates, key, order_col), path)
+
+
+def replace_table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to a staging folder, then swap it in for ``path`` (safe when df reads path)."""
     staging = path.rstrip("/") + ".__staging"
-    merged.write.mode("overwrite").parquet(staging)
+    df.write.mode("overwrite").parquet(staging)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     src = jvm.org.apache.hadoop.fs.Path(staging)

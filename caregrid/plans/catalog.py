@@ -845,6 +845,77 @@ def j1(spark, sf):
         "facility_id", "name", "address_city")
 
 
+# ---------------------------------------------------------------------------
+# Model jobs with the deterministic offline completer (no SQL oracle: Python model)
+# ---------------------------------------------------------------------------
+
+def _extract_run(spark, sf):
+    from caregrid.operators import inference as INF
+
+    key = ("extract_run", id(spark), sf)
+    if key not in PL._STAGES:
+        paths = {k: PL.table_path(spark, sf, k) for k in ("silver_llm", "silver_llm_failures", "calls_llm")}
+        m = INF.run_extract(PL.bronze(spark, sf), INF.OfflineCompleter(), paths["silver_llm"],
+                            paths["silver_llm_failures"], paths["calls_llm"], only_missing=False)
+        PL._STAGES[key] = (m, paths)
+    return PL._STAGES[key]
+
+
+@register("L2")
+def l2(spark, sf):
+    _, paths = _extract_run(spark, sf)
+    return spark.read.parquet(paths["silver_llm"]).select("facility_id", "extraction_json", "prompt_tokens",
+                                                          "completion_tokens")
+
+
+@register("A12")
+def a12(spark, sf):
+    m, _ = _extract_run(spark, sf)
+    return m
+
+
+@register("L1")
+def l1(spark, sf):
+    _, paths = _extract_run(spark, sf)
+    return spark.read.parquet(paths["calls_llm"]).select("facility_id", "content", "prompt_tokens",
+                                                         "completion_tokens", "call_error")
+
+
+@register("A11")
+def a11(spark, sf):
+    """Token / yield rollup: silver rows, gold rows, avg trust, avg confidence, token sums."""
+    from caregrid.operators import reports as RP
+
+    _, paths = _extract_run(spark, sf)
+    return RP.yield_rollup(spark.read.parquet(paths["silver_llm"]), PL.gold(spark, sf))
+
+
+def _corrected(spark, sf):
+    from caregrid.operators import inference as INF
+
+    key = ("self_correct", id(spark), sf)
+    if key not in PL._STAGES:
+        g, audit = INF.self_correct(PL.gold(spark, sf), PL.bronze(spark, sf), INF.OfflineCompleter(),
+                                    PL.table_path(spark, sf, "correction_work"))
+        gp, ap = PL.table_path(spark, sf, "gold_corrected"), PL.table_path(spark, sf, "audit_log")
+        g.write.mode("overwrite").parquet(gp)
+        audit.write.mode("overwrite").parquet(ap)
+        PL._STAGES[key] = (spark.read.parquet(gp), spark.read.parquet(ap))
+    return PL._STAGES[key]
+
+
+@register("L4")
+def l4(spark, sf):
+    g, _ = _corrected(spark, sf)
+    return g.select("facility_id", "trust_score", "correction_iterations")
+
+
+@register("L5")
+def l5(spark, sf):
+    _, a = _corrected(spark, sf)
+    return a.select("facility_id", "event_type", "agent_name", "iteration", "input_hash", "output_hash", "tokens_used")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
