@@ -45,6 +45,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table spread over the cores when it is a single small file (see ``session.spread``)."""
+    from caregrid.session import spread
+
+    return spread(read_table(spark, sf_dir, name))
+
+
 def _case(c: Column, pairs, default=None) -> Column:
     expr = None
     for k, v in pairs:
@@ -64,7 +71,7 @@ def national_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     every 41st customer appears twice, the copy half a degree further north,
     which exercises the keep-first dedup at ingest.
     """
-    c = read_table(spark, sf_dir, "customer")
+    c = read_spread(spark, sf_dir, "customer")
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")
     base = (
