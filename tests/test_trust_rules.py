@@ -99,5 +99,6 @@ def test_trust_floor_property(spark):
         "dialysis": {"present": "uncertain"},
     }
     score, ids, _ = _score(spark, ext, "clinic", None, 10)
-    assert len(ids) == 9  # rules 7 and 2/3 exclude each other's ICU states partly
-    assert score > 0.05
+    # ICU confirmed excludes rule 7 (needs not_present); 4 of 6 fields determined excludes rule 9
+    assert len(ids) == 8
+    assert score == 0.195 and score > 0.05  # .7*.8*.9*.8*.8*.85*.75*.95
