@@ -149,3 +149,31 @@ def yield_rollup(silver: DataFrame, gold: DataFrame) -> DataFrame:
     g = gold.agg(F.count(F.lit(1)).cast("long").alias("gold_rows"), rnd(F.avg("trust_score"), 3).alias("avg_trust"),
                  rnd(F.avg("confidence.overall"), 3).alias("avg_conf"))
     return s.crossJoin(g)
+
+
+def readiness(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+    """One row per layer - exists flag and row count (0 when the table is missing)."""
+    from caregrid.sources.files import table_exists
+
+    rows = []
+    for name, path in tables.items():
+        if table_exists(spark, path):
+            rows.append(spark.read.parquet(path).agg(F.count(F.lit(1)).cast("long").alias("rows"))
+                        .select(F.lit(name).alias("layer"), F.lit(True).alias("ready"), "rows"))
+        else:
+            rows.append(spark.range(1).select(F.lit(name).alias("layer"), F.lit(False).alias("ready"),
+                                              F.lit(0).cast("long").alias("rows")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def trace_metrics(gold: DataFrame, silver: DataFrame, bronze: DataFrame) -> DataFrame:
+    """Per facility - text length, trust, tokens, latency, flag count, high-severity flags, iterations."""
+    return (gold.join(silver, "facility_id", "inner").join(bronze.select("facility_id", "composite_text_length"),
+                                                            "facility_id", "inner")
+            .select("facility_id", "composite_text_length", "trust_score",
+                    (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), "latency_ms",
+                    F.size("trust_flags").alias("n_flags"), TR.n_high_flags("trust_flags").alias("n_high_flags"),
+                    "correction_iterations"))

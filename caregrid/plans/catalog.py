@@ -916,6 +916,424 @@ def l5(spark, sf):
     return a.select("facility_id", "event_type", "agent_name", "iteration", "input_hash", "output_hash", "tokens_used")
 
 
+# ---------------------------------------------------------------------------
+# Sources, splits, selectors and scalar helpers
+# ---------------------------------------------------------------------------
+
+@register("S6", q(O.CHAIN_REGISTRY + (O.SUPPLIER_SPLIT,), """SELECT split, state, count(*)::BIGINT AS n FROM (
+  SELECT 'customer' AS split, address_stateOrRegion AS state FROM registry
+  UNION ALL SELECT 'supplier', trim(coalesce(statename, '')) FROM supplier_raw
+) GROUP BY split, state"""))
+def s6(spark, sf):
+    from caregrid.sources.national import load_national, union_splits
+    from caregrid.sources.testdata import national_raw, national_raw_suppliers
+
+    sup = national_raw_suppliers(spark, sf).select(
+        "src_key", "src_ord", F.col("alt_name").alias("prmry_name"), F.col("y").alias("latitude"),
+        F.col("x").alias("longitude"), "statename", "lganame")
+    # splits of one source share its column names; absent columns (type, category, ...) become null
+    raw = union_splits([national_raw(spark, sf).withColumn("split", F.lit("customer")),
+                        sup.withColumn("split", F.lit("supplier"))])
+    reg = load_national(raw, keep=("src_key", "split"))
+    return reg.groupBy("split", F.col("address_stateOrRegion").alias("state")).agg(
+        F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("U1", q(O.CHAIN_REGISTRY + (O.SUPPLIER_SPLIT,), f"""SELECT prmry_name AS name,
+  {O.rd('latitude', 6)} AS latitude, {O.rd('longitude', 6)} AS longitude FROM supplier_raw
+UNION ALL SELECT name, {O.rd('latitude', 6)}, {O.rd('longitude', 6)} FROM registry"""))
+def u1(spark, sf):
+    from caregrid.sources.national import load_national, union_splits
+    from caregrid.sources.testdata import national_raw, national_raw_suppliers
+
+    # the supplier split has no category/type columns: S7 falls back to alt_name / y / x by presence
+    sup = load_national(national_raw_suppliers(spark, sf))
+    both = union_splits([PL.registry(spark, sf).select("name", "latitude", "longitude"),
+                         sup.select("name", "latitude", "longitude")])
+    return both.select("name", rnd("latitude", 6).alias("latitude"), rnd("longitude", 6).alias("longitude"))
+
+
+@register("S12", q(O.CHAIN_REGISTRY, f"""SELECT src_ord, {O.sent('address_zipOrPostcode')} AS zip,
+  {O.sent('name')} AS name FROM registry"""))
+def s12(spark, sf):
+    from caregrid.operators.bronze import normalise_nas
+
+    reg = PL.registry(spark, sf).select("src_ord", F.col("address_zipOrPostcode").alias("zip"), "name")
+    return normalise_nas(reg)
+
+
+@register("F4", q(O.CHAIN_GOLD, "SELECT facility_id, trust_score FROM gold WHERE trust_score < 0.65"))
+def f4(spark, sf):
+    return PL.gold(spark, sf).where(F.col("trust_score") < 0.65).select("facility_id", "trust_score")
+
+
+@register("F3", q(O.CHAIN_GOLD, "SELECT facility_id, trust_score FROM gold ORDER BY facility_id LIMIT 50"))
+def f3(spark, sf):
+    """Deterministic sample (the sampling operator itself: first n by id)."""
+    return PL.gold(spark, sf).orderBy("facility_id").limit(50).select("facility_id", "trust_score")
+
+
+@register("X7", q(O.CHAIN_GOLD, """SELECT facility_id, icu_present, sg_general AS general_surgery,
+  CAST(icu_beds AS VARCHAR) AS bed_count FROM gold"""))
+def x7(spark, sf):
+    j = F.to_json("extraction")
+    g = PL.gold(spark, sf)
+    return g.select("facility_id", F.get_json_object(j, "$.icu.present").alias("icu_present"),
+                    F.get_json_object(j, "$.surgery.general_surgery").alias("general_surgery"),
+                    F.get_json_object(j, "$.icu.bed_count").alias("bed_count"))
+
+
+@register("X8", q(O.CHAIN_GOLD, f"""SELECT facility_id, CAST(icu_present IN {O.P} AS INTEGER) AS has_icu,
+  CAST(dial_present IN {O.P} AS INTEGER) AS has_dialysis, CAST(em_care IN {O.P} AS INTEGER) AS has_emergency,
+  CAST(sg_general IN {O.P} AS INTEGER) AS has_surgery FROM gold"""))
+def x8(spark, sf):
+    from caregrid.functions.core import is_present
+
+    ex = F.col("extraction")
+    return PL.gold(spark, sf).select(
+        "facility_id", is_present(ex.icu.present).cast("int").alias("has_icu"),
+        is_present(ex.dialysis.present).cast("int").alias("has_dialysis"),
+        is_present(ex.emergency.emergency_care).cast("int").alias("has_emergency"),
+        is_present(ex.surgery.general_surgery).cast("int").alias("has_surgery"))
+
+
+@register("X9", q(O.CHAIN_BRONZE, """SELECT facility_id, substr(composite_text, 1, 300) AS text_300,
+  substr(composite_text, 1, 1000) AS text_1000 FROM bronze"""))
+def x9(spark, sf):
+    from caregrid.functions.text import truncate
+
+    return PL.bronze(spark, sf).select("facility_id", truncate("composite_text", 300).alias("text_300"),
+                                       truncate("composite_text", 1000).alias("text_1000"))
+
+
+# ---------------------------------------------------------------------------
+# Sinks and model-side reports (rows-only: they read what the model jobs wrote)
+# ---------------------------------------------------------------------------
+
+@register("S8")
+def s8(spark, sf):
+    """CSV sink of the Gold x Silver summary ordered by trust, read back."""
+    from caregrid.sources.files import write_csv
+
+    _, paths = _extract_run(spark, sf)
+    silver = spark.read.parquet(paths["silver_llm"])
+    summary = (PL.gold(spark, sf).join(silver, "facility_id", "inner")
+               .select("facility_id", "name", "address_city", "address_state", "facility_type", "trust_score",
+                       "prompt_tokens", "completion_tokens", "latency_ms")
+               .orderBy(F.desc("trust_score"), "facility_id"))
+    path = PL.table_path(spark, sf, "llm_summary_csv")
+    write_csv(summary, path)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("S9", q(O.CHAIN_DESERTS, f"""SELECT pin_code, state, {O.rd('centroid_lat', 6)} AS centroid_lat,
+  {O.rd('centroid_lon', 6)} AS centroid_lon, desert_risk_score FROM deserts WHERE centroid_lat IS NOT NULL"""))
+def s9(spark, sf):
+    """JSON sink of geo-ready regions, read back with an explicit schema."""
+    from caregrid.operators import reports as RP
+    from caregrid.sources.files import write_json
+
+    path = PL.table_path(spark, sf, "regions_json")
+    regions = RP.geo_ready_regions(PL.desert_table(spark, sf))
+    write_json(regions, path)
+    return spark.read.schema(regions.schema).json(path)
+
+
+@register("J7")
+def j7(spark, sf):
+    _, paths = _extract_run(spark, sf)
+    return PL.gold(spark, sf).join(spark.read.parquet(paths["silver_llm"]), "facility_id", "inner").select(
+        "facility_id", "trust_score", "prompt_tokens", "completion_tokens")
+
+
+@register("F10")
+def f10(spark, sf):
+    _, paths = _extract_run(spark, sf)
+    s = spark.read.parquet(paths["silver_llm"])
+    return (PL.gold(spark, sf).join(s, "facility_id").where(
+        (F.col("trust_score") > 0.5) & (F.col("prompt_tokens") > 0) & (F.col("completion_tokens") > 0))
+        .select("facility_id", "trust_score", "prompt_tokens"))
+
+
+@register("A14")
+def a14(spark, sf):
+    """Readiness counts per layer (a missing table counts as not ready)."""
+    from caregrid.operators import reports as RP
+
+    tables = {"bronze": PL.table_path(spark, sf, "bronze"), "gold": PL.table_path(spark, sf, "gold"),
+              "deserts": PL.table_path(spark, sf, "deserts_never_built")}
+    PL.gold(spark, sf)
+    return RP.readiness(spark, tables)
+
+
+@register("A15")
+def a15(spark, sf):
+    from caregrid.operators import reports as RP
+
+    _, paths = _extract_run(spark, sf)
+    return RP.trace_metrics(PL.gold(spark, sf), spark.read.parquet(paths["silver_llm"]), PL.bronze(spark, sf))
+
+
+@register("X12")
+def x12(spark, sf):
+    from caregrid.operators import rank as RK
+
+    VX, _, vt = _vector_inputs(spark, sf)
+    return RK.candidate_summary(vt).select("facility_id", "location", "trust_score", "confidence_overall",
+                                           F.size("capabilities.specialties").alias("n_specialties"))
+
+
+@register("X15")
+def x15(spark, sf):
+    """Ranking replies built from the deterministic ranker's output (as a model would return them),
+    validated back (round trip)."""
+    from caregrid.functions.parse import parse_ranking
+
+    r = _ranked(spark, sf)[0]
+    replies = r.groupBy("query_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(
+        "rank", "facility_id", "facility_name", "suitability_score", "reasoning", "matched_capabilities",
+        "warnings"))).alias("ranked_results"))).alias("reply"))
+    items, errs = parse_ranking("reply")
+    return replies.select("query_id", F.size(items).alias("n_ranked"), F.size(errs).alias("n_errors"))
+
+
+@register("V1")
+def v1(spark, sf):
+    from caregrid.operators.vector import HashingEmbedder, embed_texts
+
+    emb = embed_texts(PL.gold(spark, sf).select("facility_id", "embedding_text"), "embedding_text",
+                      HashingEmbedder(64), 64)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return emb.select("facility_id", F.size("embedding").alias("dim"), rnd(norm, 4).alias("norm"))
+
+
+@register("W7")
+def w7(spark, sf):
+    g, _ = _corrected(spark, sf)
+    return g.select("facility_id", "trust_score", "correction_iterations")
+
+
+# ---------------------------------------------------------------------------
+# Remaining inventory ids
+# ---------------------------------------------------------------------------
+
+@register("F2", q(O.CHAIN_BRONZE, "SELECT facility_id FROM bronze WHERE length(composite_text) > 0"))
+def f2(spark, sf):
+    return PL.bronze(spark, sf).where(F.length("composite_text") > 0).select("facility_id")
+
+
+@register("F7", q(O.CHAIN_GOLD, """SELECT facility_id, address_zip FROM gold
+WHERE address_zip IS NOT NULL AND length(trim(address_zip)) > 0"""))
+def f7(spark, sf):
+    g = PL.gold(spark, sf)
+    return g.where(F.col("address_zip").isNotNull() & (F.length(F.trim("address_zip")) > 0)).select(
+        "facility_id", "address_zip")
+
+
+@register("F6", q(O.CHAIN_VECTOR, """SELECT q.query_id, CAST(count(g.facility_id) AS BIGINT) AS n_matching
+FROM vq q LEFT JOIN gold g ON lower(coalesce(g.address_state, '')) = lower(q.state)
+WHERE q.state IS NOT NULL GROUP BY q.query_id"""))
+def f6(spark, sf):
+    """Case-insensitive state filter per query: Gold is pre-aggregated per state before the join,
+    so a state holding a third of all rows costs one row, not a third of the table."""
+    _, qs, _ = _vector_inputs(spark, sf)
+    per_state = PL.gold(spark, sf).groupBy(F.lower(F.coalesce("address_state", F.lit(""))).alias("_s")).agg(
+        F.count(F.lit(1)).cast("long").alias("n"))
+    q = qs.where(F.col("state").isNotNull()).select("query_id", F.lower("state").alias("_s"))
+    return q.join(per_state, "_s", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_matching"))
+
+
+@register("F9", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), """SELECT DISTINCT h.facility_id, g.name, g.trust_score
+FROM hits h JOIN gold g ON h.facility_id = g.facility_id"""))
+def f9(spark, sf):
+    """Point lookups in bulk: the facilities recommended by search, looked up in Gold (semi-join)."""
+    VX, qs, vt = _vector_inputs(spark, sf)
+    ids = VX.search(qs, vt, top_k=5, mode="postfilter").select("facility_id").distinct()
+    return PL.gold(spark, sf).join(ids, "facility_id", "left_semi").select("facility_id", "name", "trust_score")
+
+
+@register("J2", q(O.CHAIN_BRONZE, """SELECT facility_id, coalesce(category, '') AS category,
+  coalesce(functional_status, '') AS functional_status, coalesce(accessibility_note, '') AS accessibility_note
+FROM bronze"""))
+def j2(spark, sf):
+    """Left join of Bronze <- source attributes (deduplicated first), missing -> ''."""
+    from caregrid.functions.core import hash_id
+    from caregrid.functions.text import clean_postcode
+    from caregrid.operators.dedup import dedup_keep_first
+    from caregrid.functions.core import sentinel_null
+
+    reg = PL.registry(spark, sf)
+    attrs = reg.select(
+        hash_id(sentinel_null("name"), sentinel_null("address_city"), clean_postcode(sentinel_null("address_zipOrPostcode")))
+        .alias("facility_id"), "src_ord", "category", "functional_status", "accessibility_note")
+    attrs = dedup_keep_first(attrs, ["facility_id"], "src_ord").drop("src_ord")
+    b = PL.bronze(spark, sf).select("facility_id")
+    j = b.join(attrs, "facility_id", "left")
+    return j.select("facility_id", *[F.coalesce(c, F.lit("")).alias(c)
+                                     for c in ("category", "functional_status", "accessibility_note")])
+
+
+@register("J4", q(O.CHAIN_GOLD, """SELECT g.facility_id, b.composite_text_length FROM gold g
+LEFT JOIN bronze b ON g.facility_id = b.facility_id WHERE g.trust_score < 0.65"""))
+def j4(spark, sf):
+    low = PL.gold(spark, sf).where(F.col("trust_score") < 0.65).select("facility_id")
+    return low.join(PL.bronze(spark, sf).select("facility_id", "composite_text_length"), "facility_id", "left")
+
+
+@register("P5", q(O.CHAIN_BRONZE, """SELECT facility_id, composite_text_length,
+  CAST(length(coalesce(name, '')) AS INTEGER) AS name_length FROM bronze"""))
+def p5(spark, sf):
+    return PL.bronze(spark, sf).select("facility_id", "composite_text_length",
+                                       F.length(F.coalesce("name", F.lit(""))).alias("name_length"))
+
+
+@register("P7", """SELECT event_id,
+  TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k_double,
+  CAST(trunc(TRY_CAST(json_extract_string(props, '$.k') || '.7' AS DOUBLE)) AS BIGINT) AS k_long,
+  CAST(NULL AS DOUBLE) AS junk_double
+FROM events""")
+def p7(spark, sf):
+    from caregrid.functions.text import to_double, to_long
+    from caregrid.sources.testdata import read_table
+
+    e = read_table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select("event_id", to_double(k).alias("k_double"), to_long(F.concat(k, F.lit(".7"))).alias("k_long"),
+                    to_double(F.concat(F.lit("n/a "), k)).alias("junk_double"))
+
+
+@register("P12", q(O.CHAIN_BRONZE, "SELECT facility_id, true AS has_ingest_ts FROM bronze"))
+def p12(spark, sf):
+    return PL.bronze(spark, sf).select("facility_id", F.col("_ingest_ts").isNotNull().alias("has_ingest_ts"))
+
+
+@register("P13", q(O.CHAIN_REGISTRY, "SELECT src_ord, operatorTypeId, accessibility_note, address_zipOrPostcode FROM registry"))
+def p13(spark, sf):
+    return PL.registry(spark, sf).select("src_ord", "operatorTypeId", "accessibility_note", "address_zipOrPostcode")
+
+
+@register("X14", q(O.CHAIN_REGISTRY, """SELECT src_ord, nullif(trim(name), '') AS name,
+  nullif(trim(accessibility_note), '') AS accessibility_note FROM registry"""))
+def x14(spark, sf):
+    from caregrid.functions.core import clean_str
+
+    return PL.registry(spark, sf).select("src_ord", clean_str("name").alias("name"),
+                                         clean_str("accessibility_note").alias("accessibility_note"))
+
+
+@register("S2", q(O.CHAIN_REGISTRY, """SELECT src_ord, name, CAST(NULL AS VARCHAR) AS phone_numbers,
+  CAST(NULL AS VARCHAR) AS yearEstablished FROM registry"""))
+def s2(spark, sf):
+    from caregrid.operators.bronze import project_kept
+
+    return project_kept(PL.registry(spark, sf), carry=("src_ord",)).select(
+        "src_ord", "name", "phone_numbers", "yearEstablished")
+
+
+@register("S10", q(O.CHAIN_REGISTRY, "SELECT src_ord, address_city, coalesce(category, '') AS category FROM registry"))
+def s10(spark, sf):
+    """Dual sink (Parquet + CSV) of the loader output; the CSV copy is read back with S1."""
+    from caregrid.sources.files import read_csv_all_string, write_parquet_and_csv
+
+    pq, csv = PL.table_path(spark, sf, "registry_parquet"), PL.table_path(spark, sf, "registry_csv")
+    write_parquet_and_csv(PL.registry(spark, sf).select("src_ord", "name", "address_city", "category"), pq, csv)
+    back = read_csv_all_string(spark, csv, ["src_ord", "name", "address_city", "category"])
+    return back.select(F.col("src_ord").cast("long").alias("src_ord"), "address_city",
+                       F.coalesce("category", F.lit("")).alias("category"))
+
+
+@register("S1", q(O.CHAIN_REGISTRY, "SELECT src_ord, address_city FROM registry"))
+def s1(spark, sf):
+    """CSV scan with header, quoted multi-line fields, every column as text, then typed with try_cast."""
+    from caregrid.sources.files import read_csv_all_string
+
+    s10(spark, sf)
+    back = read_csv_all_string(spark, PL.table_path(spark, sf, "registry_csv"))
+    return back.select(F.col("src_ord").try_cast("long").alias("src_ord"), "address_city")
+
+
+@register("S3", q(O.CHAIN_GOLD, "SELECT facility_id, trust_score FROM gold"))
+def s3(spark, sf):
+    from pyspark.sql import types as T
+
+    from caregrid.sources.files import read_table
+
+    PL.gold(spark, sf)
+    schema = T.StructType([T.StructField("facility_id", T.StringType()), T.StructField("trust_score", T.DoubleType())])
+    return read_table(spark, PL.table_path(spark, sf, "gold"), schema)
+
+
+@register("S4", q(O.CHAIN_DESERTS, "SELECT pin_code, state, desert_risk_score FROM deserts"))
+def s4(spark, sf):
+    from caregrid.sources.files import write_table
+
+    path = PL.table_path(spark, sf, "deserts_s4")
+    write_table(PL.desert_table(spark, sf).select("pin_code", "state", "desert_risk_score"), path, mode="overwrite")
+    return spark.read.parquet(path)
+
+
+@register("S5", q(O.CHAIN_GOLD, "SELECT facility_id, CAST(2 AS BIGINT) AS copies FROM gold"))
+def s5(spark, sf):
+    from caregrid.sources.files import write_table
+
+    path = PL.table_path(spark, sf, "gold_appended")
+    g = PL.gold(spark, sf).select("facility_id")
+    write_table(g, path, mode="overwrite")
+    write_table(g, path, mode="append")
+    return spark.read.parquet(path).groupBy("facility_id").agg(F.count(F.lit(1)).cast("long").alias("copies"))
+
+
+@register("S11", q(O.CHAIN_DESERTS, "SELECT state, count(*)::BIGINT AS areas FROM deserts GROUP BY state"))
+def s11(spark, sf):
+    from caregrid.sources.files import register_views
+
+    path = PL.table_path(spark, sf, "deserts_s11")
+    PL.desert_table(spark, sf).write.mode("overwrite").parquet(path)
+    register_views(spark, {"deserts_v": path, "missing_v": path + "_absent"})
+    return spark.sql("SELECT state, CAST(count(*) AS BIGINT) AS areas FROM deserts_v GROUP BY state")
+
+
+@register("U2", q(O.CHAIN_GOLD + (_BATCH_SQL,), "SELECT facility_id FROM gold WHERE facility_id NOT IN (SELECT facility_id FROM batch)"))
+def u2(spark, sf):
+    from caregrid.operators.upsert import pending
+
+    return pending(PL.gold(spark, sf).select("facility_id"), _batch(spark, sf), "facility_id")
+
+
+@register("W2", q(O.CHAIN_RANK, "SELECT query_id, rank, facility_id, retrieval_rank FROM ranked"))
+def w2(spark, sf):
+    return _ranked(spark, sf)[0].select("query_id", "rank", "facility_id", "retrieval_rank")
+
+
+@register("X11", q(O.CHAIN_BRONZE, """SELECT facility_id, 2 AS n_messages,
+  CAST(length('Facility id: ' || facility_id || chr(10) || 'Description:' || chr(10) || substr(composite_text, 1, 3000)) AS INTEGER) AS user_length
+FROM bronze"""))
+def x11(spark, sf):
+    from caregrid.operators.inference import extraction_messages
+
+    m = extraction_messages("composite_text", "facility_id")
+    b = PL.bronze(spark, sf).select("facility_id", m.alias("messages"))
+    return b.select("facility_id", F.size("messages").alias("n_messages"),
+                    F.length(F.col("messages")[1]["content"]).alias("user_length"))
+
+
+@register("L3")
+def l3(spark, sf):
+    """Validate -> correct rounds: calls per (round, step) from the audit rows."""
+    _, a = _corrected(spark, sf)
+    return a.groupBy("iteration", "event_type").agg(F.count(F.lit(1)).cast("long").alias("calls"))
+
+
+@register("L6", q(O.CHAIN_DESERTS, "SELECT pin_code, state, desert_risk_score, desert_categories FROM deserts"))
+def l6(spark, sf):
+    """The whole pipeline (heuristic Silver path) over the loader output, stage tables under one root."""
+    from caregrid.operators.inference import pipeline
+
+    paths = pipeline(spark, PL.registry(spark, sf), PL.table_path(spark, sf, "pipeline_run"))
+    d = spark.read.parquet(paths["deserts"])
+    return d.select("pin_code", "state", "desert_risk_score", F.array_join("desert_categories", ",").alias("desert_categories"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

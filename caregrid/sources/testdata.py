@@ -176,3 +176,18 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         reply.alias("raw_response"),
         F.col("value").alias("latency_ms"),
     )
+
+
+def national_raw_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second split of the national source (S6): suppliers as facilities with the *alternate*
+    column names (alt_name, y, x) and no type/category columns at all (S7 picks by presence)."""
+    s = read_table(spark, sf_dir, "supplier")
+    n = read_table(spark, sf_dir, "nation")
+    r = read_table(spark, sf_dir, "region")
+    base = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    k = F.col("s_suppkey")
+    return base.select(
+        k.alias("src_key"), (F.lit(10 ** 12) + k).alias("src_ord"), F.col("s_name").alias("alt_name"),
+        coord(k, 7561, 9000, 5.0).alias("y"), coord(k, 6007, 9000, 4.0).alias("x"),
+        F.col("r_name").alias("statename"), F.col("n_name").alias("lganame"),
+    )
