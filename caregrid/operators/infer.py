@@ -118,8 +118,66 @@ def _section(name: str, branches, default, cat: Column, fn: Column, cat_text: Co
     return first_match(cat, [(kws, build(vals)) for kws, vals in branches], build(default))
 
 
+def _sql_lit(v, field_type) -> str:
+    from pyspark.sql import types as T
+
+    if isinstance(field_type, T.ArrayType):
+        return "CAST(array(" + ", ".join(_sql_lit(x, T.StringType()) for x in v) + ") AS ARRAY<STRING>)"
+    if v is None:
+        return f"CAST(NULL AS {field_type.simpleString().upper()})"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"CAST({v} AS INT)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _section_sql(name: str, branches, default) -> str:
+    st = EXTRACTION[name].dataType
+
+    def build(values) -> str:
+        parts = []
+        for v, f in zip(values, st.fields):
+            txt = "_fn" if v == FN else "_cat_text" if v == CAT else _sql_lit(v, f.dataType)
+            parts.append(f"'{f.name}', {txt}")
+        return "named_struct(" + ", ".join(parts) + ")"
+
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains(_cat, '{k}')" for k in kws) + f" THEN {build(vals)}"
+        for kws, vals in branches)
+    return f"CASE {cases} ELSE {build(default)} END"
+
+
+def infer_extraction_sql(category: str, func_stats: str) -> Column:
+    """D1 as one SQL expression text (one JVM call to build instead of one per sub-expression)."""
+    specs = " ".join(
+        "WHEN " + " OR ".join(f"contains(_cat, '{k}')" for k in kws) + f" THEN {_sql_lit(vals, EXTRACTION['specialties_extracted'].dataType)}"
+        for kws, vals in SPECIALTY_BRANCHES)
+    body = (
+        "named_struct("
+        f"'icu', {_section_sql('icu', ICU_BRANCHES, ICU_ELSE)}, "
+        f"'ventilator', {_section_sql('ventilator', VENT_BRANCHES, VENT_ELSE)}, "
+        f"'staff', {_section_sql('staff', STAFF_BRANCHES, STAFF_ELSE)}, "
+        f"'emergency', {_section_sql('emergency', EMERGENCY_BRANCHES, EMERGENCY_ELSE)}, "
+        f"'surgery', {_section_sql('surgery', SURGERY_BRANCHES, SURGERY_ELSE)}, "
+        f"'dialysis', {_section_sql('dialysis', DIALYSIS_BRANCHES, DIALYSIS_ELSE)}, "
+        f"'specialties_extracted', CASE {specs} ELSE CAST(array() AS ARRAY<STRING>) END, "
+        f"'extraction_notes', concat('{NOTES_PREFIX}', _cat_raw), "
+        "'raw_text_used', concat('Category: ', _cat_raw, '. Functional: ', _func_raw, '.'))"
+    )
+    cat_raw = f"coalesce(`{category}`, '')"
+    func_raw = f"coalesce(`{func_stats}`, '')"
+    body = (body.replace("_cat_text", f"concat('Category: ', {cat_raw})")
+            .replace("_cat_raw", cat_raw).replace("_func_raw", func_raw)
+            .replace("_fn", f"CASE WHEN lower({func_raw}) IN ('functional', '') THEN 'functional' ELSE 'unknown' END")
+            .replace("_cat", f"lower({cat_raw})"))
+    return F.expr(body).cast(EXTRACTION)
+
+
 def infer_extraction(category: str | Column, func_stats: str | Column) -> Column:
     """Extraction struct (``schemas.EXTRACTION``) from category and functional status."""
+    if isinstance(category, str) and isinstance(func_stats, str):
+        return infer_extraction_sql(category, func_stats)
     cat_raw = F.coalesce(col(category), F.lit(""))
     func_raw = F.coalesce(col(func_stats), F.lit(""))
     cat = F.lower(cat_raw)
