@@ -213,3 +213,69 @@ __all__ = [
     "TRUST_RULES", "trust_flags", "trust_score_from_flags", "confidence", "heuristic_adjust",
     "working_icu", "flags_text", "determined_count", "n_high_flags", "raw_score_from_flags",
 ]
+
+
+# ---------------------------------------------------------------------------
+# The same rule engine emitted as one SQL expression text (one JVM call to build)
+# ---------------------------------------------------------------------------
+
+def _q(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def trust_flags_sql(ex: str, facility_type: str, number_doctors: str | None, ctl: str) -> Column:
+    """D2 flags as SQL text over column names; equal to ``trust_flags`` (see tests)."""
+    e = f"`{ex}`"
+    ft = f"coalesce(`{facility_type}`, 'unknown')"
+    nd = "CAST(NULL AS BIGINT)" if number_doctors is None else f"CAST(`{number_doctors}` AS BIGINT)"
+    c = f"`{ctl}`"
+    P = "('confirmed', 'claimed')"
+    f = {
+        "icu": f"coalesce({e}.icu.present, 'uncertain')",
+        "icu_fn": f"coalesce({e}.icu.functional_status, 'unknown')",
+        "beds": f"{e}.icu.bed_count",
+        "anest": f"coalesce({e}.staff.anesthesiologist, 'unknown')",
+        "surgeon": f"coalesce({e}.staff.surgeon, 'unknown')",
+        "gp": f"coalesce({e}.staff.general_physician, 'unknown')",
+        "nspec": f"greatest(coalesce(size({e}.staff.specialist_types), 0), 0)",
+        "total": f"coalesce(CAST({e}.staff.total_doctor_count AS BIGINT), {nd})",
+        "sg": f"coalesce({e}.surgery.general_surgery, 'uncertain')",
+        "caes": f"coalesce({e}.surgery.caesarean, 'uncertain')",
+        "card": f"coalesce({e}.surgery.cardiac, 'uncertain')",
+        "h24": f"coalesce({e}.emergency.is_24_7, false)",
+        "em": f"coalesce({e}.emergency.emergency_care, 'uncertain')",
+        "vent": f"coalesce({e}.ventilator.present, 'uncertain')",
+        "dial": f"coalesce({e}.dialysis.present, 'uncertain')",
+    }
+    pres = lambda x: f"coalesce({x} IN {P}, false)"
+    det = " + ".join(f"CAST(coalesce({f[k]} IN {s}, false) AS INT)" for k, s in (
+        ("icu", "('confirmed', 'claimed', 'not_present')"), ("vent", "('confirmed', 'claimed', 'not_present')"),
+        ("anest", "('full_time', 'part_time', 'visiting', 'on_call')"), ("em", "('confirmed', 'claimed', 'not_present')"),
+        ("sg", "('confirmed', 'claimed', 'not_present')"), ("dial", "('confirmed', 'claimed', 'not_present')")))
+    unreliable = lambda x: f"NOT coalesce({x} IN ('full_time', 'on_call'), false)"
+    rules = [
+        ("SURGERY_NO_ANESTHESIOLOGIST", f"{pres(f['sg'])} AND {f['anest']} = 'unknown'",
+         f"concat('surgery.general_surgery=', {f['sg']}, ', staff.anesthesiologist=unknown')"),
+        ("ICU_NON_FUNCTIONAL", f"{pres(f['icu'])} AND {f['icu_fn']} = 'non_functional'",
+         f"concat('icu.present=', {f['icu']}, ', functional=', {f['icu_fn']})"),
+        ("ICU_CONFIRMED_NO_BEDS", f"{f['icu']} = 'confirmed' AND coalesce({f['beds']} = 0, true)",
+         "'ICU confirmed but bed_count missing/zero'"),
+        ("24_7_NO_STAFF", f"{f['h24']} AND {pres(f['em'])} AND {unreliable(f['gp'])} AND {unreliable(f['surgeon'])}",
+         f"concat('is_24_7=True, gp=', {f['gp']}, ', surgeon=', {f['surgeon']})"),
+        ("CARDIAC_SURGERY_LOW_TIER", f"{pres(f['card'])} AND {ft} <> 'hospital'",
+         f"concat('surgery.cardiac=', {f['card']}, ', facility_type=', {ft})"),
+        ("NO_DOCTORS_MANY_SPECIALTIES", f"coalesce({f['total']} <= 1, true) AND {f['nspec']} > 3",
+         f"concat('total_doctors=', coalesce(CAST({f['total']} AS STRING), 'None'), ', specialties=', CAST({f['nspec']} AS STRING))"),
+        ("VENTILATOR_NO_ICU", f"{pres(f['vent'])} AND {f['icu']} = 'not_present'",
+         f"concat('ventilator=', {f['vent']}, ', icu=', {f['icu']})"),
+        ("CAESAREAN_NO_ANESTHESIOLOGIST", f"{pres(f['caes'])} AND {f['anest']} = 'unknown'",
+         f"concat('caesarean=', {f['caes']}, ', anest=unknown')"),
+        ("MISSING_CRITICAL_FIELDS", f"({det}) < 3", f"concat('determined=', CAST(({det}) AS STRING), '/6')"),
+        ("EMPTY_DESCRIPTION", f"{c} < 60", f"concat('composite_text_length=', CAST({c} AS STRING))"),
+    ]
+    items = []
+    for rid, pred, ev in rules:
+        r = RULES[rid]
+        items.append(f"CASE WHEN {pred} THEN named_struct('flag_type', {_q(r.rule_id)}, 'severity', {_q(r.severity)}, "
+                     f"'description', {_q(r.description)}, 'supporting_evidence', {ev}) END")
+    return F.expr(f"filter(array({', '.join(items)}), x -> x IS NOT NULL)")

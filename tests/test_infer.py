@@ -13,3 +13,16 @@ def test_sql_and_column_builders_agree(spark):
     a = sorted(str(r) for r in df.select(infer_extraction_sql("category", "functional_status").alias("e")).collect())
     b = sorted(str(r) for r in df.select(infer_extraction(F.col("category"), F.col("functional_status")).alias("e")).collect())
     assert a == b
+
+
+def test_trust_flags_sql_equals_column_builder(spark):
+    from caregrid.operators.trust import trust_flags, trust_flags_sql
+
+    cats = list(CATEGORY_CYCLE) + [None]
+    rows = [(c, f, t, n, ctl) for c in cats for f in ("Functional", "Not Functional", None)
+            for t in ("hospital", "clinic", None) for n in (None, 1, 7) for ctl in (0, 59, 60, 500)]
+    df = spark.createDataFrame(rows, "category string, functional_status string, ftype string, nd long, ctl long")
+    df = df.withColumn("extraction", infer_extraction_sql("category", "functional_status"))
+    a = sorted(str(r) for r in df.select(trust_flags_sql("extraction", "ftype", "nd", "ctl").alias("f")).collect())
+    b = sorted(str(r) for r in df.select(trust_flags("extraction", "ftype", "nd", "ctl").alias("f")).collect())
+    assert a == b
