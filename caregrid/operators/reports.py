@@ -67,7 +67,7 @@ def quality_gates(bronze: DataFrame, gold: DataFrame, vectors: DataFrame) -> Dat
                    F.count_if(F.length(F.trim(F.coalesce("description", F.lit("")))) > 0).alias("d"))
     g = gold.agg(F.count(F.lit(1)).alias("g"))
     v = vectors.agg(F.count(F.lit(1)).alias("v"))
-    row = b.crossJoin(g).crossJoin(v)  # three single-row aggregates
+    row = side_by_side(b, g, v)
     gates = row.select(F.explode(F.array(
         F.struct(F.lit("description_share").alias("gate"), rnd(F.col("d") / F.col("n"), 6).alias("value"),
                  F.lit(0.6).alias("threshold")),
@@ -148,7 +148,15 @@ def yield_rollup(silver: DataFrame, gold: DataFrame) -> DataFrame:
                    F.sum("completion_tokens").cast("long").alias("total_completion_tokens"))
     g = gold.agg(F.count(F.lit(1)).cast("long").alias("gold_rows"), rnd(F.avg("trust_score"), 3).alias("avg_trust"),
                  rnd(F.avg("confidence.overall"), 3).alias("avg_conf"))
-    return s.crossJoin(g)
+    return side_by_side(s, g)
+
+
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Place single-row aggregates next to each other (equi-join on a constant key, one row each)."""
+    out = one_row[0].withColumn("_one", F.lit(1))
+    for df in one_row[1:]:
+        out = out.join(df.withColumn("_one", F.lit(1)), "_one", "inner")
+    return out.drop("_one")
 
 
 def readiness(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
