@@ -10,6 +10,13 @@ Spark SQL expressions; Python runs inside executors only for caller-supplied
 embedders/completers and the blocked vector dot product.
 """
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
 from caregrid.config import Params
 
+# Python workers get the functions of this package by value, so they need not be able to import it.
+register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["Params"]
