@@ -24,7 +24,6 @@ from caregrid.llm.common import lower_az, shared_path, stored, text_or_empty
 SPACE = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FANOUT = 4, 4
-BUCKETS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -50,8 +49,9 @@ def _half(md5: str, start: int) -> Column:
 class Runs:
     """The runs of a line store, by level."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int = BUCKETS):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, list[str]] = {}
 
     def tables(self) -> list[str]:
@@ -101,7 +101,7 @@ class Runs:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
-                  fanout: int = FANOUT, buckets: int = BUCKETS) -> DataFrame:
+                  fanout: int = FANOUT, buckets: int | None = None) -> DataFrame:
     """(doc_id, text_hash, dropped array<int>): the line numbers that a document loses; only documents that lose any."""
     lines = long_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(batches)).cast("int"))
     path = shared_path(docs.sparkSession, "line-keys")
