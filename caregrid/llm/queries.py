@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caregrid.llm import line_dedup, mixing, packing, simhash, toxicity
+from caregrid.llm import ann, langid, license_scan, line_dedup, mixing, packing, pii, simhash, topk, toxicity
 from caregrid.llm.common import read, stored
 
 
@@ -17,6 +17,43 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = pii.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_order"] + 1), s["start"], s["end"])), ",")
+
+    def count(i, kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind_order"] == i))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(i, k) for i, k in enumerate(pii.KINDS)]
+    return f.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = license_scan.scan(read(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["phrase"])
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+    start = F.transform(base, lambda h: h["start"])
+    return s.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
+                    labels(base).alias("base_labels"), labels(F.col("hits")).alias("labels"), "score")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = langid.identify(read(spark, sf_dir, "documents"))
+    return p.select("doc_id", (langid.fold() == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(read(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,9 +86,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_packing, op5_simhash, op7_mixing, op9_toxicity, op10_line_dedup, pipeline)}
+    f.__name__: f for f in (
+        op1_pii, op2_license, op3_packing, op4_langid, op5_simhash, op6_ann, op7_mixing, op8_topk, op9_toxicity, op10_line_dedup, pipeline)}
 
 SQL: dict[str, str] = {
+    "op8_topk": """
+WITH v AS (SELECT DISTINCT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+           WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM d),
