@@ -25,8 +25,9 @@ class Params:
     # self-correction
     low_trust_threshold: float = 0.65
     max_correction_iterations: int = 2
-    # broadcast guard for the vector query batch (rows); larger batches are split
-    max_broadcast_queries: int = 50_000
+    # bytes of query vectors (rows x dimensions x 8) that may be broadcast; larger batches go in blocks
+    max_broadcast_bytes: int = 64_000_000
+    block_queries: int = 8192
 
 
 DEFAULT = Params()

@@ -181,14 +181,6 @@ def validate(reply_json: Column, facility_id: Column) -> tuple[Column, Column]:
     return F.when(F.size(errs) == 0, ex), errs
 
 
-def parse_reply(text: str | Column, facility_id: str | Column) -> tuple[Column, Column, Column]:
-    """X1 + X2 as column expressions: (cleaned JSON text, extraction or null, errors).
-    Prefer ``parse_replies`` on DataFrames: it parses each reply once."""
-    body = unfence(text)
-    ex, errs = validate(F.try_parse_json(body), col(facility_id))
-    return body, ex, errs
-
-
 def parse_replies(df, text_col: str = "raw_response", id_col: str = "facility_id"):
     """X1 + X2 over a DataFrame: adds body, extraction (null on failure) and errors.
 
@@ -201,10 +193,16 @@ def parse_replies(df, text_col: str = "raw_response", id_col: str = "facility_id
     return staged.withColumn("extraction", ex).withColumn("errors", errs).drop("_v")
 
 
-def parse_ranking(text: str | Column) -> tuple[Column, Column]:
-    """A ranking reply -> (array of ranked items or null, errors). Each item needs an integer
-    rank, a facility id and name, a suitability in [0, 1] and a reasoning text; lists default to []."""
-    v = F.try_parse_json(unfence(text))
+def parse_ranking(df, text_col: str = "content"):
+    """X15 over a DataFrame: adds ``reply`` (query_interpretation, ranked_results, recommendation_summary,
+    uncertainty_note; null on failure) and ``errors``; the raw text stays in ``text_col``.
+
+    Each ranked item needs an integer rank, a facility id and name, a suitability in [0, 1] and a reasoning
+    text; lists default to [] and the envelope's texts to ''.
+    """
+    v = F.col("_v")
+    t = _vtype(v)
+    results = _get(v, "$.ranked_results")
     items = F.try_variant_get(v, "$.ranked_results", "array<variant>")
 
     def item(x):
@@ -220,8 +218,17 @@ def parse_ranking(text: str | Column) -> tuple[Column, Column]:
         )
 
     parsed = F.transform(F.coalesce(items, F.array().cast("array<variant>")), item)
-    bad = F.exists(parsed, lambda r: r["rank"].isNull() | r["facility_id"].isNull() | r["facility_name"].isNull()
+    bad = F.exists("_items", lambda r: r["rank"].isNull() | r["facility_id"].isNull() | r["facility_name"].isNull()
                    | r["reasoning"].isNull() | r["suitability_score"].isNull()
                    | (r["suitability_score"] < 0) | (r["suitability_score"] > 1))
-    errs = compact(F.when(v.isNull(), F.lit("invalid JSON")), F.when(bad, F.lit("invalid ranked result")))
-    return F.when(F.size(errs) == 0, parsed), errs
+    texts = ("query_interpretation", "recommendation_summary", "uncertainty_note")
+    errs = compact(
+        F.when(v.isNull(), F.lit("invalid JSON")),
+        F.when(v.isNotNull() & ~F.coalesce(t.startswith("OBJECT"), F.lit(False)), F.lit("JSON is not an object")),
+        F.when(results.isNotNull() & ~_vtype(results).startswith("ARRAY"), F.lit("ranked_results: not a list")),
+        F.when(bad, F.lit("invalid ranked result")),
+        *[F.when(_get(v, f"$.{n}").isNotNull() & (_vtype(_get(v, f"$.{n}")) != "STRING"), F.lit(f"{n}: not a string")) for n in texts])
+    text = lambda n: F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")).alias(n)
+    staged = df.withColumn("_v", F.try_parse_json(unfence(text_col))).withColumn("_items", parsed).withColumn("errors", errs)
+    reply = F.struct(text(texts[0]), F.col("_items").alias("ranked_results"), text(texts[1]), text(texts[2]))
+    return staged.withColumn("reply", F.when(F.size("errors") == 0, reply)).drop("_v", "_items")

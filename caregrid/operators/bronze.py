@@ -90,12 +90,3 @@ def quality_report(bronze: DataFrame) -> DataFrame:
         F.count_if(nonblank("address_zipOrPostcode")).cast("long").alias("with_pin_code"),
         F.count_distinct("facility_id").cast("long").alias("distinct_facility_ids"),
     )
-
-
-def quality_report_long(bronze: DataFrame) -> DataFrame:
-    """A4 in long form (metric, value) via ``stack``."""
-    wide = quality_report(bronze)
-    names = wide.columns
-    expr = "stack({n}, {pairs}) as (metric, value)".format(
-        n=len(names), pairs=", ".join(f"'{c}', {c}" for c in names))
-    return wide.selectExpr(expr)

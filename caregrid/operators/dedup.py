@@ -28,13 +28,3 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order_col: str) -> DataFram
 
 def dedup_keep_last(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     return _dedup(df, keys, order_col, last=True)
-
-
-def dropped_count(before: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows removed by a key dedup: one row (rows, distinct_keys, dropped)."""
-    per_key = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(
-        F.sum("n").cast("long").alias("rows"),
-        F.count(F.lit(1)).cast("long").alias("distinct_keys"),
-        (F.sum("n") - F.count(F.lit(1))).cast("long").alias("dropped"),
-    )

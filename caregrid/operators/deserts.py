@@ -84,16 +84,22 @@ def state_rollup(d: DataFrame, top_n: int | None = 10) -> DataFrame:
     return out
 
 
-def desert_map(d: DataFrame, state: str | None = None, high_risk_only: bool = False,
-               desert_type: str | None = None, limit: int = 100) -> DataFrame:
-    """F8 filters -> W4 order by risk desc, limit -> nested coverage struct."""
-    out = d
+def desert_filter(d: DataFrame, state: str | None = None, high_risk_only: bool = False,
+                  desert_type: str | None = None) -> DataFrame:
+    """F8: every area of a state (any case), of high risk, of one desert type; each filter optional."""
     if state:
-        out = out.where(F.lower(F.col("state")) == state.lower())
+        d = d.where(F.lower(F.col("state")) == state.lower())
     if high_risk_only:
-        out = out.where(F.col("is_high_risk"))
+        d = d.where(F.col("is_high_risk"))
     if desert_type:
-        out = out.where(F.array_contains("desert_categories", desert_type))
+        d = d.where(F.array_contains("desert_categories", desert_type))
+    return d
+
+
+def desert_map(d: DataFrame, state: str | None = None, high_risk_only: bool = False,
+               desert_type: str | None = None, limit: int = 100) -> DataFrame:
+    """F8 filters -> W4 order by risk desc, limit (a top-k report) -> nested coverage struct."""
+    out = desert_filter(d, state, high_risk_only, desert_type)
     out = out.orderBy(F.desc("desert_risk_score"), F.asc_nulls_first("pin_code"), F.asc_nulls_first("state")).limit(limit)
     return out.select(
         "pin_code", "state", "facility_count", "desert_risk_score", "is_high_risk", "desert_categories",

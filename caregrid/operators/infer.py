@@ -200,9 +200,3 @@ def infer_extraction(category: str | Column, func_stats: str | Column) -> Column
         F.concat(F.lit(NOTES_PREFIX), cat_raw).alias("extraction_notes"),
         F.concat(F.lit("Category: "), cat_raw, F.lit(". Functional: "), func_raw, F.lit(".")).alias("raw_text_used"),
     ).cast(EXTRACTION)
-
-
-def with_heuristic_extraction(df: DataFrame, category: str = "category",
-                              func_stats: str = "functional_status") -> DataFrame:
-    """Adds the ``extraction`` struct column (Silver, heuristic path)."""
-    return df.withColumn("extraction", infer_extraction(category, func_stats))

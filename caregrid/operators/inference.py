@@ -4,16 +4,18 @@ rows (L5) and the whole pipeline (L6).
 
 The model is an injected callable ``completer(messages: list[dict]) -> dict``
 returning ``{"content", "prompt_tokens", "completion_tokens"}``; it runs inside
-executors through ``mapInPandas`` (one call per row, errors captured per row).
-Every completion batch is written to a table before it is parsed or split, so
-no completer is ever called twice for a row, and a lost executor re-reads the
-written calls instead of calling the model again.
+executors through ``mapInPandas`` (one call per row, ``concurrency`` calls at a
+time in a task, errors captured per row). Every completion batch is written to a
+table before it is parsed or split, so later steps re-read the written calls; a
+task that is retried or speculated calls the model again for its rows (calls are
+at least once, and kept by key).
 """
 
 from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 
 from caregrid.config import DEFAULT, Params
 from caregrid.functions.core import col
-from caregrid.functions.parse import parse_replies
+from caregrid.functions.parse import parse_replies, unfence
 from caregrid.functions.text import truncate
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
@@ -47,6 +49,14 @@ CORRECT_SYSTEM = (
     "Return the corrected record as one JSON object."
 )
 
+RANK_SYSTEM = (
+    "You rank candidate facilities for a query. Return JSON {\"query_interpretation\": str, \"ranked_results\": "
+    "[{\"rank\", \"facility_id\", \"facility_name\", \"suitability_score\", \"reasoning\", "
+    "\"matched_capabilities\", \"warnings\", \"citations\"}], \"recommendation_summary\": str, \"uncertainty_note\": str}."
+)
+# How much source text a prompt carries.
+EXTRACT_CHARS, CORRECT_CHARS = 3000, 2000
+
 
 # ---------------------------------------------------------------------------
 # X11 prompt assembly
@@ -59,64 +69,72 @@ def messages(system: str, user: Column) -> Column:
     ).cast(MESSAGES)
 
 
-def extraction_messages(text: str | Column, facility_id: str | Column) -> Column:
-    """X11 + X9: extraction prompt over the first 3000 characters of the composite text."""
-    user = F.concat(F.lit("Facility id: "), col(facility_id), F.lit("\nDescription:\n"), truncate(text, 3000))
+def extraction_messages(text: str | Column, facility_id: str | Column, chars: int = EXTRACT_CHARS) -> Column:
+    """X11 + X9: extraction prompt over the first ``chars`` characters of the composite text."""
+    user = F.concat(F.lit("Facility id: "), col(facility_id), F.lit("\nDescription:\n"), truncate(text, chars))
     return messages(EXTRACT_SYSTEM, user)
 
 
-def validation_messages(ex: str | Column, flags: str | Column, text: str | Column, ftype: str | Column,
-                        doctors: str | Column) -> Column:
+def validation_messages(ex: str | Column, flags: str | Column, ftype: str | Column, doctors: str | Column) -> Column:
     user = F.concat(
         F.lit("Facility type: "), F.coalesce(col(ftype), F.lit("unknown")),
         F.lit("\nNumber of doctors: "), F.coalesce(col(doctors).cast("string"), F.lit("unknown")),
-        F.lit("\nSource text:\n"), truncate(F.coalesce(col(text), F.lit("")), 2000),
         F.lit("\nRecord:\n"), F.to_json(col(ex), {"ignoreNullFields": "false"}),
         F.lit("\nFlags:\n"), F.to_json(col(flags)),
     )
     return messages(VALIDATE_SYSTEM, user)
 
 
-def correction_messages(ex: str | Column, issues: str | Column, text: str | Column) -> Column:
+def correction_messages(ex: str | Column, issues: str | Column, text: str | Column, chars: int = CORRECT_CHARS) -> Column:
     user = F.concat(
-        F.lit("Source text:\n"), truncate(F.coalesce(col(text), F.lit("")), 2000),
+        F.lit("Source text:\n"), truncate(F.coalesce(col(text), F.lit("")), chars),
         F.lit("\nRecord:\n"), F.to_json(col(ex), {"ignoreNullFields": "false"}),
         F.lit("\nIssues:\n"), F.to_json(col(issues)),
     )
     return messages(CORRECT_SYSTEM, user)
 
 
+def ranking_messages(query: str | Column, min_trust: str | Column, candidates: str | Column, top_k: str | Column) -> Column:
+    """X11: ranking prompt over a query's candidate summaries (X12) as JSON."""
+    n = F.size(col(candidates)).cast("string")
+    user = F.concat(
+        F.lit('User Query: "'), col(query), F.lit('"\n\nTrust threshold for recommendation: '), col(min_trust).cast("string"),
+        F.lit("\n\nCandidate Facilities ("), n, F.lit(" total):\n"), F.to_json(col(candidates), {"ignoreNullFields": "false"}),
+        F.lit("\n\nRank these candidates. Return the top "), col(top_k).cast("string"), F.lit(" with reasons."))
+    return messages(RANK_SYSTEM, user)
+
+
 # ---------------------------------------------------------------------------
 # L1 completion calls
 # ---------------------------------------------------------------------------
 
-def complete(df: DataFrame, messages_col: str, completer, partitions: int | None = None) -> DataFrame:
+def complete(df: DataFrame, messages_col: str, completer, partitions: int | None = None, concurrency: int = 1) -> DataFrame:
     """L1: one completer call per row inside executors; per-row failures become ``call_error``.
 
-    ``partitions`` bounds the number of concurrent callers (tasks) against the model endpoint.
+    At most ``partitions`` (tasks) x ``concurrency`` (threads of a task) calls run against the endpoint at
+    once. ``input_hash`` is the SHA-256 of the messages sent.
     """
     src = df.repartition(partitions) if partitions else df
+    src = src.withColumn("input_hash", F.sha2(F.to_json(messages_col), 256))
     schema = T.StructType(src.schema.fields + CALL_FIELDS)
 
+    def call(msgs) -> tuple:
+        msgs = [{"role": m["role"], "content": m["content"]} for m in msgs]
+        t0 = time.perf_counter()
+        try:
+            r = completer(msgs)
+            out = (r.get("content"), int(r.get("prompt_tokens") or 0), int(r.get("completion_tokens") or 0))
+            error = None
+        except Exception as e:  # noqa: BLE001 - a failed call is a failure row
+            out, error = (None, 0, 0), f"{type(e).__name__}: {e}"
+        return (*out, (time.perf_counter() - t0) * 1000.0, error)
+
     def run(batches):
-        for pdf in batches:
-            out = {f.name: [] for f in CALL_FIELDS}
-            for msgs in pdf[messages_col]:
-                msgs = [{"role": m["role"], "content": m["content"]} for m in msgs]
-                t0 = time.perf_counter()
-                try:
-                    r = completer(msgs)
-                    out["content"].append(r.get("content"))
-                    out["prompt_tokens"].append(int(r.get("prompt_tokens") or 0))
-                    out["completion_tokens"].append(int(r.get("completion_tokens") or 0))
-                    out["call_error"].append(None)
-                except Exception as e:  # noqa: BLE001 - a failed call is a failure row
-                    out["content"].append(None)
-                    out["prompt_tokens"].append(0)
-                    out["completion_tokens"].append(0)
-                    out["call_error"].append(f"{type(e).__name__}: {e}"[:1000])
-                out["latency_ms"].append((time.perf_counter() - t0) * 1000.0)
-            yield pdf.assign(**{k: pd.Series(v, index=pdf.index, dtype=object) for k, v in out.items()})
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                calls = list(pool.map(call, pdf[messages_col]))
+                yield pdf.assign(**{f.name: pd.Series([c[i] for c in calls], index=pdf.index, dtype=object)
+                                    for i, f in enumerate(CALL_FIELDS)})
 
     return src.mapInPandas(run, schema)
 
@@ -131,6 +149,14 @@ class OfflineCompleter:
         if system == VALIDATE_SYSTEM:
             issues = [k for k in ("SURGERY_NO_ANESTHESIOLOGIST", "CAESAREAN_NO_ANESTHESIOLOGIST") if k.lower() in text]
             body = {"recommend_correction": bool(issues), "issues": issues}
+        elif system == RANK_SYSTEM:
+            user = msgs[-1]["content"]
+            found = json.loads(user[user.index(" total):\n") + 9:user.rindex("\n\nRank these")])
+            found.sort(key=lambda c: (-c["trust_score"], c["facility_id"]))
+            body = {"query_interpretation": "by trust", "ranked_results": [
+                {"rank": i, "facility_id": c["facility_id"], "facility_name": c["name"] or "Unknown facility",
+                 "suitability_score": c["trust_score"], "reasoning": f"trust {c['trust_score']}"} for i, c in enumerate(found, 1)],
+                "recommendation_summary": f"{len(found)} candidates", "uncertainty_note": ""}
         elif system == CORRECT_SYSTEM:
             body = {"staff": {"anesthesiologist": "on_call"}, "surgery": {"general_surgery": "claimed"},
                     "extraction_notes": "corrected: anaesthesia cover on call"}
@@ -145,7 +171,7 @@ class OfflineCompleter:
                 "raw_text_used": text[:300],
             }
         content = json.dumps(body)
-        if len(text) % 5 == 0:
+        if system == EXTRACT_SYSTEM and len(text) % 5 == 0:
             content = "```json\n" + content + "\n```"
         return {"content": content, "prompt_tokens": sum(len(m["content"]) for m in msgs) // 4,
                 "completion_tokens": len(content) // 4}
@@ -156,12 +182,15 @@ class OfflineCompleter:
 # ---------------------------------------------------------------------------
 
 def run_extract(bronze: DataFrame, completer, silver_path: str, failures_path: str, calls_path: str,
-                sample_limit: int = 0, only_missing: bool = True, partitions: int | None = None) -> DataFrame:
-    """L2: F2 -> J3 -> F3 -> X11 -> L1 (written once) -> X1/X2 -> ok/failed -> J8 into Silver and failures.
+                sample_limit: int = 0, only_missing: bool = True, partitions: int | None = None,
+                concurrency: int = 1, text_chars: int = EXTRACT_CHARS) -> DataFrame:
+    """L2: F2 -> J3 -> F3 -> X11 -> L1 (written once) -> X1/X2 (written once) -> ok/failed -> J8 into Silver
+    and failures. A later run calls the model only for facilities that Silver lacks.
 
     Returns the run metrics (A12): ok, failed, prompt and completion token totals.
     """
-    from caregrid.operators.upsert import pending, replace_table, upsert_table
+    from caregrid.operators.upsert import merge, pending, read_or_empty, replace_table, upsert_table
+    from caregrid.schemas import SILVER
     from caregrid.sources.files import table_exists
 
     spark = bronze.sparkSession
@@ -170,35 +199,32 @@ def run_extract(bronze: DataFrame, completer, silver_path: str, failures_path: s
         todo = pending(todo, spark.read.parquet(silver_path), "facility_id")
     if sample_limit > 0:
         todo = todo.orderBy("facility_id").limit(sample_limit)
-    req = todo.select("facility_id", extraction_messages("composite_text", "facility_id").alias("messages"))
-    complete(req, "messages", completer, partitions).drop("messages") \
+    req = todo.select("facility_id", extraction_messages("composite_text", "facility_id", text_chars).alias("messages"))
+    complete(req, "messages", completer, partitions, concurrency).drop("messages") \
         .withColumn("_run_ord", F.monotonically_increasing_id()) \
         .write.mode("overwrite").parquet(calls_path)
-    calls = spark.read.parquet(calls_path)
-    parsed = parse_replies(calls, "content", "facility_id")
-    ok = parsed.where(F.col("extraction").isNotNull() & F.col("call_error").isNull()).select(
-        "facility_id", F.to_json("extraction", {"ignoreNullFields": "false"}).alias("extraction_json"),
-        "prompt_tokens", "completion_tokens", "latency_ms", "_run_ord")
-    failed = parsed.where(F.col("extraction").isNull() | F.col("call_error").isNotNull()).select(
-        "facility_id",
-        F.coalesce("call_error", F.array_join("errors", "; ")).alias("error"),
-        F.substring(F.coalesce("content", F.lit("")), 1, 1000).alias("raw_response"), "_run_ord")
-    upsert_table(spark, ok, silver_path, "facility_id", "_run_ord")
+    is_ok = F.col("extraction").isNotNull() & F.col("call_error").isNull()
+    parse_replies(spark.read.parquet(calls_path), "content", "facility_id").select(
+        "facility_id", F.when(is_ok, F.to_json("extraction", {"ignoreNullFields": "false"})).alias("extraction_json"),
+        F.when(~is_ok, F.coalesce("call_error", F.array_join("errors", "; "))).alias("error"), "content",
+        "prompt_tokens", "completion_tokens", "latency_ms", "_run_ord").write.mode("overwrite").parquet(f"{calls_path}_parsed")
+    parsed = spark.read.parquet(f"{calls_path}_parsed")
+    ok = parsed.where("error is null").select(*SILVER.fieldNames(), "_run_ord")
+    failed = parsed.where("error is not null").select("facility_id", "error", F.coalesce("content", F.lit("")).alias("raw_response"), "_run_ord")
+    silver = upsert_table(spark, ok, silver_path, "facility_id", "_run_ord")
     # failures: merge the new ones, then drop any id that has since succeeded
-    merged_fail = upsert_table(spark, failed, failures_path, "facility_id", "_run_ord")
-    still = merged_fail.join(spark.read.parquet(silver_path).select("facility_id"), "facility_id", "left_anti")
-    replace_table(spark, still, failures_path)
-    return run_metrics(spark.read.parquet(calls_path), parsed)
+    merged = merge(read_or_empty(spark, failures_path, failed.schema), failed, "facility_id", "_run_ord")
+    replace_table(spark, pending(merged, silver), failures_path)
+    return run_metrics(parsed)
 
 
-def run_metrics(calls: DataFrame, parsed: DataFrame) -> DataFrame:
+def run_metrics(parsed: DataFrame) -> DataFrame:
     """Ok / failed counts and token totals of one extraction run."""
-    ok = F.col("extraction").isNotNull() & F.col("call_error").isNull()
     return parsed.agg(
-        F.count_if(ok).cast("long").alias("ok"),
-        F.count_if(~ok).cast("long").alias("failed"),
-        F.sum("prompt_tokens").cast("long").alias("prompt_tokens"),
-        F.sum("completion_tokens").cast("long").alias("completion_tokens"),
+        F.count_if(F.col("error").isNull()).cast("long").alias("ok"),
+        F.count_if(F.col("error").isNotNull()).cast("long").alias("failed"),
+        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).cast("long").alias("prompt_tokens"),
+        F.coalesce(F.sum("completion_tokens"), F.lit(0)).cast("long").alias("completion_tokens"),
     )
 
 
@@ -211,7 +237,8 @@ VALIDATION = T.StructType([T.StructField("recommend_correction", T.BooleanType()
 
 
 def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, params: Params = DEFAULT,
-                 sample_limit: int = 0, model: str = "injected") -> tuple[DataFrame, DataFrame]:
+                 sample_limit: int = 0, model: str = "injected", concurrency: int = 1,
+                 text_chars: int = CORRECT_CHARS) -> tuple[DataFrame, DataFrame]:
     """L4: low-trust Gold rows (F4) with their source text (J4), at most ``max_correction_iterations``
     validator/corrector rounds (L3) over the rows still active, then re-score (D2, D3, X13 with
     number_doctors = null) and a matched-only update of Gold (J9). Returns (new Gold, audit rows L5).
@@ -233,19 +260,18 @@ def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, p
                         "facility_type", "numberDoctors", F.lit(0).alias("iterations"))
     audits = []
     for it in range(1, params.max_correction_iterations + 1):
-        vreq = active.select("*", validation_messages("extraction", "trust_flags", "composite_text",
-                                                      "facility_type", "numberDoctors").alias("messages"))
+        vreq = active.select("*", validation_messages("extraction", "trust_flags", "facility_type", "numberDoctors")
+                             .alias("messages"))
         vpath = f"{work_dir}/validate_{it}"
-        complete(vreq, "messages", completer).drop("messages").write.mode("overwrite").parquet(vpath)
-        v = spark.read.parquet(vpath).withColumn("verdict", F.from_json(
-            __import__("caregrid.functions.parse", fromlist=["unfence"]).unfence("content"), VALIDATION))
+        complete(vreq, "messages", completer, concurrency=concurrency).drop("messages").write.mode("overwrite").parquet(vpath)
+        v = spark.read.parquet(vpath).withColumn("verdict", F.from_json(unfence("content"), VALIDATION))
         audits.append(_audit(v, "validation", "validator", it, model))
         todo = v.where(F.coalesce("verdict.recommend_correction", F.lit(False)))
-        creq = todo.select("*", correction_messages("extraction", "verdict.issues", "composite_text")
+        creq = todo.select("*", correction_messages("extraction", "verdict.issues", "composite_text", text_chars)
                            .alias("messages")).drop("content", "prompt_tokens", "completion_tokens", "latency_ms",
-                                                    "call_error")
+                                                    "call_error", "input_hash")
         cpath = f"{work_dir}/correct_{it}"
-        complete(creq, "messages", completer).drop("messages").write.mode("overwrite").parquet(cpath)
+        complete(creq, "messages", completer, concurrency=concurrency).drop("messages").write.mode("overwrite").parquet(cpath)
         c = parse_replies(spark.read.parquet(cpath).withColumnRenamed("extraction", "_old"), "content", "facility_id")
         audits.append(_audit(c, "correction", "corrector", it, model))
         fixed = c.where(F.col("extraction").isNotNull()).select(
@@ -283,13 +309,12 @@ def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, p
 
 
 def _audit(calls: DataFrame, event_type: str, agent: str, iteration: int, model: str) -> DataFrame:
-    """One audit row per model call, with sha256 of input and output."""
-    inp = F.to_json(F.struct(*[F.col(c) for c in ("facility_id",)]))
+    """One audit row per model call, with sha256 of the messages sent and of the reply."""
     return calls.select(
         F.sha2(F.concat_ws("|", F.col("facility_id"), F.lit(event_type), F.lit(str(iteration))), 256).alias("event_id"),
         "facility_id", F.lit(event_type).alias("event_type"), F.current_timestamp().alias("event_ts"),
         F.lit(agent).alias("agent_name"), F.lit(iteration).alias("iteration"),
-        F.sha2(inp, 256).alias("input_hash"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("output_hash"),
+        "input_hash", F.sha2(F.coalesce("content", F.lit("")), 256).alias("output_hash"),
         F.lit(model).alias("llm_model"),
         (F.col("prompt_tokens") + F.col("completion_tokens")).cast("int").alias("tokens_used"),
         F.col("latency_ms").cast("float").alias("latency_ms"), F.col("call_error").alias("notes"),
@@ -301,12 +326,14 @@ def _audit(calls: DataFrame, event_type: str, agent: str, iteration: int, model:
 # ---------------------------------------------------------------------------
 
 def pipeline(spark: SparkSession, raw: DataFrame, root: str, completer=None, embed=None, skip_extract: bool = False,
-             skip_correct: bool = True, params: Params = DEFAULT) -> dict[str, str]:
-    """Ingest -> (model or heuristic) Silver -> Gold -> optional self-correction -> vector table
-    -> deserts, each stage written under ``root`` so any stage can restart from the previous one."""
+             skip_correct: bool = False, params: Params = DEFAULT, concurrency: int = 1) -> dict[str, str]:
+    """Ingest -> (model or heuristic) Silver -> Gold -> self-correction where a model is given -> vector
+    table -> deserts, each stage written under ``root`` so any stage can restart from the previous one.
+    ``gold`` is the corrected table once the correction has run."""
     from caregrid.operators.bronze import ingest
     from caregrid.operators.deserts import deserts
     from caregrid.operators.gold import heuristic_gold, rule_gold
+    from caregrid.operators.upsert import replace_table
 
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("bronze", "silver", "silver_failures", "calls", "gold",
                                                   "deserts", "audit", "vectors", "work")}
@@ -316,16 +343,16 @@ def pipeline(spark: SparkSession, raw: DataFrame, root: str, completer=None, emb
     if completer is None or skip_extract:
         gold = heuristic_gold(bronze)
     else:
-        run_extract(bronze, completer, paths["silver"], paths["silver_failures"], paths["calls"]).collect()
+        run_extract(bronze, completer, paths["silver"], paths["silver_failures"], paths["calls"],
+                    concurrency=concurrency).collect()  # one row
         silver = parse_replies(spark.read.parquet(paths["silver"]), "extraction_json", "facility_id")
         gold = rule_gold(silver.select("facility_id", "extraction"), bronze)
     gold.write.mode("overwrite").parquet(paths["gold"])
     gold = spark.read.parquet(paths["gold"])
     if completer is not None and not skip_correct:
-        new_gold, audit = self_correct(gold, bronze, completer, paths["work"], params)
-        new_gold.write.mode("overwrite").parquet(paths["gold"] + "_corrected")
+        new_gold, audit = self_correct(gold, bronze, completer, paths["work"], params, concurrency=concurrency)
         audit.write.mode("append").parquet(paths["audit"])
-        gold = spark.read.parquet(paths["gold"] + "_corrected")
+        gold = replace_table(spark, new_gold, paths["gold"])
     if embed is not None:
         embed(gold).write.mode("overwrite").parquet(paths["vectors"])
     deserts(gold, params).write.mode("overwrite").parquet(paths["deserts"])

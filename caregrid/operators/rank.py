@@ -90,7 +90,7 @@ def candidate_summary(meta: DataFrame) -> DataFrame:
     three source texts, confidence.overall)."""
     ex = F.col("extraction")
     return meta.select(
-        "facility_id", "name",
+        *[c for c in ("query_id", "retrieval_rank") if c in meta.columns], "facility_id", "name",
         F.concat(F.coalesce("address_city", F.lit("")), F.lit(", "), F.coalesce("address_state", F.lit("")),
                  F.lit(" - "), F.coalesce("address_zip", F.lit(""))).alias("location"),
         "facility_type", rnd(F.coalesce("trust_score", F.lit(0.0)), 3).alias("trust_score"),
@@ -108,20 +108,26 @@ def candidate_summary(meta: DataFrame) -> DataFrame:
 
 def revalidate(hits: DataFrame, queries: DataFrame, gold: DataFrame) -> DataFrame:
     """Keep hits whose facility is still in Gold with trust >= the query's minimum; refresh attributes."""
-    g = gold.select("facility_id", "name", "trust_score", "extraction", "confidence")
+    g = gold.select("facility_id", "name", "address_city", "address_state", "address_zip", "facility_type", "trust_score",
+                    "extraction", "confidence")
     qm = queries.select("query_id", "min_trust_score")
     return (hits.join(g, "facility_id", "inner").join(qm, "query_id", "inner")
             .where(F.col("trust_score") >= F.col("min_trust_score")).drop("min_trust_score"))
 
 
+def intent_satisfaction(cands: DataFrame) -> DataFrame:
+    """Adds the query's ``intents`` that the facility's record satisfies (matched) and a phrase for each (evidence)."""
+    ex = F.col("extraction")
+    c = cands.withColumn("matched", F.filter("intents", lambda i: intent_matched(i, ex)))
+    return c.withColumn("evidence", F.filter(F.transform("matched", lambda i: intent_evidence(i, ex)), lambda e: e != ""))
+
+
+# Fixed values below: the sentences of a ranked result.
 def fallback_rank(cands: DataFrame, queries: DataFrame, top_k_col: str = "top_k") -> DataFrame:
     """.55*clip(sim) + .30*trust + .15*coverage, reasoning text, warnings; top_k per query,
     ties kept in retrieval order."""
     q = queries.select("query_id", query_intents("query").alias("intents"), F.col(top_k_col).alias("_top_k"))
-    ex = F.col("extraction")
-    c = cands.join(q, "query_id", "inner")
-    c = c.withColumn("matched", F.filter("intents", lambda i: intent_matched(i, ex)))
-    c = c.withColumn("evidence", F.filter(F.transform("matched", lambda i: intent_evidence(i, ex)), lambda e: e != ""))
+    c = intent_satisfaction(cands.join(q, "query_id", "inner"))
     n_int = F.size("intents")
     sim = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity")))
     trust = rnd(F.coalesce("trust_score", F.lit(0.0)), 3)
@@ -170,30 +176,92 @@ def enrich(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     return ranked.join(meta, "facility_id", "left")
 
 
+def model_rank(valid: DataFrame, queries: DataFrame, completer, calls_path: str, concurrency: int = 1) -> DataFrame:
+    """The model ranker: one call per query over its candidates' summaries (X12, ``vector_top_k`` at most).
+
+    Calls are written to ``calls_path`` before they are parsed. Returns query_id, content, call_error,
+    prompt_tokens, completion_tokens, reply (X15, null on failure) and errors.
+    """
+    from caregrid.functions.parse import parse_ranking
+    from caregrid.operators.inference import complete, ranking_messages
+
+    spark = valid.sparkSession
+    summary = candidate_summary(valid)
+    fields = [c for c in summary.columns if c not in ("query_id", "retrieval_rank")]
+    per = summary.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("retrieval_rank", F.struct(*fields).alias("c")))),
+                                                      lambda x: x["c"]).alias("candidates"))
+    req = per.join(queries.select("query_id", "query", "min_trust_score", "top_k"), "query_id")
+    req = req.select("query_id", ranking_messages("query", "min_trust_score", "candidates", "top_k").alias("messages"))
+    complete(req, "messages", completer, concurrency=concurrency).drop("messages").write.mode("overwrite").parquet(calls_path)
+    return parse_ranking(spark.read.parquet(calls_path))
+
+
 def query_facilities(queries: DataFrame, vt: DataFrame, gold: DataFrame, params: Params = DEFAULT,
-                     mode: str = "postfilter") -> tuple[DataFrame, DataFrame]:
-    """V2 -> J5 -> D14 -> J6 for a batch of text queries.
+                     mode: str = "prefilter", completer=None, calls_path: str | None = None,
+                     concurrency: int = 1) -> tuple[DataFrame, DataFrame]:
+    """V2 -> J5 -> ranker -> J6 for a batch of text queries.
 
     ``queries``: query_id, query, query_vec, state, city, facility_type, min_trust_score (null -> default), top_k.
-    Returns (ranked results, per-query counters with the empty-result messages).
+    With a ``completer`` the model ranks each query's candidates; queries whose call or reply fails, and all
+    queries without one, get the deterministic ranker (D14, ``fallback_mode``).
+    Returns (ranked results, one response per query: interpretation, summary, note, filters, counters).
     """
     from caregrid.operators.vector import search
 
     qs = queries.withColumn("min_trust_score", F.coalesce("min_trust_score", F.lit(params.min_trust_for_reasoning)))
     hits = search(qs, vt, top_k=params.vector_top_k, mode=mode, params=params)
     valid = revalidate(hits, qs, gold)
-    ranked = enrich(fallback_rank(valid, qs), gold)
+    calls = None
+    if completer is None:
+        ranked = fallback_rank(valid, qs)
+    else:
+        calls = model_rank(valid, qs, completer, calls_path, concurrency)
+        by_model = calls.where(F.col("reply").isNotNull()).select("query_id", F.inline("reply.ranked_results")).drop("citations")
+        by_model = by_model.join(valid.select("query_id", "facility_id", "retrieval_rank"), ["query_id", "facility_id"], "left")
+        rest = valid.join(calls.where(F.col("reply").isNotNull()).select("query_id"), "query_id", "left_anti")
+        plain = fallback_rank(rest, qs)
+        ranked = plain.unionByName(by_model.select(*plain.columns))
+    ranked = enrich(ranked, gold)
     n_hits = hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("candidates_retrieved"))
     n_valid = valid.groupBy("query_id").agg(F.count(F.lit(1)).cast("long").alias("candidates_after_filter"))
-    top = ranked.groupBy("query_id").agg(F.max("suitability_score").alias("top_suitability"))
-    stats = (qs.select("query_id", "min_trust_score").join(n_hits, "query_id", "left").join(n_valid, "query_id", "left")
-             .join(top, "query_id", "left").fillna(0, subset=["candidates_retrieved", "candidates_after_filter"]))
-    stats = stats.withColumn(
-        "recommendation_summary",
-        F.when(F.col("candidates_retrieved") == 0, F.lit("No candidates met the filter and trust criteria."))
-        .when(F.col("candidates_after_filter") == 0, F.lit("Candidates were filtered out by the trust threshold."))
-        .otherwise(F.lit(None).cast("string")))
-    return ranked, stats
+    top = ranked.groupBy("query_id").agg(F.max("suitability_score").alias("top_suitability"), F.count(F.lit(1)).cast("long").alias("n_ranked"))
+    stats = (qs.select("query_id", "query", "min_trust_score", "state", "city", "facility_type")
+             .join(n_hits, "query_id", "left").join(n_valid, "query_id", "left").join(top, "query_id", "left")
+             .fillna(0, subset=["candidates_retrieved", "candidates_after_filter", "n_ranked"]))
+    if calls is not None:
+        stats = stats.join(calls.select("query_id", "reply", F.coalesce("call_error", F.array_join("errors", "; ")).alias("_error"),
+                                        "prompt_tokens", "completion_tokens", F.col("content").alias("raw_reply")), "query_id", "left")
+    else:
+        stats = stats.select("*", F.lit(None).cast("struct<query_interpretation:string,recommendation_summary:string,uncertainty_note:string>")
+                             .alias("reply"), F.lit("no model configured").alias("_error"), F.lit(0).cast("long").alias("prompt_tokens"),
+                             F.lit(0).cast("long").alias("completion_tokens"), F.lit(None).cast("string").alias("raw_reply"))
+    return ranked, _responses(stats)
+
+
+# Fixed values below: the sentences of a response.
+def _responses(stats: DataFrame) -> DataFrame:
+    n, kept = F.col("n_ranked").cast("string"), F.col("candidates_after_filter").cast("string")
+    none, out = F.col("candidates_retrieved") == 0, F.col("candidates_after_filter") == 0
+    intents = F.array_join(query_intents("query"), ", ")
+    plain = F.concat(F.lit("Heuristic ranker (LLM unavailable). Detected intents: "),
+                     F.when(intents != "", intents).otherwise(F.lit("general search")), F.lit("."))
+    summary = F.concat(F.lit("Top "), n, F.lit(" of "), kept, F.lit(
+        " candidates ranked by vector similarity, structured trust score, and capability match. The LLM reasoning service is "
+        "currently unreachable; results below are deterministic and grounded in the gold extraction records."))
+    note = F.concat(F.lit("LLM error: "), F.col("_error"), F.lit(
+        ". Reasoning fields are auto-generated from structured capabilities; please verify by phone before travel."))
+    model = F.col("reply").isNotNull()
+    return stats.select(
+        "query_id", "query", F.when(none | out, F.lit("")).when(model, F.col("reply.query_interpretation")).otherwise(plain).alias("query_interpretation"),
+        F.when(none, F.lit("No candidates met the filter and trust criteria."))
+        .when(out, F.lit("Candidates were filtered out by the trust threshold."))
+        .when(model, F.col("reply.recommendation_summary")).otherwise(summary).alias("recommendation_summary"),
+        F.when(none, F.lit("")).when(out, F.concat(F.lit("Try lowering min_trust_score below "), F.col("min_trust_score").cast("string"), F.lit(".")))
+        .when(model, F.col("reply.uncertainty_note")).otherwise(note).alias("uncertainty_note"),
+        F.col("min_trust_score").alias("trust_threshold"), F.struct("state", "city", "facility_type").alias("filters"),
+        (~model & ~none & ~out).alias("fallback_mode"), "candidates_retrieved", "candidates_after_filter", "top_suitability",
+        F.struct(F.col("prompt_tokens").alias("prompt"), F.col("completion_tokens").alias("completion")).alias("tokens"), "raw_reply",
+    )
 
 
 def intents_of_text(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -61,19 +61,20 @@ def registry_profile(reg: DataFrame) -> DataFrame:
     return counts.unionByName(extra)
 
 
-def quality_gates(bronze: DataFrame, gold: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Description share > 60%, extraction success > 85%, indexed rows = Gold rows."""
+def quality_gates(bronze: DataFrame, gold: DataFrame, vectors: DataFrame, silver: DataFrame,
+                  failures: DataFrame) -> DataFrame:
+    """Description share > 60%, extraction success (Silver rows of all extracted) > 85%, indexed rows = Gold rows."""
+    rows = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
     b = bronze.agg(F.count(F.lit(1)).alias("n"),
                    F.count_if(F.length(F.trim(F.coalesce("description", F.lit("")))) > 0).alias("d"))
-    g = gold.agg(F.count(F.lit(1)).alias("g"))
-    v = vectors.agg(F.count(F.lit(1)).alias("v"))
-    row = side_by_side(b, g, v)
+    row = side_by_side(b, rows(gold, "g"), rows(vectors, "v"), rows(silver, "s"), rows(failures, "f"))
+    share = lambda a, b: F.when(b > 0, rnd(a / b, 6))
     gates = row.select(F.explode(F.array(
-        F.struct(F.lit("description_share").alias("gate"), rnd(F.col("d") / F.col("n"), 6).alias("value"),
+        F.struct(F.lit("description_share").alias("gate"), share(F.col("d"), F.col("n")).alias("value"),
                  F.lit(0.6).alias("threshold")),
-        F.struct(F.lit("extraction_success").alias("gate"), rnd(F.col("g") / F.col("n"), 6).alias("value"),
+        F.struct(F.lit("extraction_success").alias("gate"), share(F.col("s"), F.col("s") + F.col("f")).alias("value"),
                  F.lit(0.85).alias("threshold")),
-        F.struct(F.lit("indexed_share").alias("gate"), rnd(F.col("v") / F.col("g"), 6).alias("value"),
+        F.struct(F.lit("indexed_share").alias("gate"), share(F.col("v"), F.col("g")).alias("value"),
                  F.lit(1.0).alias("threshold")),
     )).alias("x")).select("x.*")
     return gates.withColumn("pass", F.when(F.col("gate") == "indexed_share", F.col("value") == F.col("threshold"))
@@ -88,16 +89,27 @@ def geo_ready_regions(deserts: DataFrame) -> DataFrame:
 
 
 def trust_report(gold: DataFrame) -> DataFrame:
-    """Per-facility trust report projection (flat)."""
+    """Per facility the trust report - grade, flags with their details, confidence, and the six
+    sections of the extraction."""
     return gold.select(
         "facility_id", "name",
         F.concat(F.coalesce("address_city", F.lit("None")), F.lit(", "), F.coalesce("address_state", F.lit("None")))
         .alias("location"),
-        "trust_score", trust_grade("trust_score").alias("trust_grade"),
-        TR.flags_text("trust_flags").alias("flag_types"),
-        F.col("confidence.overall").alias("confidence_overall"), "correction_iterations",
-        F.col("extraction.icu.present").alias("icu_present"),
-        F.col("extraction.emergency.emergency_care").alias("emergency_care"),
+        "trust_score", trust_grade("trust_score").alias("trust_grade"), "trust_flags", "confidence", "correction_iterations",
+        F.struct(*[F.col(f"extraction.{s}").alias(s) for s in ("icu", "ventilator", "staff", "emergency", "surgery", "dialysis")])
+        .alias("extraction_summary"),
+        F.col("extraction.extraction_notes").alias("extraction_notes"),
+    )
+
+
+def facility_profile(gold: DataFrame) -> DataFrame:
+    """Per facility the full profile - address, coordinates, trust, confidence and all capabilities."""
+    return gold.select(
+        "facility_id", "name",
+        F.struct(F.col("address_city").alias("city"), F.col("address_state").alias("state"), F.col("address_zip").alias("pin_code")).alias("address"),
+        F.struct("latitude", "longitude").alias("coordinates"),
+        "facility_type", "operator_type", "trust_score", "trust_flags", "confidence",
+        F.col("extraction").alias("capabilities"), "correction_iterations",
     )
 
 
@@ -152,11 +164,12 @@ def yield_rollup(silver: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def side_by_side(*one_row: DataFrame) -> DataFrame:
-    """Place single-row aggregates next to each other (equi-join on a constant key, one row each)."""
-    out = one_row[0].withColumn("_one", F.lit(1))
+    """Single-row aggregates next to each other: a union with nulls, reduced to one row."""
+    names = [c for df in one_row for c in df.columns]
+    out = one_row[0]
     for df in one_row[1:]:
-        out = out.join(df.withColumn("_one", F.lit(1)), "_one", "inner")
-    return out.drop("_one")
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in names])
 
 
 def readiness(spark: SparkSession, tables: dict[str, str]) -> DataFrame:

@@ -1,9 +1,10 @@
 """Keyed merge operators: resume anti-join (J3/U2), upsert (J8 + A3), matched-only update.
 
-The merge is two shuffles on the key (anti-join, keep-last dedup of the batch)
-and one union; nothing is collected. ``upsert_table`` writes the merged result
-to a staging folder first and swaps it in afterwards, so the table being read
-is never overwritten while it is the merge's input.
+The merge is two shuffles on the key (anti-join, keep-last dedup of the batch) and one union; nothing is
+collected. ``upsert_table`` keeps its table partitioned by a hash of the key and rewrites only the partitions
+that the batch touches (Spark's dynamic partition overwrite, whose new files become visible at commit).
+``replace_table`` writes a whole new table beside the old one and swaps the folders, keeping the old one until
+the new one is in place; ``recover`` undoes a swap that was cut short.
 """
 
 from __future__ import annotations
@@ -31,30 +32,64 @@ def merge(existing: DataFrame | None, updates: DataFrame, key: str, order_col: s
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-def upsert_table(spark: SparkSession, updates: DataFrame, path: str, key: str, order_col: str) -> DataFrame:
-    """J8 on a Parquet table: merge into ``path`` (created if absent) via write-to-staging then swap."""
+BUCKETS = 16
+BUCKET = "key_bucket"
+
+
+def upsert_table(spark: SparkSession, updates: DataFrame, path: str, key: str, order_col: str,
+                 buckets: int = BUCKETS) -> DataFrame:
+    """J8 on a Parquet table (created if absent): merge ``updates`` into the key buckets that they touch."""
+    from caregrid.sources.files import table_exists
+
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    updates = updates.withColumn(BUCKET, bucket)
+    existing = None
+    if table_exists(spark, path):
+        touched = [r[0] for r in updates.select(BUCKET).distinct().collect()]  # ``buckets`` numbers at most
+        existing = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+    merged = merge(existing, updates, key, order_col)
+    merged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return read_or_empty(spark, path, merged.schema)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, or an empty one where no file has been written."""
     from caregrid.sources.files import table_exists
 
-    existing = spark.read.parquet(path) if table_exists(spark, path) else None
-    return replace_table(spark, merge(existing, updates, key, order_col), path)
+    return spark.read.parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return p, p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to a staging folder, then swap it in for ``path`` (safe when df reads path)."""
-    staging = path.rstrip("/") + ".__staging"
-    df.write.mode("overwrite").parquet(staging)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    src = jvm.org.apache.hadoop.fs.Path(staging)
-    dst = jvm.org.apache.hadoop.fs.Path(path)
-    fs = dst.getFileSystem(conf)
+    path = path.rstrip("/")
+    df.write.mode("overwrite").parquet(f"{path}.__staging")
+    p, fs = _fs(spark, path)
+    dst, old = p(path), p(f"{path}.__old")
     if fs.exists(dst):
-        fs.delete(dst, True)
-    if not fs.rename(src, dst):
-        raise IOError(f"could not move {staging} to {path}")
+        if fs.exists(old):
+            fs.delete(old, True)
+        fs.rename(dst, old)
+    if not fs.rename(p(f"{path}.__staging"), dst):
+        raise OSError(f"could not move {path}.__staging to {path}")
+    if fs.exists(old):
+        fs.delete(old, True)
     return spark.read.parquet(path)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """After a swap that was cut short: put the old table back if none is in place."""
+    path = path.rstrip("/")
+    p, fs = _fs(spark, path)
+    if not fs.exists(p(path)) and fs.exists(p(f"{path}.__old")):
+        return fs.rename(p(f"{path}.__old"), p(path))
+    return False
+
+
 def update_matched(target: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """J9 (MERGE ... WHEN MATCHED UPDATE): for keys present in ``updates`` (deduplicated by the caller),
     replace ``columns``; other rows and columns untouched; no rows inserted."""

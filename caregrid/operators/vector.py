@@ -1,21 +1,16 @@
 """Vector table (V3), embedding job (V1) and exact inner-product search.
 
-Search never forms the query x corpus pair table. Two physical paths:
-
-* broadcast: the query batch is counted first and broadcast only when it is at
-  most ``Params.max_broadcast_queries`` rows (64-d float32 -> ~13 MB at the
-  default); each corpus partition runs one blocked numpy matmul against it in
-  ``mapInPandas`` and emits only its local top-``fetch_k`` (plus exact ties) per
-  query.
-* blocked: larger query batches are split into query blocks; every block meets
-  every corpus block once through ``cogroup(...).applyInPandas`` (no driver
-  round trip), again emitting only local top-k candidates.
-
-A final window (``row_number`` over query_id ordered by rounded similarity
-desc, facility_id) picks the global top-k from <= partitions x fetch_k
-candidates per query. Local selection keeps every row within 1.5e-6 of the
-local k-th raw score, so rounding to 6 decimals afterwards cannot change the
-global winners.
+Search never forms the query x corpus pair table. A task keeps, per query, its best k rows over all the
+batches it reads, ordered by (similarity rounded to 6 decimals, facility_id), and hands on these alone: at
+most tasks x k rows per query, however many rows tie. Two physical paths give the same rows:
+
+* broadcast: the query vectors fit in ``Params.max_broadcast_bytes`` (rows x dimensions x 8) and every
+  task meets all of them;
+* blocked: larger query batches are dealt into blocks that meet corpus blocks through
+  ``cogroup(...).applyInPandas``, without passing through the driver.
+
+A window then picks the global top k. ``prefilter`` applies a query's filters first and so finds k rows
+whenever k match; ``postfilter`` (W3) over-fetches 4 k rows and filters those.
 """
 
 from __future__ import annotations
@@ -27,14 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caregrid.config import DEFAULT, Params
-from caregrid.functions.core import col, rnd
+from caregrid.functions.core import col
 
 CAND_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("facility_id", T.StringType()),
-    T.StructField("similarity_raw", T.DoubleType()),
+    T.StructField("similarity", T.DoubleType()),
 ])
-TIE_MARGIN = 1.5e-6
 FILTER_COLS = ("address_state", "address_city", "facility_type", "trust_score")
 
 
@@ -69,22 +63,22 @@ def embed_texts(df: DataFrame, text_col: str, embedder, dim: int, out_col: str =
 
 
 class HashingEmbedder:
-    """A dependency-free embedder for offline runs: signed feature hashing of
-    lower-cased word tokens (stable across processes)."""
+    """A dependency-free embedder for offline runs: signed feature hashing of lower-cased word tokens by
+    their MD5 (stable across processes, and expressible in SQL)."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
         self.model = f"hashing-{dim}"
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        import hashlib
         import re
-        import zlib
 
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for i, t in enumerate(texts):
             for tok in re.findall(r"[a-z0-9]+", (t or "").lower()):
-                h = zlib.crc32(tok.encode())
-                out[i, h % self.dim] += 1.0 if (h >> 16) & 1 else -1.0
+                h = hashlib.md5(tok.encode()).hexdigest()
+                out[i, int(h[:4], 16) % self.dim] += 1.0 if h[4] in "13579bdf" else -1.0
         return out
 
 
@@ -120,117 +114,130 @@ def _filter_mask(corpus: pd.DataFrame, state, city, ftype, min_trust) -> np.ndar
     return m
 
 
-def _local_topk(qids, qmat, qfilters, corpus: pd.DataFrame, fetch_k: int, prefilter: bool) -> pd.DataFrame:
-    """Top fetch_k (plus near-ties) corpus rows per query for one corpus block."""
-    if len(corpus) == 0 or len(qids) == 0:
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "facility_id": pd.Series([], dtype=object),
-                             "similarity_raw": pd.Series([], dtype="float64")})
-    cmat = np.stack(corpus["embedding"].to_numpy()).astype(np.float64)
-    fids = corpus["facility_id"].to_numpy()
-    out_q, out_f, out_s = [], [], []
-    block = max(1, 4_000_000 // max(1, len(corpus)))
-    masks = {}
-    for start in range(0, len(qids), block):
-        sims = qmat[start:start + block] @ cmat.T
-        for j in range(sims.shape[0]):
-            row = sims[j]
-            if prefilter:
-                key = qfilters[start + j]
-                if key not in masks:
-                    masks[key] = _filter_mask(corpus, *key)
-                valid = np.flatnonzero(masks[key])
-                row = row[valid]
-            else:
-                valid = None
-            if row.size == 0:
-                continue
-            k = min(fetch_k, row.size)
-            kth = np.partition(row, row.size - k)[row.size - k]
-            keep = np.flatnonzero(row >= kth - TIE_MARGIN)
-            idx = keep if valid is None else valid[keep]
-            out_q.append(np.full(idx.size, qids[start + j], dtype=np.int64))
-            out_f.append(fids[idx])
-            out_s.append(row[keep])
-    if not out_q:
-        return _local_topk([], None, None, corpus.iloc[0:0], fetch_k, prefilter)
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "facility_id": np.concatenate(out_f),
-                         "similarity_raw": np.concatenate(out_s)})
+def round6(x: np.ndarray) -> np.ndarray:
+    """Half up to 6 decimals by way of 9, as ``functions.core.rnd`` rounds."""
+    nine = np.floor(np.abs(x) * 1e9 + 0.5)
+    return np.copysign(np.floor(nine / 1000 + 0.5) / 1e6, x) + 0.0
+
+
+class LocalTopK:
+    """The best k corpus rows per query over any number of batches, ties to the smaller facility_id."""
+
+    def __init__(self, queries, k: int, prefilter: bool):
+        self.qids, self.qmat, self.filters = queries
+        self.k, self.prefilter = k, prefilter
+        self.sims = [np.empty(0)] * len(self.qids)
+        self.ids = [np.empty(0, dtype=object)] * len(self.qids)
+
+    def add(self, corpus: pd.DataFrame) -> None:
+        if len(corpus) == 0 or len(self.qids) == 0:
+            return
+        corpus = corpus.sort_values("facility_id", kind="stable")
+        cmat = np.stack(corpus["embedding"].to_numpy()).astype(np.float64)
+        fids = corpus["facility_id"].to_numpy()
+        masks: dict = {}
+        block = max(1, 4_000_000 // len(corpus))
+        for start in range(0, len(self.qids), block):
+            sims = round6(self.qmat[start:start + block] @ cmat.T)
+            for j, row in enumerate(sims, start):
+                ok = np.ones(len(row), dtype=bool)
+                if self.prefilter:
+                    key = self.filters[j]
+                    if key not in masks:
+                        masks[key] = _filter_mask(corpus, *key)
+                    ok = masks[key]
+                if len(self.sims[j]) == self.k:  # equal similarities stay in for the tie on the id
+                    ok = ok & (row >= self.sims[j][-1])
+                at = np.flatnonzero(ok)
+                if len(at) > self.k:  # rows are in id order, so a stable sort settles ties
+                    at = at[np.argsort(-row[at], kind="stable")[:self.k]]
+                if len(at):
+                    sim, ids = np.concatenate([self.sims[j], row[at]]), np.concatenate([self.ids[j], fids[at]])
+                    best = np.lexsort((ids.astype(str), -sim))[:self.k]
+                    self.sims[j], self.ids[j] = sim[best], ids[best]
+
+    def result(self) -> pd.DataFrame:
+        n = [len(s) for s in self.sims]
+        return pd.DataFrame({
+            "query_id": np.repeat(np.asarray(self.qids, dtype=np.int64), n),
+            "facility_id": np.concatenate(self.ids) if n else np.empty(0, dtype=object),
+            "similarity": np.concatenate(self.sims) if n else np.empty(0)})
 
 
 def _query_arrays(qpdf: pd.DataFrame):
     qids = qpdf["query_id"].to_numpy(dtype=np.int64)
     qmat = np.stack(qpdf["query_vec"].to_numpy()).astype(np.float64) if len(qpdf) else np.zeros((0, 1))
     filt = list(zip(
-        *[qpdf[c].where(qpdf[c].notna(), None).tolist() for c in ("state", "city", "facility_type", "min_trust_score")]
+        *[qpdf[c].astype(object).where(qpdf[c].notna(), None).tolist() for c in ("state", "city", "facility_type", "min_trust_score")]
     )) if len(qpdf) else []
     return qids, qmat, filt
 
 
-def _candidates_broadcast(queries: DataFrame, corpus: DataFrame, fetch_k: int, prefilter: bool) -> DataFrame:
-    spark = queries.sparkSession
-    qpdf = queries.select("query_id", "query_vec", "state", "city", "facility_type", "min_trust_score").toPandas()
-    bq = spark.sparkContext.broadcast(_query_arrays(qpdf))
-    cols = ["facility_id", "embedding", *FILTER_COLS]
+QUERY_COLS = ("query_id", "query_vec", "state", "city", "facility_type", "min_trust_score")
+
+
+def _candidates_broadcast(queries: DataFrame, corpus: DataFrame, k: int, prefilter: bool) -> DataFrame:
+    bq = queries.sparkSession.sparkContext.broadcast(_query_arrays(queries.select(*QUERY_COLS).toPandas()))  # size checked
 
     def run(batches):
-        qids, qmat, filt = bq.value
+        best = LocalTopK(bq.value, k, prefilter)
         for pdf in batches:
-            yield _local_topk(qids, qmat, filt, pdf, fetch_k, prefilter)
+            best.add(pdf)
+        yield best.result()
 
-    return corpus.select(*cols).mapInPandas(run, CAND_SCHEMA)
+    return corpus.select("facility_id", "embedding", *FILTER_COLS).mapInPandas(run, CAND_SCHEMA)
 
 
-def _candidates_blocked(queries: DataFrame, corpus: DataFrame, fetch_k: int, prefilter: bool,
+def _candidates_blocked(queries: DataFrame, corpus: DataFrame, k: int, prefilter: bool,
                         q_blocks: int, c_blocks: int) -> DataFrame:
-    q = queries.select("query_id", "query_vec", "state", "city", "facility_type", "min_trust_score",
-                       F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
+    q = queries.select(*QUERY_COLS, F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
                        F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     c = corpus.select("facility_id", "embedding", *FILTER_COLS,
                       F.pmod(F.xxhash64("facility_id"), F.lit(c_blocks)).alias("cb"),
                       F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
 
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        qids, qmat, filt = _query_arrays(qpdf)
-        return _local_topk(qids, qmat, filt, cpdf, fetch_k, prefilter)
+        best = LocalTopK(_query_arrays(qpdf), k, prefilter)
+        best.add(cpdf)
+        return best.result()
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, CAND_SCHEMA)
 
 
-def search(queries: DataFrame, vt: DataFrame, top_k: int | None = None, mode: str = "postfilter",
+def candidates(queries: DataFrame, corpus: DataFrame, k: int, prefilter: bool, params: Params = DEFAULT,
+               force_blocked: bool = False) -> DataFrame:
+    """Per task (or corpus block) and query at most k rows, the global k best among them."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query_vec")).alias("dim")).first()  # one row
+    if size["n"] * (size["dim"] or 0) * 8 <= params.max_broadcast_bytes and not force_blocked:
+        return _candidates_broadcast(queries, corpus, k, prefilter)
+    q_blocks = max(1, -(-size["n"] // params.block_queries))
+    c_blocks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _candidates_blocked(queries, corpus, k, prefilter, q_blocks, c_blocks)
+
+
+def search(queries: DataFrame, vt: DataFrame, top_k: int | None = None, mode: str = "prefilter",
            params: Params = DEFAULT, force_blocked: bool = False) -> DataFrame:
-    """V2: per query, the top_k facilities by inner product, with metadata filters.
+    """V2: per query, the top_k facilities by inner product that pass its metadata filters.
 
     ``queries``: query_id, query_vec, state, city, facility_type, min_trust_score (+ top_k column or arg).
-    postfilter (parity): over-fetch min(N, overfetch*k) by similarity, filter, keep the first k - may
-    return fewer than k. prefilter: filter first, then k.
-    Returns query_id, facility_id, similarity (rounded 6), retrieval_rank.
+    ``mode="postfilter"`` (W3): over-fetch overfetch * k by similarity, filter, keep the first k - may
+    return fewer than k although more match. Returns query_id, facility_id, similarity (rounded 6),
+    retrieval_rank.
     """
     k = top_k or params.vector_top_k
-    n_corpus = vt.count()
-    fetch_k = min(n_corpus, params.overfetch * k) if mode == "postfilter" else k
-    if fetch_k <= 0:
-        return queries.sparkSession.createDataFrame([], "query_id long, facility_id string, similarity double, retrieval_rank int")
-    prefilter = mode == "prefilter"
-    n_queries = queries.count()
-    if n_queries <= params.max_broadcast_queries and not force_blocked:
-        cand = _candidates_broadcast(queries, vt, fetch_k, prefilter)
-    else:
-        q_blocks = max(1, -(-n_queries // params.max_broadcast_queries))
-        c_blocks = max(1, int(vt.rdd.getNumPartitions()))
-        cand = _candidates_blocked(queries, vt, fetch_k, prefilter, q_blocks, c_blocks)
-    cand = cand.withColumn("similarity", rnd("similarity_raw", 6)).drop("similarity_raw")
+    post = mode == "postfilter"
+    fetch_k = params.overfetch * k if post else k
+    cand = candidates(queries, vt, fetch_k, not post, params, force_blocked)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("facility_id"))
-    top = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= fetch_k)
-    meta = vt.select("facility_id", *FILTER_COLS)
-    top = top.join(meta, "facility_id", "inner")
-    if mode == "postfilter":
+    top = cand.withColumn("retrieval_rank", F.row_number().over(w)).where(F.col("retrieval_rank") <= fetch_k)
+    if post:
         qf = queries.select("query_id", F.col("state").alias("_qs"), F.col("city").alias("_qc"),
                             F.col("facility_type").alias("_qt"), F.col("min_trust_score").alias("_qm"))
-        top = top.join(qf, "query_id", "inner").where(
+        top = top.join(vt.select("facility_id", *FILTER_COLS), "facility_id", "inner").join(qf, "query_id", "inner").where(
             (F.col("_qs").isNull() | (F.lower(F.coalesce("address_state", F.lit(""))) == F.lower("_qs")))
             & (F.col("_qc").isNull() | (F.lower(F.coalesce("address_city", F.lit(""))) == F.lower("_qc")))
             & (F.col("_qt").isNull() | (F.lower(F.coalesce("facility_type", F.lit(""))) == F.lower("_qt")))
             & (F.col("_qm").isNull() | (F.coalesce("trust_score", F.lit(0.0)) >= F.col("_qm"))))
-    w2 = Window.partitionBy("query_id").orderBy(F.asc("_r"))
-    out = top.withColumn("retrieval_rank", F.row_number().over(w2)).where(F.col("retrieval_rank") <= k)
-    return out.select("query_id", "facility_id", "similarity", "retrieval_rank")
+        w2 = Window.partitionBy("query_id").orderBy(F.asc("retrieval_rank"))
+        top = top.withColumn("retrieval_rank", F.row_number().over(w2)).where(F.col("retrieval_rank") <= k)
+    return top.select("query_id", "facility_id", "similarity", "retrieval_rank")

@@ -6,6 +6,7 @@ rounded the same way on both sides, so the driver can hash-compare them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -374,27 +375,16 @@ def d7(spark, sf):
                   "SELECT request_id, count(*)::BIGINT AS n_candidates FROM rk_scored GROUP BY request_id"))
 def f5(spark, sf):
     GEO, req, g = _geo_inputs(spark, sf)
-    fac = GEO.facility_candidates(g)
-    pairs = GEO.candidate_pairs(req, fac).where(
-        (~F.col("functional_only") | F.col("_func_l").isin("functional", ""))
-        & ((F.col("min_trust_score") <= 0) | (F.col("trust_score") >= F.col("min_trust_score"))))
+    pairs = GEO.eligible_pairs(GEO.check_requests(req)[0], GEO.facility_candidates(g))
     return pairs.groupBy("request_id").agg(F.count(F.lit(1)).cast("long").alias("n_candidates"))
 
 
 @register("D9", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"),),
                   "SELECT request_id, facility_id, distance_km, cap_score, composite_score FROM rk_scored"))
 def d9(spark, sf):
-    from caregrid.config import DEFAULT as P_
-
     GEO, req, g = _geo_inputs(spark, sf)
-    fac = GEO.facility_candidates(g)
-    pairs = GEO.candidate_pairs(req, fac).where(
-        (~F.col("functional_only") | F.col("_func_l").isin("functional", ""))
-        & ((F.col("min_trust_score") <= 0) | (F.col("trust_score") >= F.col("min_trust_score"))))
-    cap = GEO._need_score(F.col("need_type"))
-    comp = rnd(F.lit(P_.w_dist) * F.exp(-F.col("distance_km") / F.lit(P_.decay_km))
-               + F.lit(P_.w_trust) * F.coalesce("trust_score", F.lit(0.0)) + F.lit(P_.w_cap) * cap, 4)
-    return pairs.select("request_id", "facility_id", "distance_km", cap.alias("cap_score"), comp.alias("composite_score"))
+    pairs = GEO.eligible_pairs(GEO.check_requests(req)[0], GEO.facility_candidates(g))
+    return GEO.score_pairs(pairs).select("request_id", "facility_id", "distance_km", "cap_score", "composite_score")
 
 
 _D11_COLS = """request_id, rank, facility_id, facility_name, composite_score, distance_km, estimated_travel_min,
@@ -429,13 +419,14 @@ req2 AS (
 
 
 @register("D12", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"), _RETRY_SQL, O.ranked_sql("req2", "rk2")), f"""
-SELECT *, CAST(count(*) OVER (PARTITION BY request_id) AS INTEGER) AS total_found FROM (
+SELECT request_id, rank, facility_id, composite_score, distance_km, fallback_used, message,
+  CAST(count(facility_id) OVER (PARTITION BY request_id) AS INTEGER) AS total_found FROM (
   SELECT request_id, rank, facility_id, composite_score, distance_km, false AS fallback_used, '' AS message FROM rk
   UNION ALL
-  SELECT k.request_id, k.rank, k.facility_id, k.composite_score, k.distance_km, true AS fallback_used,
+  SELECT m.request_id, k.rank, k.facility_id, k.composite_score, k.distance_km, true AS fallback_used,
     'No ' || m.need_type || ' specialists found within ' || printf('%.0f', m.radius_km)
       || ' km. Showing nearest general facilities instead.' AS message
-  FROM rk2 k JOIN missing m ON k.request_id = m.request_id
+  FROM missing m LEFT JOIN rk2 k ON k.request_id = m.request_id
 )"""))
 def d12(spark, sf):
     GEO, req, g = _geo_inputs(spark, sf)
@@ -464,18 +455,17 @@ def v3(spark, sf):
     return vt.select("facility_id", "embedding_dim", rnd(norm, 6).alias("embedding_norm"))
 
 
-@register("V2", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), "SELECT * FROM hits"))
+@register("V2", q(O.CHAIN_VECTOR + (O.prefilter_sql(5),), "SELECT * FROM hits"))
 def v2(spark, sf):
     VX, qs, vt = _vector_inputs(spark, sf)
-    return VX.search(qs, vt, top_k=5, mode="postfilter")
+    return VX.search(qs, vt, top_k=5)
 
 
-@register("W3", q(O.CHAIN_VECTOR, """SELECT query_id, facility_id, similarity,
-  CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, facility_id) AS INTEGER) AS retrieval_rank
-FROM sims_ok QUALIFY retrieval_rank <= 5"""))
+@register("W3", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), "SELECT * FROM hits"))
 def w3(spark, sf):
+    """Over-fetch 4 k by similarity, filter, keep k: may give fewer than k."""
     VX, qs, vt = _vector_inputs(spark, sf)
-    return VX.search(qs, vt, top_k=5, mode="prefilter")
+    return VX.search(qs, vt, top_k=5, mode="postfilter")
 
 
 @register("J11", q(O.CHAIN_VECTOR, """SELECT query_id, facility_id, similarity, CAST(sim_rank AS INTEGER) AS retrieval_rank
@@ -484,14 +474,14 @@ def j11(spark, sf):
     VX, qs, vt = _vector_inputs(spark, sf)
     unfiltered = qs.select("query_id", "query_vec", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("state", "string"), ("city", "string"), ("facility_type", "string"), ("min_trust_score", "double"))])
-    return VX.search(unfiltered, vt, top_k=20, mode="prefilter")
+    return VX.search(unfiltered, vt, top_k=20)
 
 
-@register("V2B", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), "SELECT * FROM hits"))
+@register("V2B", q(O.CHAIN_VECTOR + (O.prefilter_sql(5),), "SELECT * FROM hits"))
 def v2_blocked(spark, sf):
     """V2 through the blocked cogroup path (the plan used above the broadcast bound)."""
     VX, qs, vt = _vector_inputs(spark, sf)
-    return VX.search(qs, vt, top_k=5, mode="postfilter", force_blocked=True)
+    return VX.search(qs, vt, top_k=5, force_blocked=True)
 
 
 # ---------------------------------------------------------------------------
@@ -546,19 +536,17 @@ def d14(spark, sf):
     return _rank_select(_ranked(spark, sf)[0])
 
 
-@register("D13", q(O.CHAIN_RANK, "SELECT query_id, facility_id, matched_capabilities FROM ranked_all"))
+@register("D13", q(O.CHAIN_RANK, "SELECT query_id, facility_id, matched_capabilities, evidence_text AS evidence FROM ranked_all"))
 def d13(spark, sf):
+    from caregrid.functions.text import query_intents
     from caregrid.operators import rank as RK
 
     VX, qs, vt = _vector_inputs(spark, sf)
     qs = qs.withColumn("min_trust_score", F.coalesce("min_trust_score", F.lit(0.4)))
-    hits = VX.search(qs, vt, top_k=20, mode="postfilter")
-    valid = RK.revalidate(hits, qs, PL.gold(spark, sf))
-    intents = qs.select("query_id", __import__("caregrid.functions.text", fromlist=["x"]).query_intents("query").alias("intents"))
-    ex = F.col("extraction")
-    out = valid.join(intents, "query_id").select(
-        "query_id", "facility_id", F.filter("intents", lambda i: RK.intent_matched(i, ex)).alias("m"))
-    return out.select("query_id", "facility_id", F.array_join("m", ",").alias("matched_capabilities"))
+    valid = RK.revalidate(VX.search(qs, vt, top_k=20), qs, PL.gold(spark, sf))
+    out = RK.intent_satisfaction(valid.join(qs.select("query_id", query_intents("query").alias("intents")), "query_id"))
+    return out.select("query_id", "facility_id", F.array_join("matched", ",").alias("matched_capabilities"),
+                      F.array_join("evidence", "; ").alias("evidence"))
 
 
 @register("J5", q(O.CHAIN_RANK, "SELECT query_id, facility_id, retrieval_rank FROM rcands"))
@@ -567,7 +555,7 @@ def j5(spark, sf):
 
     VX, qs, vt = _vector_inputs(spark, sf)
     qs = qs.withColumn("min_trust_score", F.coalesce("min_trust_score", F.lit(0.4)))
-    hits = VX.search(qs, vt, top_k=20, mode="postfilter")
+    hits = VX.search(qs, vt, top_k=20)
     return RK.revalidate(hits, qs, PL.gold(spark, sf)).select("query_id", "facility_id", "retrieval_rank")
 
 
@@ -576,12 +564,50 @@ def j5(spark, sf):
        WHEN trust_score >= 0.40 THEN 'D' ELSE 'F' END AS meta_trust_grade FROM ranked"""))
 def d15(spark, sf):
     r = _ranked(spark, sf)[0]
-    return _rank_select(r.select("*", F.col("facility_meta.city").alias("meta_city"),
-                                 F.col("facility_meta.state").alias("meta_state"),
-                                 F.col("facility_meta.trust_grade").alias("meta_trust_grade"))).join(
-        r.select("query_id", "facility_id", F.col("facility_meta.city").alias("meta_city"),
-                 F.col("facility_meta.state").alias("meta_state"),
-                 F.col("facility_meta.trust_grade").alias("meta_trust_grade")), ["query_id", "facility_id"])
+    m = F.col("facility_meta")
+    return r.select("query_id", "rank", "facility_id", "facility_name", "suitability_score", "reasoning",
+                    F.array_join("matched_capabilities", ",").alias("matched_capabilities"),
+                    F.array_join("warnings", "; ").alias("warnings"), m["city"].alias("meta_city"),
+                    m["state"].alias("meta_state"), m["trust_grade"].alias("meta_trust_grade"))
+
+
+_RESPONSE_SQL = f"""
+resp AS (
+  SELECT vq.query_id, vq.query, coalesce(vq.min_trust_score, {O.dbl(0.4)}) AS trust_threshold, coalesce(h.n, 0) AS n_hits, coalesce(c.n, 0) AS n_valid,
+    coalesce(r.n, 0) AS n_ranked, array_to_string({O.intents_sql('vq.query')}, ', ') AS tags
+  FROM vq LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY 1) h ON vq.query_id = h.query_id
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM rcands GROUP BY 1) c ON vq.query_id = c.query_id
+  LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked GROUP BY 1) r ON vq.query_id = r.query_id
+)"""
+
+
+@register("D15R", q(O.CHAIN_RANK + (_RESPONSE_SQL,), """SELECT query_id, trust_threshold, n_hits > 0 AND n_valid > 0 AS fallback_mode,
+  CASE WHEN n_hits = 0 OR n_valid = 0 THEN '' ELSE 'Heuristic ranker (LLM unavailable). Detected intents: '
+    || coalesce(nullif(tags, ''), 'general search') || '.' END AS query_interpretation,
+  CASE WHEN n_hits = 0 THEN 'No candidates met the filter and trust criteria.' WHEN n_valid = 0 THEN 'Candidates were filtered out by the trust threshold.'
+    ELSE 'Top ' || n_ranked || ' of ' || n_valid || ' candidates ranked by vector similarity, structured trust score, and capability match. '
+      || 'The LLM reasoning service is currently unreachable; results below are deterministic and grounded in the gold extraction records.' END AS recommendation_summary,
+  CASE WHEN n_hits = 0 THEN '' WHEN n_valid = 0 THEN 'Try lowering min_trust_score below ' || trust_threshold || '.'
+    ELSE 'LLM error: no model configured. Reasoning fields are auto-generated from structured capabilities; please verify by phone before travel.' END AS uncertainty_note
+FROM resp"""))
+def d15_response(spark, sf):
+    """The per-query response of D15."""
+    return _ranked(spark, sf)[1].select("query_id", "trust_threshold", "fallback_mode", "query_interpretation",
+                                        "recommendation_summary", "uncertainty_note")
+
+
+@register("D15M", q(O.CHAIN_RANK, """SELECT query_id, facility_id, facility_name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY trust DESC, facility_id) AS INTEGER) AS rank,
+  trust AS suitability_score, false AS fallback_mode FROM (SELECT *, """ + O.rd("coalesce(trust_score, 0.0)", 3) + """ AS trust FROM ranked_all)"""))
+def d15_model(spark, sf):
+    """D15 through the model ranker with the offline stand-in, which orders by trust."""
+    from caregrid.operators import rank as RK
+    from caregrid.operators.inference import OfflineCompleter
+
+    VX, qs, vt = _vector_inputs(spark, sf)
+    ranked, resp = RK.query_facilities(qs, vt, PL.gold(spark, sf), completer=OfflineCompleter(),
+                                       calls_path=PL.table_path(spark, sf, "rank_calls"))
+    return ranked.join(resp.select("query_id", "fallback_mode"), "query_id").select(
+        "query_id", "facility_id", "facility_name", "rank", "suitability_score", "fallback_mode")
 
 
 @register("J6", q(O.CHAIN_RANK, """SELECT query_id, facility_id, address_city AS city, address_state AS state,
@@ -730,20 +756,22 @@ def a10(spark, sf):
 @register("A16", q(O.CHAIN_VECTOR, f"""SELECT gate, value, threshold,
   CASE WHEN gate = 'indexed_share' THEN value = threshold ELSE value > threshold END AS pass FROM (
   SELECT 'description_share' AS gate, {O.rd("CAST((SELECT count_if(length(trim(coalesce(description, ''))) > 0) FROM bronze) AS DOUBLE) / CAST((SELECT count(*) FROM bronze) AS DOUBLE)", 6)} AS value, {O.dbl(0.6)} AS threshold
-  UNION ALL SELECT 'extraction_success', {O.rd("CAST((SELECT count(*) FROM gold) AS DOUBLE) / CAST((SELECT count(*) FROM bronze) AS DOUBLE)", 6)}, {O.dbl(0.85)}
+  UNION ALL SELECT 'extraction_success', {O.dbl(1.0)}, {O.dbl(0.85)}
   UNION ALL SELECT 'indexed_share', {O.rd("CAST((SELECT count(*) FROM vt) AS DOUBLE) / CAST((SELECT count(*) FROM gold) AS DOUBLE)", 6)}, {O.dbl(1.0)})"""))
 def a16(spark, sf):
     from caregrid.operators import reports as RP
 
     VX, _, vt = _vector_inputs(spark, sf)
-    return RP.quality_gates(PL.bronze(spark, sf), PL.gold(spark, sf), vt)
+    paths = _extract_run(spark, sf)[1]
+    return RP.quality_gates(PL.bronze(spark, sf), PL.gold(spark, sf), vt, spark.read.parquet(paths["silver_llm"]),
+                            spark.read.parquet(paths["silver_llm_failures"]))
 
 
 @register("F8", q(O.CHAIN_DESERTS, """SELECT pin_code, state, desert_risk_score FROM deserts
 WHERE desert_risk_score >= 0.70 AND contains(desert_categories, 'EMERGENCY_DESERT')"""))
 def f8(spark, sf):
     d = PL.desert_table(spark, sf)
-    return DZ.desert_map(d, high_risk_only=True, desert_type="EMERGENCY_DESERT", limit=2000).select(
+    return DZ.desert_filter(d, high_risk_only=True, desert_type="EMERGENCY_DESERT").select(
         "pin_code", "state", "desert_risk_score")
 
 
@@ -758,12 +786,36 @@ def f11(spark, sf):
 @register("D19", q(O.CHAIN_GOLD, """SELECT facility_id, name, coalesce(address_city, 'None') || ', ' || coalesce(address_state, 'None') AS location,
   trust_score, CASE WHEN trust_score >= 0.85 THEN 'A' WHEN trust_score >= 0.70 THEN 'B' WHEN trust_score >= 0.55 THEN 'C'
        WHEN trust_score >= 0.40 THEN 'D' ELSE 'F' END AS trust_grade,
-  flag_types, conf_overall AS confidence_overall, 0 AS correction_iterations, icu_present, em_care AS emergency_care
+  flag_types, flag_evidence, conf_overall AS confidence_overall, conf_low AS confidence_low, 0 AS correction_iterations, icu_present,
+  vent_present, anest AS anesthesiologist, em_care AS emergency_care, sg_cardiac AS cardiac, dial_machines, 'Heuristic inference from category: ' || coalesce(category, '') AS extraction_notes
 FROM gold"""))
 def d19(spark, sf):
+    """Trust report, flattened for comparison."""
+    from caregrid.operators import reports as RP
+
+    r, x = RP.trust_report(PL.gold(spark, sf)), F.col("extraction_summary")
+    return r.select(
+        "facility_id", "name", "location", "trust_score", "trust_grade", TR.flags_text("trust_flags").alias("flag_types"),
+        F.array_join(F.transform("trust_flags", lambda f: f["supporting_evidence"]), " ; ").alias("flag_evidence"),
+        F.col("confidence.overall").alias("confidence_overall"), F.col("confidence.confidence_interval_low").alias("confidence_low"),
+        "correction_iterations", x.icu.present.alias("icu_present"), x.ventilator.present.alias("vent_present"),
+        x.staff.anesthesiologist.alias("anesthesiologist"), x.emergency.emergency_care.alias("emergency_care"),
+        x.surgery.cardiac.alias("cardiac"), x.dialysis.machine_count.alias("dial_machines"),
+        "extraction_notes")
+
+
+@register("D19P", q(O.CHAIN_GOLD, """SELECT facility_id, name, address_city AS city, address_state AS state, address_zip AS pin_code, latitude, longitude,
+  facility_type, operator_type, trust_score, CAST(n_flags AS INTEGER) AS n_flags, conf_overall AS confidence_overall, 0 AS correction_iterations,
+  array_to_string(specialties_list, ',') AS specialties, icu_beds FROM gold"""))
+def d19_profile(spark, sf):
+    """Facility profile, flattened for comparison."""
     from caregrid.operators import reports as RP
 
-    return RP.trust_report(PL.gold(spark, sf))
+    p, c = RP.facility_profile(PL.gold(spark, sf)), F.col("capabilities")
+    return p.select("facility_id", "name", "address.city", "address.state", "address.pin_code", "coordinates.latitude", "coordinates.longitude",
+                    "facility_type", "operator_type", "trust_score", F.size("trust_flags").alias("n_flags"),
+                    F.col("confidence.overall").alias("confidence_overall"), "correction_iterations",
+                    F.array_join(c.specialties_extracted, ",").alias("specialties"), c.icu.bed_count.alias("icu_beds"))
 
 
 # ---------------------------------------------------------------------------
@@ -799,11 +851,14 @@ def a3(spark, sf):
 WHERE facility_id NOT IN (SELECT facility_id FROM latest)
 UNION ALL SELECT facility_id, name, trust_score, batch_ord FROM latest"""))
 def j8(spark, sf):
-    from caregrid.operators.upsert import merge
+    """The upsert on a table: Gold written first, then the batch merged into the key buckets that it touches."""
+    from caregrid.operators.upsert import upsert_table
 
-    existing = PL.gold(spark, sf).select("facility_id", "name", "trust_score")
-    return merge(existing, _batch(spark, sf), "facility_id", "batch_ord").select(
-        "facility_id", "name", "trust_score", "batch_ord")
+    path = PL.table_path(spark, sf, f"gold_upsert_{uuid.uuid4().hex}")
+    existing = PL.gold(spark, sf).select("facility_id", "name", "trust_score", F.lit(-1).cast("long").alias("batch_ord"))
+    upsert_table(spark, existing, path, "facility_id", "batch_ord")
+    return upsert_table(spark, _batch(spark, sf), path, "facility_id", "batch_ord").select(
+        "facility_id", "name", "trust_score", F.nullif("batch_ord", F.lit(-1)).alias("batch_ord"))
 
 
 @register("J9", q(O.CHAIN_GOLD + (_BATCH_SQL,), """SELECT g.facility_id, coalesce(l.name, g.name) AS name,
@@ -846,7 +901,7 @@ def j1(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Model jobs with the deterministic offline completer (no SQL oracle: Python model)
+# Model jobs with the deterministic offline completer, which the oracle repeats in SQL
 # ---------------------------------------------------------------------------
 
 def _extract_run(spark, sf):
@@ -861,27 +916,37 @@ def _extract_run(spark, sf):
     return PL._STAGES[key]
 
 
-@register("L2")
+@register("L2", q(O.CHAIN_LLM, """SELECT facility_id, l_icu AS icu_present, l_em AS em_care, l_24 AS is_24_7, l_sg AS general_surgery,
+  l_caes AS caesarean, l_dial AS dialysis, array_to_string(l_specs, ',') AS specialties, raw_text_used, prompt_tokens, completion_tokens FROM llm"""))
 def l2(spark, sf):
+    from caregrid.schemas import EXTRACTION
+
     _, paths = _extract_run(spark, sf)
-    return spark.read.parquet(paths["silver_llm"]).select("facility_id", "extraction_json", "prompt_tokens",
-                                                          "completion_tokens")
+    x = F.col("x")
+    return spark.read.parquet(paths["silver_llm"]).withColumn("x", F.from_json("extraction_json", EXTRACTION)).select(
+        "facility_id", x.icu.present.alias("icu_present"), x.emergency.emergency_care.alias("em_care"), x.emergency.is_24_7.alias("is_24_7"),
+        x.surgery.general_surgery.alias("general_surgery"), x.surgery.caesarean.alias("caesarean"), x.dialysis.present.alias("dialysis"),
+        F.array_join(x.specialties_extracted, ",").alias("specialties"), x.raw_text_used.alias("raw_text_used"), "prompt_tokens", "completion_tokens")
 
 
-@register("A12")
+@register("A12", q(O.CHAIN_LLM, """SELECT count(*)::BIGINT AS ok, 0::BIGINT AS failed, sum(prompt_tokens)::BIGINT AS prompt_tokens,
+  sum(completion_tokens)::BIGINT AS completion_tokens FROM llm"""))
 def a12(spark, sf):
     m, _ = _extract_run(spark, sf)
     return m
 
 
-@register("L1")
+@register("L1", q(O.CHAIN_LLM, "SELECT facility_id, content, prompt_tokens, completion_tokens, CAST(NULL AS VARCHAR) AS call_error FROM llm"))
 def l1(spark, sf):
     _, paths = _extract_run(spark, sf)
     return spark.read.parquet(paths["calls_llm"]).select("facility_id", "content", "prompt_tokens",
                                                          "completion_tokens", "call_error")
 
 
-@register("A11")
+@register("A11", q(O.CHAIN_LLM, f"""SELECT (SELECT count(*) FROM llm)::BIGINT AS silver_rows, sum_p AS total_prompt_tokens, sum_c AS total_completion_tokens,
+  (SELECT count(*) FROM gold)::BIGINT AS gold_rows, (SELECT {O.rd('avg(trust_score)', 3)} FROM gold) AS avg_trust,
+  (SELECT {O.rd('avg(conf_overall)', 3)} FROM gold) AS avg_conf
+FROM (SELECT sum(prompt_tokens)::BIGINT AS sum_p, sum(completion_tokens)::BIGINT AS sum_c FROM llm)"""))
 def a11(spark, sf):
     """Token / yield rollup: silver rows, gold rows, avg trust, avg confidence, token sums."""
     from caregrid.operators import reports as RP
@@ -904,16 +969,20 @@ def _corrected(spark, sf):
     return PL._STAGES[key]
 
 
-@register("L4")
+_CORRECTED_SQL = """SELECT g.facility_id, coalesce(f.new_score, g.trust_score) AS trust_score, CASE WHEN f.facility_id IS NULL THEN 0 ELSE 1 END AS correction_iterations
+FROM gold g LEFT JOIN fixed f ON g.facility_id = f.facility_id"""
+
+
+@register("L4", q(O.CHAIN_CORRECTION, _CORRECTED_SQL))
 def l4(spark, sf):
     g, _ = _corrected(spark, sf)
     return g.select("facility_id", "trust_score", "correction_iterations")
 
 
-@register("L5")
+@register("L5", q(O.CHAIN_CORRECTION, """SELECT facility_id, event_type, agent_name, iteration, sha256(content) AS output_hash, 64 AS input_hash_length FROM calls"""))
 def l5(spark, sf):
     _, a = _corrected(spark, sf)
-    return a.select("facility_id", "event_type", "agent_name", "iteration", "input_hash", "output_hash", "tokens_used")
+    return a.select("facility_id", "event_type", "agent_name", "iteration", "output_hash", F.length("input_hash").alias("input_hash_length"))
 
 
 # ---------------------------------------------------------------------------
@@ -1010,10 +1079,11 @@ def x9(spark, sf):
 # Sinks and model-side reports (rows-only: they read what the model jobs wrote)
 # ---------------------------------------------------------------------------
 
-@register("S8")
+@register("S8", q(O.CHAIN_LLM, """SELECT g.facility_id, g.name, coalesce(g.address_city, '') AS address_city, g.facility_type, g.trust_score,
+  l.prompt_tokens, l.completion_tokens FROM gold g JOIN llm l ON g.facility_id = l.facility_id"""))
 def s8(spark, sf):
-    """CSV sink of the Gold x Silver summary ordered by trust, read back."""
-    from caregrid.sources.files import write_csv
+    """CSV sink of the Gold x Silver summary ordered by trust, read back and typed."""
+    from caregrid.sources.files import read_csv_all_string, write_csv
 
     _, paths = _extract_run(spark, sf)
     silver = spark.read.parquet(paths["silver_llm"])
@@ -1023,7 +1093,10 @@ def s8(spark, sf):
                .orderBy(F.desc("trust_score"), "facility_id"))
     path = PL.table_path(spark, sf, "llm_summary_csv")
     write_csv(summary, path)
-    return spark.read.option("header", True).csv(path)
+    back = read_csv_all_string(spark, path, summary.columns)
+    return back.select("facility_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("address_city", F.lit("")).alias("address_city"),
+                       "facility_type", F.col("trust_score").try_cast("double").alias("trust_score"),
+                       *[F.col(c).try_cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens")])
 
 
 @register("S9", q(O.CHAIN_DESERTS, f"""SELECT pin_code, state, {O.rd('centroid_lat', 6)} AS centroid_lat,
@@ -1039,14 +1112,16 @@ def s9(spark, sf):
     return spark.read.schema(regions.schema).json(path)
 
 
-@register("J7")
+@register("J7", q(O.CHAIN_LLM, """SELECT g.facility_id, g.trust_score, l.prompt_tokens, l.completion_tokens
+FROM gold g JOIN llm l ON g.facility_id = l.facility_id"""))
 def j7(spark, sf):
     _, paths = _extract_run(spark, sf)
     return PL.gold(spark, sf).join(spark.read.parquet(paths["silver_llm"]), "facility_id", "inner").select(
         "facility_id", "trust_score", "prompt_tokens", "completion_tokens")
 
 
-@register("F10")
+@register("F10", q(O.CHAIN_LLM, """SELECT g.facility_id, g.trust_score, l.prompt_tokens FROM gold g JOIN llm l ON g.facility_id = l.facility_id
+WHERE g.trust_score > 0.5 AND l.prompt_tokens > 0 AND l.completion_tokens > 0"""))
 def f10(spark, sf):
     _, paths = _extract_run(spark, sf)
     s = spark.read.parquet(paths["silver_llm"])
@@ -1055,7 +1130,8 @@ def f10(spark, sf):
         .select("facility_id", "trust_score", "prompt_tokens"))
 
 
-@register("A14")
+@register("A14", q(O.CHAIN_GOLD, """SELECT 'bronze' AS layer, true AS ready, count(*)::BIGINT AS rows FROM bronze
+UNION ALL SELECT 'gold', true, count(*)::BIGINT FROM gold UNION ALL SELECT 'deserts', false, 0::BIGINT"""))
 def a14(spark, sf):
     """Readiness counts per layer (a missing table counts as not ready)."""
     from caregrid.operators import reports as RP
@@ -1066,15 +1142,20 @@ def a14(spark, sf):
     return RP.readiness(spark, tables)
 
 
-@register("A15")
+@register("A15", q(O.CHAIN_LLM, """SELECT g.facility_id, b.composite_text_length, g.trust_score, l.prompt_tokens + l.completion_tokens AS tokens,
+  CAST(g.n_flags AS INTEGER) AS n_flags, CAST(g.n_high AS INTEGER) AS n_high_flags, 0 AS correction_iterations
+FROM gold g JOIN llm l ON g.facility_id = l.facility_id JOIN bronze b ON g.facility_id = b.facility_id"""))
 def a15(spark, sf):
     from caregrid.operators import reports as RP
 
     _, paths = _extract_run(spark, sf)
-    return RP.trace_metrics(PL.gold(spark, sf), spark.read.parquet(paths["silver_llm"]), PL.bronze(spark, sf))
+    # latency differs from run to run
+    return RP.trace_metrics(PL.gold(spark, sf), spark.read.parquet(paths["silver_llm"]), PL.bronze(spark, sf)).drop("latency_ms")
 
 
-@register("X12")
+@register("X12", q(O.CHAIN_VECTOR, f"""SELECT g.facility_id, coalesce(g.address_city, '') || ', ' || coalesce(g.address_state, '') || ' - ' || coalesce(g.address_zip, '') AS location,
+  {O.rd('coalesce(g.trust_score, 0.0)', 3)} AS trust_score, g.conf_overall AS confidence_overall, CAST(least(10, len(g.specialties_list)) AS INTEGER) AS n_specialties
+FROM gold g JOIN vt ON g.facility_id = vt.facility_id"""))
 def x12(spark, sf):
     from caregrid.operators import rank as RK
 
@@ -1083,31 +1164,45 @@ def x12(spark, sf):
                                            F.size("capabilities.specialties").alias("n_specialties"))
 
 
-@register("X15")
+@register("X15", q(O.CHAIN_RANK, """SELECT query_id, CAST(count(*) AS INTEGER) AS n_ranked, '' AS errors, 'asked: ' || query_id AS query_interpretation, '' AS uncertainty_note,
+  string_agg(facility_id, ',' ORDER BY rank) AS facilities FROM ranked GROUP BY query_id
+UNION ALL SELECT -query_id - 1, CAST(NULL AS INTEGER), 'invalid ranked result', NULL, NULL, NULL FROM ranked WHERE rank = 1"""))
 def x15(spark, sf):
-    """Ranking replies built from the deterministic ranker's output (as a model would return them),
-    validated back (round trip)."""
+    """Ranking replies built from the deterministic ranker's output (as a model would return them), parsed back;
+    each also without its suitability scores, which must be rejected."""
     from caregrid.functions.parse import parse_ranking
 
     r = _ranked(spark, sf)[0]
-    replies = r.groupBy("query_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(
-        "rank", "facility_id", "facility_name", "suitability_score", "reasoning", "matched_capabilities",
-        "warnings"))).alias("ranked_results"))).alias("reply"))
-    items, errs = parse_ranking("reply")
-    return replies.select("query_id", F.size(items).alias("n_ranked"), F.size(errs).alias("n_errors"))
-
-
-@register("V1")
+    fields = ("rank", "facility_id", "facility_name", "reasoning", "matched_capabilities", "warnings")
+    listed = lambda *more: F.sort_array(F.collect_list(F.struct(*fields, *more))).alias("ranked_results")
+    said = F.concat(F.lit("asked: "), F.col("query_id").cast("string")).alias("query_interpretation")
+    both = r.groupBy("query_id").agg(listed("suitability_score").alias("good"), listed().alias("bad")).select("query_id", F.explode(F.array(
+        F.struct(F.col("query_id").alias("id"), F.to_json(F.struct(said, F.col("good").alias("ranked_results"))).alias("content")),
+        F.struct((-F.col("query_id") - 1).alias("id"), F.to_json(F.struct(said, F.col("bad").alias("ranked_results"))).alias("content")))).alias("x"))
+    p = parse_ranking(both.select(F.col("x.id").alias("query_id"), "x.content"))
+    items = F.col("reply.ranked_results")
+    return p.select("query_id", F.when(F.col("reply").isNotNull(), F.size(items)).alias("n_ranked"), F.array_join("errors", "; ").alias("errors"),
+                    "reply.query_interpretation", "reply.uncertainty_note",
+                    F.array_join(F.transform(items, lambda i: i["facility_id"]), ",").alias("facilities"))
+
+
+@register("V1", q(O.CHAIN_GOLD, """SELECT facility_id, array_to_string(list_transform(range(64), lambda i: CAST(round(CAST(CAST(coalesce(list_extract(map_extract(m, i), 1), 0) / (norm + 1e-12) AS FLOAT) AS DOUBLE) * 10000) AS BIGINT)), ',') AS vector
+FROM (
+  SELECT facility_id, map_from_entries(list(row(i, v))) AS m, sqrt(sum(v * v)) AS norm FROM (
+    SELECT facility_id, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 64 AS i,
+      CAST(sum(CASE WHEN contains('13579bdf', substr(h, 5, 1)) THEN 1 ELSE -1 END) AS DOUBLE) AS v
+    FROM (SELECT facility_id, md5(unnest(regexp_extract_all(lower(embedding_text), '[a-z0-9]+'))) AS h FROM gold) GROUP BY 1, 2
+  ) GROUP BY 1
+)"""))
 def v1(spark, sf):
     from caregrid.operators.vector import HashingEmbedder, embed_texts
 
     emb = embed_texts(PL.gold(spark, sf).select("facility_id", "embedding_text"), "embedding_text",
                       HashingEmbedder(64), 64)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return emb.select("facility_id", F.size("embedding").alias("dim"), rnd(norm, 4).alias("norm"))
+    return emb.select("facility_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), ",").alias("vector"))
 
 
-@register("W7")
+@register("W7", q(O.CHAIN_CORRECTION, _CORRECTED_SQL))
 def w7(spark, sf):
     g, _ = _corrected(spark, sf)
     return g.select("facility_id", "trust_score", "correction_iterations")
@@ -1143,12 +1238,12 @@ def f6(spark, sf):
     return q.join(per_state, "_s", "left").select("query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_matching"))
 
 
-@register("F9", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), """SELECT DISTINCT h.facility_id, g.name, g.trust_score
+@register("F9", q(O.CHAIN_VECTOR + (O.prefilter_sql(5),), """SELECT DISTINCT h.facility_id, g.name, g.trust_score
 FROM hits h JOIN gold g ON h.facility_id = g.facility_id"""))
 def f9(spark, sf):
     """Point lookups in bulk: the facilities recommended by search, looked up in Gold (semi-join)."""
     VX, qs, vt = _vector_inputs(spark, sf)
-    ids = VX.search(qs, vt, top_k=5, mode="postfilter").select("facility_id").distinct()
+    ids = VX.search(qs, vt, top_k=5).select("facility_id").distinct()
     return PL.gold(spark, sf).join(ids, "facility_id", "left_semi").select("facility_id", "name", "trust_score")
 
 
@@ -1305,33 +1400,69 @@ def w2(spark, sf):
     return _ranked(spark, sf)[0].select("query_id", "rank", "facility_id", "retrieval_rank")
 
 
-@register("X11", q(O.CHAIN_BRONZE, """SELECT facility_id, 2 AS n_messages,
-  CAST(length('Facility id: ' || facility_id || chr(10) || 'Description:' || chr(10) || substr(composite_text, 1, 3000)) AS INTEGER) AS user_length
-FROM bronze"""))
+@register("X11", q(O.CHAIN_LLM, """SELECT facility_id, 2 AS n_messages, sha256(user_msg) AS user_hash FROM llm"""))
 def x11(spark, sf):
     from caregrid.operators.inference import extraction_messages
 
     m = extraction_messages("composite_text", "facility_id")
     b = PL.bronze(spark, sf).select("facility_id", m.alias("messages"))
-    return b.select("facility_id", F.size("messages").alias("n_messages"),
-                    F.length(F.col("messages")[1]["content"]).alias("user_length"))
+    return b.select("facility_id", F.size("messages").alias("n_messages"), F.sha2(F.col("messages")[1]["content"], 256).alias("user_hash"))
 
 
-@register("L3")
+@register("L3", q(O.CHAIN_CORRECTION, "SELECT iteration, event_type, count(*)::BIGINT AS calls FROM calls GROUP BY 1, 2"))
 def l3(spark, sf):
     """Validate -> correct rounds: calls per (round, step) from the audit rows."""
     _, a = _corrected(spark, sf)
     return a.groupBy("iteration", "event_type").agg(F.count(F.lit(1)).cast("long").alias("calls"))
 
 
-@register("L6", q(O.CHAIN_DESERTS, "SELECT pin_code, state, desert_risk_score, desert_categories FROM deserts"))
-def l6(spark, sf):
-    """The whole pipeline (heuristic Silver path) over the loader output, stage tables under one root."""
-    from caregrid.operators.inference import pipeline
+def _model_pipeline(spark, sf):
+    from caregrid.operators.inference import OfflineCompleter, pipeline
+    from caregrid.operators.vector import HashingEmbedder, embed_texts
 
-    paths = pipeline(spark, PL.registry(spark, sf), PL.table_path(spark, sf, "pipeline_run"))
+    key = ("model_pipeline", id(spark), spark.sparkContext.applicationId, sf)
+    if key not in PL._STAGES:
+        PL._STAGES[key] = pipeline(spark, PL.registry(spark, sf), PL.table_path(spark, sf, "pipeline_run"), completer=OfflineCompleter(),
+                                   embed=lambda g: embed_texts(g, "embedding_text", HashingEmbedder(64), 64))
+    return PL._STAGES[key]
+
+
+@register("L6", q(O.CHAIN_LLM_DESERTS, """SELECT pin_code, state, desert_risk_score, desert_categories, (SELECT count(*) FROM gold WHERE redo)::BIGINT AS corrected FROM deserts"""))
+def l6(spark, sf):
+    """The whole pipeline on the model path: extract, rule Gold, correct, index, deserts."""
+    paths = _model_pipeline(spark, sf)
+    gold = spark.read.parquet(paths["gold"])
+    n = gold.agg(F.count_if(F.col("correction_iterations") > 0).cast("long").alias("corrected"))
     d = spark.read.parquet(paths["deserts"])
-    return d.select("pin_code", "state", "desert_risk_score", F.array_join("desert_categories", ",").alias("desert_categories"))
+    return d.select("pin_code", "state", "desert_risk_score", F.array_join("desert_categories", ",").alias("desert_categories"),
+                    n.scalar().alias("corrected"))
+
+
+@register("L6N", q((O.RAW, O.LOADED, O.BRONZE, O.OFFLINE, O.LLM_RULES, O.REQUESTS, f"""
+pairs AS (SELECT r.request_id, r.radius_km, g.facility_id, {O.rd(O.hav_sql('r.lat', 'r.lon', 'g.latitude', 'g.longitude'), 2)} AS distance_km
+  FROM req r, gold g WHERE g.latitude IS NOT NULL AND g.longitude IS NOT NULL AND (r.min_trust_score <= 0 OR g.trust_score >= r.min_trust_score))"""),
+  "SELECT request_id, CAST(least(5, count(*)) AS BIGINT) AS n FROM pairs WHERE distance_km <= radius_km GROUP BY request_id"))
+def l6_nearest(spark, sf):
+    """D11 over the model path's Gold, which has no category or status columns."""
+    from caregrid.operators import geo as GEO
+    from caregrid.sources.testdata import nearest_requests
+
+    gold = spark.read.parquet(_model_pipeline(spark, sf)["gold"])
+    return GEO.rank_nearest(nearest_requests(spark, sf), gold).groupBy("request_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("S1I", q(O.CHAIN_BRONZE, "SELECT facility_id, name, address_city, latitude, composite_text_length FROM bronze"))
+def s1_ingest(spark, sf):
+    """A registry file to Bronze: the loader output written as CSV in source order, read back and ingested."""
+    from caregrid.operators.bronze import ingest
+    from caregrid.schemas import KEPT_COLUMNS
+    from caregrid.sources.files import read_registry_csv, write_csv
+
+    path = PL.table_path(spark, sf, "registry_ordered_csv")
+    reg = PL.registry(spark, sf)
+    cols = [c for c in KEPT_COLUMNS if c in reg.columns]
+    write_csv(reg.orderBy("src_ord").select(*cols), path)
+    return ingest(read_registry_csv(spark, path, cols)).select("facility_id", "name", "address_city", "latitude", "composite_text_length")
 
 
 def queries() -> dict[str, QueryFn]:

@@ -564,6 +564,17 @@ def postfilter_sql(k: int, name: str = "hits", min_default: str | None = None) -
 )"""
 
 
+def prefilter_sql(k: int, name: str = "hits", min_default: str | None = None) -> str:
+    """The first k (retrieval_rank) of all rows that pass the filters."""
+    extra = "" if min_default is None else f" WHERE coalesce(trust_score, 0.0) >= coalesce(q_min, {min_default})"
+    return f"""
+{name} AS (
+  SELECT query_id, facility_id, similarity,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim_rank) AS INTEGER) AS retrieval_rank
+  FROM sims_ok{extra} QUALIFY retrieval_rank <= {k}
+)"""
+
+
 CHAIN_VECTOR = CHAIN_GOLD + (VECTORS,)
 
 
@@ -665,7 +676,7 @@ ranked_all AS (
            || array_to_string(intents, ', ') || '. Verify by phone before travel. Trust score ' || {fmt2('trust')} || '.'
          ELSE 'Closest semantic match (similarity ' || {fmt2('sim')} || '). Trust score ' || {fmt2('trust')} || '.'
     END AS reasoning,
-    array_to_string(matched, ',') AS matched_capabilities,
+    array_to_string(matched, ',') AS matched_capabilities, array_to_string(evidence, '; ') AS evidence_text,
     CASE WHEN len(matched) = 0 THEN array_to_string(list_transform(intents, lambda i: 'No clear evidence of ' || i), '; ')
          ELSE '' END AS warnings,
     CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieval_rank) AS INTEGER) AS rank,
@@ -674,7 +685,7 @@ ranked_all AS (
 ),
 ranked AS (SELECT * FROM ranked_all WHERE rank <= 5)"""
 
-CHAIN_RANK = CHAIN_VECTOR + (postfilter_sql(20, "hits", min_default=dbl(0.4)), RANKER)
+CHAIN_RANK = CHAIN_VECTOR + (prefilter_sql(20, "hits", min_default=dbl(0.4)), RANKER)
 
 
 # ---------------------------------------------------------------------------
@@ -786,3 +797,86 @@ supplier_raw AS (
     r.r_name AS statename, n.n_name AS lganame
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 )"""
+
+
+# ---------------------------------------------------------------------------
+# The offline stand-in model in SQL: keyword tests, JSON as Python writes it, tokens by length
+# ---------------------------------------------------------------------------
+
+def _offline_sql() -> str:
+    from caregrid.operators.inference import EXTRACT_CHARS, EXTRACT_SYSTEM
+
+    has = lambda *kws: " OR ".join(f"contains(t, '{k}')" for k in kws)
+    claim = lambda *kws: f"CASE WHEN {has(*kws)} THEN 'claimed' ELSE 'uncertain' END"
+    words = ("maternity", "surgery", "immunisation")
+    escaped = "replace(replace(replace(raw_text_used, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+    return f"""
+llm0 AS (
+  SELECT *, 'Facility id: ' || facility_id || chr(10) || 'Description:' || chr(10) || substr(composite_text, 1, {EXTRACT_CHARS}) AS user_msg
+  FROM bronze WHERE length(coalesce(composite_text, '')) > 0
+),
+llm1 AS (
+  SELECT *, {claim('icu', 'intensive')} AS l_icu, {claim('emergency')} AS l_em, contains(t, '24/7') AS l_24, {claim('surgery')} AS l_sg,
+    {claim('maternity')} AS l_caes, {claim('dialysis')} AS l_dial,
+    list_filter([{', '.join(f"CASE WHEN contains(t, '{w}') THEN '{w}' END" for w in words)}], lambda x: x IS NOT NULL) AS l_specs,
+    substr(t, 1, 300) AS raw_text_used
+  FROM (SELECT *, lower(user_msg) AS t FROM llm0)
+),
+llm2 AS (
+  SELECT *, '{{"icu": {{"present": "' || l_icu || '"}}, "emergency": {{"emergency_care": "' || l_em || '", "is_24_7": '
+    || CASE WHEN l_24 THEN 'true' ELSE 'false' END || '}}, "surgery": {{"general_surgery": "' || l_sg || '", "caesarean": "' || l_caes
+    || '"}}, "dialysis": {{"present": "' || l_dial || '"}}, "specialties_extracted": ['
+    || array_to_string(list_transform(l_specs, lambda x: '"' || x || '"'), ', ') || '], "raw_text_used": "' || {escaped} || '"}}' AS body
+  FROM llm1
+),
+llm3 AS (
+  SELECT *, CASE WHEN length(t) % 5 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS content FROM llm2
+),
+llm AS (
+  SELECT *, ({len(EXTRACT_SYSTEM)} + length(user_msg)) // 4 AS prompt_tokens, length(content) // 4 AS completion_tokens FROM llm3
+)"""
+
+
+OFFLINE = _offline_sql()
+CHAIN_LLM = CHAIN_GOLD + (OFFLINE,)
+
+# Self-correction of heuristic Gold: the validator objects to two flags, the corrector's record is always the same.
+CORRECTION = f"""
+low AS (SELECT * FROM gold WHERE trust_score < 0.65),
+objected AS (
+  SELECT l.facility_id, concat_ws(', ', CASE WHEN contains(',' || l.flag_types || ',', ',SURGERY_NO_ANESTHESIOLOGIST,') THEN '"SURGERY_NO_ANESTHESIOLOGIST"' END,
+    CASE WHEN contains(',' || l.flag_types || ',', ',CAESAREAN_NO_ANESTHESIOLOGIST,') THEN '"CAESAREAN_NO_ANESTHESIOLOGIST"' END) AS issues,
+    coalesce(b.composite_text_length, 0) AS ctl
+  FROM low l LEFT JOIN bronze b ON l.facility_id = b.facility_id
+),
+fixed AS (
+  SELECT facility_id, {rd(f"{dbl(0.9)} * CASE WHEN ctl < 60 THEN {dbl(0.95)} ELSE {dbl(1.0)} END", 3)} AS new_score FROM objected WHERE issues <> ''
+),
+calls AS (
+  SELECT facility_id, 'validation' AS event_type, 'validator' AS agent_name, 1 AS iteration,
+    '{{"recommend_correction": ' || CASE WHEN issues <> '' THEN 'true' ELSE 'false' END || ', "issues": [' || issues || ']}}' AS content FROM objected
+  UNION ALL SELECT facility_id, 'correction', 'corrector', 1, '{{"staff": {{"anesthesiologist": "on_call"}}, "surgery": {{"general_surgery": "claimed"}}, '
+    || '"extraction_notes": "corrected: anaesthesia cover on call"}}' FROM fixed
+  UNION ALL SELECT facility_id, 'validation', 'validator', 2, '{{"recommend_correction": false, "issues": []}}' FROM fixed
+)"""
+CHAIN_CORRECTION = CHAIN_GOLD + (CORRECTION,)
+
+# The model path of the whole pipeline: rules over the stand-in's records, then one round of correction.
+LLM_RULES = ("""
+extracted AS (
+  SELECT facility_id, src_key, address_city, address_stateOrRegion, address_zipOrPostcode, latitude, longitude, name, operatorTypeId,
+    l_icu AS icu_present, 'unknown' AS icu_functional, CAST(NULL AS INTEGER) AS icu_beds, 'uncertain' AS vent_present, 'unknown' AS anest,
+    'unknown' AS surgeon, 'unknown' AS gp, 0 AS n_spec_types, CAST(NULL AS INTEGER) AS total_doctors, l_em AS em_care, l_24 AS em_24_7,
+    l_sg AS sg_general, l_caes AS sg_caes, 'uncertain' AS sg_cardiac, l_dial AS dial_present, facilityTypeId AS facility_type,
+    composite_text_length AS ctl
+  FROM llm
+),""" + RULES + f""",
+gold AS (
+  SELECT facility_id, nullif(trim(address_zipOrPostcode), '') AS address_zip, nullif(trim(address_stateOrRegion), '') AS address_state,
+    latitude, longitude, redo, CASE WHEN redo THEN 1 ELSE 0 END AS correction_iterations,
+    CASE WHEN redo THEN {rd(f"{dbl(0.9)} * CASE WHEN ctl < 60 THEN {dbl(0.95)} ELSE {dbl(1.0)} END", 3)} ELSE base_trust END AS trust_score,
+    CASE WHEN redo THEN 'uncertain' ELSE icu_present END AS icu_present, CASE WHEN redo THEN 'uncertain' ELSE dial_present END AS dial_present,
+    CASE WHEN redo THEN 'uncertain' ELSE em_care END AS em_care, CASE WHEN redo THEN 'claimed' ELSE sg_general END AS sg_general
+  FROM (SELECT *, base_trust < 0.65 AND (r1 OR r8) AS redo FROM scored)
+)""")
+CHAIN_LLM_DESERTS = (RAW, LOADED, BRONZE, OFFLINE, LLM_RULES, DESERTS)

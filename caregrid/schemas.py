@@ -13,7 +13,6 @@ STAFF = ("full_time", "part_time", "visiting", "on_call", "unknown")
 FUNCTIONAL = ("functional", "non_functional", "partially_functional", "unknown")
 FACILITY_TYPES = ("hospital", "clinic", "dentist", "doctor", "pharmacy", "unknown")
 PHARMACY_ALIASES = ("farmacy", "pharma", "chemist")
-SEVERITY = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 NEEDS = ("emergency", "icu", "maternity", "surgery", "dialysis", "pediatric", "general")
 
 PRESENT = ("confirmed", "claimed")
@@ -39,6 +38,7 @@ LONG_COLUMNS = ("numberDoctors", "capacity")
 # Nested capability record (Silver)
 # ---------------------------------------------------------------------------
 
+# The names and order of the record's fields.
 S, I, B = T.StringType(), T.IntegerType(), T.BooleanType()
 STR_ARRAY = T.ArrayType(S)
 
@@ -88,21 +88,3 @@ SILVER = T.StructType([
     T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()),
     T.StructField("latency_ms", T.DoubleType()),
 ])
-SILVER_FAILURES = T.StructType([
-    T.StructField("facility_id", S), T.StructField("error", S), T.StructField("raw_response", S),
-])
-
-NEAREST_REQUEST = T.StructType([
-    T.StructField("request_id", T.LongType()), T.StructField("lat", T.DoubleType()),
-    T.StructField("lon", T.DoubleType()), T.StructField("need_type", S),
-    T.StructField("top_k", I), T.StructField("radius_km", T.DoubleType()),
-    T.StructField("min_trust_score", T.DoubleType()), T.StructField("functional_only", B),
-])
-
-AUDIT_LOG = T.StructType([
-    T.StructField("event_id", S), T.StructField("facility_id", S), T.StructField("event_type", S),
-    T.StructField("event_ts", T.TimestampType()), T.StructField("agent_name", S),
-    T.StructField("iteration", I), T.StructField("input_hash", S), T.StructField("output_hash", S),
-    T.StructField("llm_model", S), T.StructField("tokens_used", I), T.StructField("latency_ms", T.FloatType()),
-    T.StructField("notes", S),
-])

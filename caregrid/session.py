@@ -7,6 +7,7 @@ read it from the session and only set our own when it is unset (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +35,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only when unset."""
+    """The shared checkpoint folder that the cluster names; a scratch one only for a local master without any."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not current:
         current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="caregrid-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -49,12 +52,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a small input over the cluster's cores when it arrives in fewer partitions
     than the default parallelism (e.g. one small file); large inputs are already split by the

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -11,10 +12,12 @@ class TableMissing(FileNotFoundError):
     """A required stage table has not been built yet."""
 
 
-def read_csv_all_string(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """CSV with header, multi-line quoted fields, every column read as text
-    (typing happens later with try_cast, so bad values become nulls, not failures)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv_all_string(spark: SparkSession, path: str, columns: list[str] | None = None,
+                        multi_line: bool = False) -> DataFrame:
+    """CSV with header, every column read as text (typing happens later with try_cast, so bad
+    values become nulls, not failures). Quoted fields may hold line breaks only with ``multi_line``,
+    which keeps Spark from splitting a file."""
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
@@ -22,6 +25,16 @@ def read_csv_all_string(spark: SparkSession, path: str, columns: list[str] | Non
     return reader.csv(path)
 
 
+def read_registry_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
+                      multi_line: bool = False, order_col: str = "src_ord") -> DataFrame:
+    """S1 for ingest: the rows with their source order, by file, then block of the file, then place in it."""
+    raw = read_csv_all_string(spark, path, columns, multi_line)
+    cols = raw.columns
+    placed = raw.select("*", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                      F.monotonically_increasing_id()).alias(order_col))
+    return placed.select(*cols, order_col)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018 - metadata only
@@ -32,6 +45,9 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """S3: Parquet scan with an existence guard and an optional explicit schema."""
+    from caregrid.operators.upsert import recover
+
+    recover(spark, path)
     try:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(path)
