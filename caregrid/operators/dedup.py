@@ -1,25 +1,19 @@
-"""A2/A3: key dedup keeping the first (or last) row in source order.
+"""Keyed deduplication (A2 keep first, A3 keep last).
 
-Implemented as a grouped ``min_by``/``max_by`` over a struct of the other
-columns rather than ``row_number() over (partition by key)``: the aggregate is
-split into a map-side partial and a final step, so a hot key that holds a third
-of all rows is collapsed to one row per map task before the shuffle instead of
-being sorted inside a single task.
+The kept row is row number 1 of its key. Spark limits the groups below the shuffle (WindowGroupLimit), so a key
+holding a third of all rows leaves each map task as one row instead of being sorted inside a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _dedup(df: DataFrame, keys: list[str], order_col: str, last: bool) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    payload = F.struct(*[F.col(c) for c in rest])
-    # tiebreak on the full row order: order_col is unique per source row
-    pick = F.max_by(payload, F.col(order_col)) if last else F.min_by(payload, F.col(order_col))
-    out = df.groupBy(*keys).agg(pick.alias("_row"))
-    return out.select(*[F.col(k) for k in keys], *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    order = F.col(order_col).desc_nulls_last() if last else F.col(order_col).asc_nulls_last()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("__nth", nth).where(F.col("__nth") == 1).drop("__nth")
 
 
 def dedup_keep_first(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:

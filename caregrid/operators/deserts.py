@@ -22,23 +22,18 @@ def area_coverage(gold: DataFrame) -> DataFrame:
     holds a third of all rows is pre-reduced per map task before the shuffle.
     """
     ex = F.col("extraction")
-    flagged = gold.where(F.col("address_zip").isNotNull() & (F.length(F.trim("address_zip")) > 0)).select(
-        "address_zip", "address_state", "trust_score", "latitude", "longitude",
-        is_present(ex["icu"]["present"]).cast("int").alias("has_icu"),
-        is_present(ex["dialysis"]["present"]).cast("int").alias("has_dialysis"),
-        is_present(ex["emergency"]["emergency_care"]).cast("int").alias("has_emergency"),
-        is_present(ex["surgery"]["general_surgery"]).cast("int").alias("has_surgery"),
-    )
-    return flagged.groupBy("address_zip", "address_state").agg(
+    share = lambda c: F.avg(is_present(c).cast("int"))
+    zoned = gold.where(F.length(F.trim("address_zip")) > 0)
+    return zoned.groupBy(F.col("address_zip").alias("pin_code"), F.col("address_state").alias("state")).agg(
         F.count(F.lit(1)).cast("long").alias("facility_count"),
         F.avg("trust_score").alias("avg_trust_score"),
-        F.avg("has_icu").alias("icu_coverage"),
-        F.avg("has_dialysis").alias("dialysis_coverage"),
-        F.avg("has_emergency").alias("emergency_coverage"),
-        F.avg("has_surgery").alias("surgery_coverage"),
+        share(ex["icu"]["present"]).alias("icu_coverage"),
+        share(ex["dialysis"]["present"]).alias("dialysis_coverage"),
+        share(ex["emergency"]["emergency_care"]).alias("emergency_coverage"),
+        share(ex["surgery"]["general_surgery"]).alias("surgery_coverage"),
         F.avg("latitude").alias("centroid_lat"),
         F.avg("longitude").alias("centroid_lon"),
-    ).withColumnRenamed("address_zip", "pin_code").withColumnRenamed("address_state", "state")
+    )
 
 
 def desert_risk(cov: DataFrame, params: Params = DEFAULT) -> DataFrame:

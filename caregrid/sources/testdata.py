@@ -191,3 +191,15 @@ def national_raw_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         coord(k, 7561, 9000, 5.0).alias("y"), coord(k, 6007, 9000, 4.0).alias("x"),
         F.col("r_name").alias("statename"), F.col("n_name").alias("lganame"),
     )
+
+
+def national_raw_orders(spark: SparkSession, sf_dir: str, every: int = 5) -> DataFrame:
+    """A larger split for the benchmark: one facility per ``every``-th order, with the national columns."""
+    o = read_spread(spark, sf_dir, "orders").where(F.col("o_orderkey") % every == 0)
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("src_key"), (F.lit(10 ** 13) + k).alias("src_ord"), F.concat(F.lit("Order "), k.cast("string")).alias("prmry_name"),
+        coord(k, 7919, 10000, 4.0).alias("latitude"), coord(k, 10473, 11000, 3.0).alias("longitude"),
+        F.concat(F.lit("State "), (k % 37).cast("string")).alias("statename"), F.concat(F.lit("LGA "), (k % 700).cast("string")).alias("lganame"),
+        F.concat(F.lit("Ward-"), (k % 40).cast("string")).alias("wardname"), _case(k % 12, list(enumerate(CATEGORY_CYCLE)), "").alias("category"),
+        F.lit("Functional").alias("func_stats"))
