@@ -150,7 +150,7 @@ def test_bins_are_few():
         assert -(-sum(lengths) // capacity) <= bins <= len(bfd)
 
 
-def test_chunks_tokenise_like_whole_texts():
+def test_ids_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
