@@ -99,6 +99,12 @@ class Runs:
             raise ValueError("the line store is empty")
         return self._merged(self.tables()).select("h1", "h2", "docs", "largest")
 
+    def forget(self) -> None:
+        """Take the runs out of the catalog; their files stay in the shared folder."""
+        for t in self.tables():
+            self.spark.sql(f"DROP TABLE {t}")
+        self.levels = {}
+
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
                   fanout: int = FANOUT, buckets: int | None = None) -> DataFrame:
@@ -111,6 +117,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
     frequent = stored(runs.resolved().where(F.col("docs") >= min_docs).select("h1", "h2", "largest"), "frequent-lines")
+    runs.forget()
     lost = lines.join(frequent, ["h1", "h2"]).where(F.coalesce("doc_id", F.lit(-(1 << 63))) < F.col("largest"))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("dropped"))
 

@@ -10,7 +10,7 @@ ranges of each source's sequence. A leaf is computed from the quotas and the see
 parallel and reruns agree. Inside a shard the copies lie in hash order.
 
 Null source: a source of its own, last. Null text: size 0. Rows equal in doc_id and text get equal keys and
-are told apart by count; empty input gives no rows.
+are told apart by count; empty input gives no rows. More than ``MAX_SOURCES`` sources are refused, not cut.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MAX_PASSES = 1.5, 2.0
 BLOCK_DOCS, SHARD_BLOCKS, SEED = 128, 64, 7
 GROUP = 4096  # blocks whose running total is taken in one task
+MAX_SOURCES = 100_000  # the tree holds one number per source; more raise an error
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -118,13 +119,16 @@ def plan(sizes: DataFrame, seed: int = SEED, block_docs: int = BLOCK_DOCS, shard
             n.append(k)
         return pd.DataFrame({"position": pdf["position"], "block": pdf["block"], "key": pdf["key"], "fits": n})
 
-    inside = rows.join(F.broadcast(part.select("position", "block", "room")), ["position", "block"])  # one row per source
+    inside = rows.join(part.select("position", "block", "room"), ["position", "block"])
     inside = inside.groupBy("position", "block", "key", "size", "room").agg(F.count("*").alias("n"))
     chosen = inside.groupBy("position").applyInPandas(fit, "position int, block long, key long, fits long").where("fits > 0")
     chosen = stored(chosen.select(*[F.col(c).alias(f"c_{c}") for c in ("position", "block", "key")], "fits"), "mix-chosen")
 
     # exact quotas, the tree, and the shard of every drawn block
-    quotas = {r["position"]: r["n"] for r in drawn.groupBy("position").agg(F.count("*").alias("n")).collect()}  # one row per source
+    per = drawn.groupBy("position").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()  # one number per source
+    if len(per) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: mix groups of sources")
+    quotas = {r["position"]: r["n"] for r in per}
     order = sorted(quotas)
     q = np.array([quotas[p] for p in order], np.int64)
     shards = max(1, -(-int(q.sum()) // shard_blocks)) if order else 1
@@ -167,7 +171,7 @@ def mixture(docs: DataFrame, **params) -> DataFrame:
     same = F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__hash")) & F.col("__s").eqNullSafe(F.col("__source"))
     one = d.join(times, same)
     nth = F.when(F.size("__all") == 1, 1).otherwise(F.row_number().over(
-        Window.partitionBy("__d", "__t", "__s").orderBy(F.lit(1))))
+        Window.partitionBy("__d", "__t", "__s").orderBy(F.xxhash64("__doc"))))
     one = one.withColumn("__nth", nth).where(F.col("__nth") <= F.size("__all"))
     out = one.select("__doc", "__key", F.posexplode(F.element_at("__all", F.col("__nth"))).alias("__copy", "__shard"))
     out = out.repartitionByRange("__shard", "__key").sortWithinPartitions("__shard", F.xxhash64("__shard", "__key", "__copy"))

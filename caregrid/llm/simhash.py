@@ -194,5 +194,5 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     best = best.groupBy("__id", "__hash").agg(F.lit(1).alias("__one"))
     d = docs.select(F.struct("*").alias("__doc"), F.col("doc_id").cast("long").alias("__doc_id"), F.xxhash64("text").alias("__text"))
     kept = d.join(best, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")))
-    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
+    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.xxhash64("__doc")))
     return kept.withColumn("__n", first).where("__n = 1").select("__doc.*")
