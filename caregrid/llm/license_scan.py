@@ -54,8 +54,8 @@ TEMPLATES = (
     Template("gpl-notice", "This work is licensed under the GNU General Public License, version 3"),
     Template("lgpl", "under the terms of the GNU Lesser General Public License"),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    Template("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", 1.0),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", 1.0),
     Template("cc0", "dedicated to the public domain under CC0 1.0 Universal"),
     Template("copyright", "Copyright all rights reserved no part may be reproduced without permission"),
 )
