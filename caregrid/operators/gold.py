@@ -10,7 +10,7 @@ from caregrid.functions.core import clean_str, col
 from caregrid.functions.text import normalise_facility_type
 from caregrid.operators.infer import infer_extraction
 from caregrid.operators.trust import (
-    confidence, heuristic_adjust, trust_flags, trust_flags_sql, trust_score_from_flags,
+    confidence, heuristic_adjust, trust_flags, trust_score_from_flags,
 )
 
 GOLD_COLUMNS = (
@@ -60,7 +60,7 @@ def heuristic_gold(bronze: DataFrame) -> DataFrame:
         normalise_facility_type("facilityTypeId").alias("facility_type"),
         ctl.cast("long").alias("_ctl"),
     )
-    staged = staged.withColumn("trust_flags", trust_flags_sql("extraction", "facility_type", None, "_ctl"))
+    staged = staged.withColumn("trust_flags", trust_flags("extraction", "facility_type", None, "_ctl"))
     staged = staged.withColumn(
         "trust_score",
         heuristic_adjust(trust_score_from_flags("trust_flags"), "category", "functional_status"))
@@ -101,7 +101,7 @@ def rule_gold(silver: DataFrame, bronze: DataFrame, extraction_col: str = "extra
     staged = j.select(
         "*", normalise_facility_type("facilityTypeId").alias("facility_type"), ctl.alias("_ctl"))
     staged = staged.withColumn(
-        "trust_flags", trust_flags_sql("extraction", "facility_type", "numberDoctors", "_ctl"))
+        "trust_flags", trust_flags("extraction", "facility_type", "numberDoctors", "_ctl"))
     staged = staged.withColumn("trust_score", trust_score_from_flags("trust_flags"))
     return staged.select(
         "facility_id",

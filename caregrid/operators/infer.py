@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caregrid.functions.core import col, first_match
 from caregrid.schemas import EXTRACTION
 
 # ---------------------------------------------------------------------------
@@ -95,29 +94,6 @@ NOTES_PREFIX = "Heuristic inference from category: "
 # ---------------------------------------------------------------------------
 
 
-def _value(v, field_type, fn: Column, cat_text: Column) -> Column:
-    from pyspark.sql import types as T
-
-    if v == FN:
-        return fn
-    if v == CAT:
-        return cat_text
-    if isinstance(field_type, T.ArrayType):
-        return F.array(*[F.lit(x) for x in v]).cast(field_type)
-    return F.lit(v).cast(field_type)
-
-
-def _section(name: str, branches, default, cat: Column, fn: Column, cat_text: Column) -> Column:
-    st = EXTRACTION[name].dataType
-
-    def build(values) -> Column:
-        return F.struct(*[
-            _value(v, f.dataType, fn, cat_text).alias(f.name) for v, f in zip(values, st.fields)
-        ])
-
-    return first_match(cat, [(kws, build(vals)) for kws, vals in branches], build(default))
-
-
 def _sql_lit(v, field_type) -> str:
     from pyspark.sql import types as T
 
@@ -132,71 +108,36 @@ def _sql_lit(v, field_type) -> str:
     return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _section_sql(name: str, branches, default) -> str:
-    st = EXTRACTION[name].dataType
-
-    def build(values) -> str:
-        parts = []
-        for v, f in zip(values, st.fields):
-            txt = "_fn" if v == FN else "_cat_text" if v == CAT else _sql_lit(v, f.dataType)
-            parts.append(f"'{f.name}', {txt}")
-        return "named_struct(" + ", ".join(parts) + ")"
-
-    cases = " ".join(
-        "WHEN " + " OR ".join(f"contains(_cat, '{k}')" for k in kws) + f" THEN {build(vals)}"
-        for kws, vals in branches)
-    return f"CASE {cases} ELSE {build(default)} END"
-
-
-def infer_extraction_sql(category: str, func_stats: str) -> Column:
-    """D1 as one SQL expression text (one JVM call to build instead of one per sub-expression)."""
-    specs = " ".join(
-        "WHEN " + " OR ".join(f"contains(_cat, '{k}')" for k in kws) + f" THEN {_sql_lit(vals, EXTRACTION['specialties_extracted'].dataType)}"
-        for kws, vals in SPECIALTY_BRANCHES)
-    body = (
-        "named_struct("
-        f"'icu', {_section_sql('icu', ICU_BRANCHES, ICU_ELSE)}, "
-        f"'ventilator', {_section_sql('ventilator', VENT_BRANCHES, VENT_ELSE)}, "
-        f"'staff', {_section_sql('staff', STAFF_BRANCHES, STAFF_ELSE)}, "
-        f"'emergency', {_section_sql('emergency', EMERGENCY_BRANCHES, EMERGENCY_ELSE)}, "
-        f"'surgery', {_section_sql('surgery', SURGERY_BRANCHES, SURGERY_ELSE)}, "
-        f"'dialysis', {_section_sql('dialysis', DIALYSIS_BRANCHES, DIALYSIS_ELSE)}, "
-        f"'specialties_extracted', CASE {specs} ELSE CAST(array() AS ARRAY<STRING>) END, "
-        f"'extraction_notes', concat('{NOTES_PREFIX}', _cat_raw), "
-        "'raw_text_used', concat('Category: ', _cat_raw, '. Functional: ', _func_raw, '.'))"
-    )
-    cat_raw = f"coalesce(`{category}`, '')"
-    func_raw = f"coalesce(`{func_stats}`, '')"
-    body = (body.replace("_cat_text", f"concat('Category: ', {cat_raw})")
-            .replace("_cat_raw", cat_raw).replace("_func_raw", func_raw)
-            .replace("_fn", f"CASE WHEN lower({func_raw}) IN ('functional', '') THEN 'functional' ELSE 'unknown' END")
-            .replace("_cat", f"lower({cat_raw})"))
-    return F.expr(body).cast(EXTRACTION)
-
-
-def infer_extraction(category: str | Column, func_stats: str | Column) -> Column:
-    """Extraction struct (``schemas.EXTRACTION``) from category and functional status."""
-    if isinstance(category, str) and isinstance(func_stats, str):
-        return infer_extraction_sql(category, func_stats)
-    cat_raw = F.coalesce(col(category), F.lit(""))
-    func_raw = F.coalesce(col(func_stats), F.lit(""))
-    cat = F.lower(cat_raw)
-    func = F.lower(func_raw)
-    fn = F.when(func.isin("functional", ""), F.lit("functional")).otherwise(F.lit("unknown"))
-    cat_text = F.concat(F.lit("Category: "), cat_raw)
-
-    specialties = first_match(
-        cat, [(kws, F.array(*[F.lit(x) for x in vals])) for kws, vals in SPECIALTY_BRANCHES],
-        F.array().cast("array<string>"),
-    )
-    return F.struct(
-        _section("icu", ICU_BRANCHES, ICU_ELSE, cat, fn, cat_text).alias("icu"),
-        _section("ventilator", VENT_BRANCHES, VENT_ELSE, cat, fn, cat_text).alias("ventilator"),
-        _section("staff", STAFF_BRANCHES, STAFF_ELSE, cat, fn, cat_text).alias("staff"),
-        _section("emergency", EMERGENCY_BRANCHES, EMERGENCY_ELSE, cat, fn, cat_text).alias("emergency"),
-        _section("surgery", SURGERY_BRANCHES, SURGERY_ELSE, cat, fn, cat_text).alias("surgery"),
-        _section("dialysis", DIALYSIS_BRANCHES, DIALYSIS_ELSE, cat, fn, cat_text).alias("dialysis"),
-        specialties.alias("specialties_extracted"),
-        F.concat(F.lit(NOTES_PREFIX), cat_raw).alias("extraction_notes"),
-        F.concat(F.lit("Category: "), cat_raw, F.lit(". Functional: "), func_raw, F.lit(".")).alias("raw_text_used"),
-    ).cast(EXTRACTION)
+def _case(branches, default: str, cat: str, text) -> str:
+    """CASE: the first branch whose keywords occur in ``cat``."""
+    cases = " ".join("WHEN " + " OR ".join(f"contains({cat}, '{k}')" for k in kws) + f" THEN {text(vals)}" for kws, vals in branches)
+    return f"CASE {cases} ELSE {default} END"
+
+
+def infer_extraction(category: str, func_stats: str) -> Column:
+    """Extraction struct (``schemas.EXTRACTION``) from the columns category and functional status.
+
+    Built as one SQL text: a single JVM call instead of one per sub-expression.
+    """
+    cat_raw, func_raw = f"coalesce(`{category}`, '')", f"coalesce(`{func_stats}`, '')"
+    cat = f"lower({cat_raw})"
+    special = {FN: f"CASE WHEN lower({func_raw}) IN ('functional', '') THEN 'functional' ELSE 'unknown' END",
+               CAT: f"concat('Category: ', {cat_raw})"}
+
+    def section(name: str, branches, default) -> str:
+        fields = EXTRACTION[name].dataType.fields
+
+        def build(values) -> str:
+            return "named_struct(" + ", ".join(
+                f"'{f.name}', {special[v] if v in (FN, CAT) else _sql_lit(v, f.dataType)}" for v, f in zip(values, fields)) + ")"
+
+        return f"'{name}', {_case(branches, build(default), cat, build)}"
+
+    specialties = EXTRACTION["specialties_extracted"].dataType
+    return F.expr("named_struct(" + ", ".join((
+        section("icu", ICU_BRANCHES, ICU_ELSE), section("ventilator", VENT_BRANCHES, VENT_ELSE),
+        section("staff", STAFF_BRANCHES, STAFF_ELSE), section("emergency", EMERGENCY_BRANCHES, EMERGENCY_ELSE),
+        section("surgery", SURGERY_BRANCHES, SURGERY_ELSE), section("dialysis", DIALYSIS_BRANCHES, DIALYSIS_ELSE),
+        f"'specialties_extracted', {_case(SPECIALTY_BRANCHES, _sql_lit([], specialties), cat, lambda v: _sql_lit(v, specialties))}",
+        f"'extraction_notes', concat('{NOTES_PREFIX}', {cat_raw})",
+        f"'raw_text_used', concat('Category: ', {cat_raw}, '. Functional: ', {func_raw}, '.')")) + ")").cast(EXTRACTION)

@@ -277,8 +277,8 @@ def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, p
         fixed = c.where(F.col("extraction").isNotNull()).select(
             "facility_id", "extraction", "composite_text", "composite_text_length", "facility_type", "numberDoctors",
             F.lit(it).alias("iterations"))
-        fixed = fixed.withColumn("trust_flags", trust_flags("extraction", "facility_type", None,
-                                                            F.coalesce("composite_text_length", F.lit(0))))
+        fixed = fixed.withColumn("_ctl", F.coalesce("composite_text_length", F.lit(0)))
+        fixed = fixed.withColumn("trust_flags", trust_flags("extraction", "facility_type", None, "_ctl")).drop("_ctl")
         fpath = f"{work_dir}/fixed_{it}"
         fixed.write.mode("overwrite").parquet(fpath)
         active = spark.read.parquet(fpath)

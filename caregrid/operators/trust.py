@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caregrid.functions.core import (
-    col, compact, in_set, is_present, py_bool_text, py_int_text, rnd,
+    col, in_set, is_present, rnd,
 )
 from caregrid.schemas import DETERMINED_AVAIL, DETERMINED_STAFF, RELIABLE_STAFF
 
@@ -84,51 +84,6 @@ def determined_count(ex: Column) -> Column:
     return total
 
 
-def _rule_predicates(ex: Column, facility_type: Column, number_doctors: Column, ctl: Column):
-    f = _fields(ex)
-    total = F.coalesce(f["total_doctors"].cast("long"), number_doctors.cast("long"))
-    det = determined_count(ex)
-    not_reliable = lambda s: ~in_set(s, RELIABLE_STAFF)
-    return [
-        ("SURGERY_NO_ANESTHESIOLOGIST", is_present(f["surgery_general"]) & (f["anest"] == "unknown"),
-         F.concat(F.lit("surgery.general_surgery="), f["surgery_general"], F.lit(", staff.anesthesiologist=unknown"))),
-        ("ICU_NON_FUNCTIONAL", is_present(f["icu_present"]) & (f["icu_functional"] == "non_functional"),
-         F.concat(F.lit("icu.present="), f["icu_present"], F.lit(", functional="), f["icu_functional"])),
-        ("ICU_CONFIRMED_NO_BEDS", (f["icu_present"] == "confirmed") & F.coalesce(f["bed_count"] == 0, F.lit(True)),
-         F.lit("ICU confirmed but bed_count missing/zero")),
-        ("24_7_NO_STAFF", f["is_24_7"] & is_present(f["emergency"]) & not_reliable(f["gp"]) & not_reliable(f["surgeon"]),
-         F.concat(F.lit("is_24_7=True, gp="), f["gp"], F.lit(", surgeon="), f["surgeon"])),
-        ("CARDIAC_SURGERY_LOW_TIER", is_present(f["cardiac"]) & (F.coalesce(facility_type, F.lit("unknown")) != "hospital"),
-         F.concat(F.lit("surgery.cardiac="), f["cardiac"], F.lit(", facility_type="),
-                  F.coalesce(facility_type, F.lit("unknown")))),
-        ("NO_DOCTORS_MANY_SPECIALTIES", F.coalesce(total <= 1, F.lit(True)) & (f["n_specialist_types"] > 3),
-         F.concat(F.lit("total_doctors="), py_int_text(total), F.lit(", specialties="),
-                  f["n_specialist_types"].cast("string"))),
-        ("VENTILATOR_NO_ICU", is_present(f["vent"]) & (f["icu_present"] == "not_present"),
-         F.concat(F.lit("ventilator="), f["vent"], F.lit(", icu="), f["icu_present"])),
-        ("CAESAREAN_NO_ANESTHESIOLOGIST", is_present(f["caesarean"]) & (f["anest"] == "unknown"),
-         F.concat(F.lit("caesarean="), f["caesarean"], F.lit(", anest=unknown"))),
-        ("MISSING_CRITICAL_FIELDS", det < 3,
-         F.concat(F.lit("determined="), det.cast("string"), F.lit("/6"))),
-        ("EMPTY_DESCRIPTION", ctl < 60,
-         F.concat(F.lit("composite_text_length="), ctl.cast("string"))),
-    ]
-
-
-def trust_flags(ex: str | Column, facility_type: str | Column, number_doctors: str | Column | None,
-                ctl: str | Column) -> Column:
-    """D2 flags: array<struct<flag_type, severity, description, supporting_evidence>> in rule order."""
-    ex, facility_type, ctl = col(ex), col(facility_type), col(ctl)
-    nd = F.lit(None).cast("long") if number_doctors is None else col(number_doctors)
-    items = []
-    for rule_id, pred, evidence in _rule_predicates(ex, facility_type, nd, ctl):
-        r = RULES[rule_id]
-        items.append(F.when(pred, F.struct(
-            F.lit(r.rule_id).alias("flag_type"), F.lit(r.severity).alias("severity"),
-            F.lit(r.description).alias("description"), evidence.alias("supporting_evidence"))))
-    return compact(*items)
-
-
 def _flag_is(rule_id: str):
     return lambda x: x["flag_type"] == rule_id
 
@@ -215,16 +170,15 @@ __all__ = [
 ]
 
 
-# ---------------------------------------------------------------------------
-# The same rule engine emitted as one SQL expression text (one JVM call to build)
-# ---------------------------------------------------------------------------
-
 def _q(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def trust_flags_sql(ex: str, facility_type: str, number_doctors: str | None, ctl: str) -> Column:
-    """D2 flags as SQL text over column names; equal to ``trust_flags`` (see tests)."""
+def trust_flags(ex: str, facility_type: str, number_doctors: str | None, ctl: str) -> Column:
+    """D2 flags: array<struct<flag_type, severity, description, supporting_evidence>> in rule order.
+
+    Takes column names and builds one SQL text: a single JVM call instead of one per sub-expression.
+    """
     e = f"`{ex}`"
     ft = f"coalesce(`{facility_type}`, 'unknown')"
     nd = "CAST(NULL AS BIGINT)" if number_doctors is None else f"CAST(`{number_doctors}` AS BIGINT)"

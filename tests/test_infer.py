@@ -1,28 +1,27 @@
-"""D1 built as SQL text equals D1 built from Column objects on every category branch."""
+"""D1 over every category: in each section the first branch whose keywords occur decides."""
 
-from pyspark.sql import functions as F
-
-from caregrid.operators.infer import infer_extraction, infer_extraction_sql
+from caregrid.operators import infer as INF
+from caregrid.schemas import EXTRACTION
 from caregrid.sources.testdata import CATEGORY_CYCLE
 
+SECTIONS = {"icu": (INF.ICU_BRANCHES, INF.ICU_ELSE), "ventilator": (INF.VENT_BRANCHES, INF.VENT_ELSE), "staff": (INF.STAFF_BRANCHES, INF.STAFF_ELSE),
+            "emergency": (INF.EMERGENCY_BRANCHES, INF.EMERGENCY_ELSE), "surgery": (INF.SURGERY_BRANCHES, INF.SURGERY_ELSE),
+            "dialysis": (INF.DIALYSIS_BRANCHES, INF.DIALYSIS_ELSE)}
 
-def test_sql_and_column_builders_agree(spark):
-    cats = list(CATEGORY_CYCLE) + [None, "O'Neil maternity comprehensive", "teaching specialist", "DISTRICT HOSPITAL"]
-    rows = [(c, f) for c in cats for f in ("Functional", "Not Functional", "Partially Functional", "", None)]
-    df = spark.createDataFrame(rows, "category string, functional_status string")
-    a = sorted(str(r) for r in df.select(infer_extraction_sql("category", "functional_status").alias("e")).collect())
-    b = sorted(str(r) for r in df.select(infer_extraction(F.col("category"), F.col("functional_status")).alias("e")).collect())
-    assert a == b
 
+def first(branches, default, cat):
+    return next((v for kws, v in branches if any(k in cat for k in kws)), default)
 
-def test_trust_flags_sql_equals_column_builder(spark):
-    from caregrid.operators.trust import trust_flags, trust_flags_sql
 
-    cats = list(CATEGORY_CYCLE) + [None]
-    rows = [(c, f, t, n, ctl) for c in cats for f in ("Functional", "Not Functional", None)
-            for t in ("hospital", "clinic", None) for n in (None, 1, 7) for ctl in (0, 59, 60, 500)]
-    df = spark.createDataFrame(rows, "category string, functional_status string, ftype string, nd long, ctl long")
-    df = df.withColumn("extraction", infer_extraction_sql("category", "functional_status"))
-    a = sorted(str(r) for r in df.select(trust_flags_sql("extraction", "ftype", "nd", "ctl").alias("f")).collect())
-    b = sorted(str(r) for r in df.select(trust_flags("extraction", "ftype", "nd", "ctl").alias("f")).collect())
-    assert a == b
+def test_first_branch_decides(spark):
+    cats = list(CATEGORY_CYCLE) + [None, "O'Neil maternity comprehensive", "teaching specialist", "DISTRICT HOSPITAL", "the _cat_text _fn clinic"]
+    rows = [(c, f) for c in cats for f in ("Functional", "Not Functional", "Partially Functional", "", None)]
+    df = spark.createDataFrame(rows, "category string, functional_status string")
+    for r in df.select("*", INF.infer_extraction("category", "functional_status").alias("e")).collect():
+        cat, func = (r["category"] or ""), (r["functional_status"] or "")
+        fn = "functional" if func.lower() in ("functional", "") else "unknown"
+        for name, (branches, default) in SECTIONS.items():
+            want = [{INF.FN: fn, INF.CAT: f"Category: {cat}"}.get(v, v) if isinstance(v, str) else v for v in first(branches, default, cat.lower())]
+            assert [r["e"][name][f] for f in EXTRACTION[name].dataType.fieldNames()] == want
+        assert r["e"]["specialties_extracted"] == first(INF.SPECIALTY_BRANCHES, [], cat.lower())
+        assert r["e"]["raw_text_used"] == f"Category: {cat}. Functional: {func}."
