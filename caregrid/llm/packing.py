@@ -2,9 +2,10 @@
 
 Only the histogram of piece lengths (one count per length, so at most ``capacity`` numbers) reaches the
 driver. There the search packs length classes: at each node it takes the largest length left, enumerates the
-undominated fillings of the remaining room in order of waste, and applies one filling as many times as the
-counts allow, so the number of steps does not grow with the corpus. The first descent takes the best fit at
-every step and is the incumbent; a branch is cut when its waste exceeds what a solution one sequence better
+undominated fillings of the remaining room in order of waste (a table of the sums that the lengths can form
+leads to them), and applies one filling as many times as the counts allow, so the number of steps does not grow
+with the corpus. The incumbent is the best of some descents that take the best fit for the longest pieces and the
+filling of least waste for the others; a branch is cut when its waste exceeds what a solution one sequence better
 could have. ``nodes`` bounds the time spent on improving the incumbent, never what is packed. The resulting
 patterns are given to the pieces by their rank within their length, counted per salted group.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from caregrid.llm.common import map_batches, stored, text_or_empty
 
 CAPACITY, END = 2048, 0
-NODES, FILLINGS, TRIES = 6_000, 8, 200
+NODES, FILLINGS, TRIES = 20_000, 64, 2_000
+SWITCHES = 24  # descents for an incumbent, before a few more around the best
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -85,54 +87,101 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return map_batches(src, make, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, tries: int = TRIES) -> list[tuple[int, ...]]:
-    """Undominated sets of available lengths (largest first) that fit in ``room``, least waste first.
+class Sums:
+    """Which sums the lengths left can form: ``reach[i]`` has bit s set if some of the ``i`` smallest lengths add up to s.
 
-    A set that another available length would still fit into is dominated by the larger set, and one whose
-    member could be exchanged for a longer available length that fits is dominated by the exchange.
+    From one call to the next only the part above the smallest length whose usable number changed is made anew.
     """
-    have = [int(x) for x in np.flatnonzero(counts[:room + 1]) if x > 0]
-    if not have:
-        return [()]
-    found: dict[tuple[int, ...], int] = {}
-    left = [tries]
-
-    def down(room: int, hi: int, chosen: tuple[int, ...]) -> None:
-        i, went = bisect_right(have, min(room, hi)) - 1, False
-        while i >= 0 and left[0] > 0 and len(found) < most:
-            x = have[i]
-            if chosen.count(x) < counts[x]:
-                left[0] -= 1
-                went = True
-                down(room - x, x, (*chosen, x))
+
+    def __init__(self, capacity: int):
+        self.capacity, self.mask = capacity, (1 << capacity + 1) - 1
+        self.have: list[int] = []
+        self.copies: list[int] = []  # of each length, no more than fit into a sequence
+        self.reach = [1]
+
+    def update(self, counts: np.ndarray) -> None:
+        sizes = np.flatnonzero(counts[:self.capacity + 1])
+        sizes = sizes[sizes > 0]
+        have, copies = sizes.tolist(), np.minimum(counts[sizes], self.capacity // sizes).tolist()
+        same = 0
+        for old, new in zip(zip(self.have, self.copies, strict=True), zip(have, copies, strict=True), strict=False):
+            if old != new:
+                break
+            same += 1
+        self.have, self.copies, self.counts = have, copies, counts
+        self.widest = np.maximum.accumulate(np.diff(sizes)).tolist()  # gap between neighbours up to here
+        del self.reach[same + 1:]
+
+    def up_to(self, i: int) -> int:
+        for j in range(len(self.reach) - 1, i):
+            bits, left, step = self.reach[j], self.copies[j], 1
+            while left:  # 1, 2, 4, ... copies at once
+                n = min(step, left)
+                bits |= bits << n * self.have[j]
+                left, step = left - n, 2 * step
+            self.reach.append(bits & self.mask)
+        return self.reach[i]
+
+    def sets(self, target: int, waste: int, i: int, steps: list[int], spare: int = 1 << 31):
+        """The undominated sets of the ``i`` smallest lengths with the sum ``target``, large lengths first.
+
+        ``waste`` is the room that they leave and ``spare`` the smallest larger length with a piece left over: a
+        member that could be exchanged for it is not tried. ``steps[0]`` bounds the steps.
+        """
+        if not target:
+            yield ()
+            return
+        fit = bisect_right(self.have, target, 0, i)
+        if fit < i:
+            i, spare = fit, self.have[fit]
+        while i and steps[0] > 0 and self.up_to(i) >> target & 1:
             i -= 1
-        if not went and i < 0:
-            found[chosen] = room
+            x = self.have[i]
+            if x + waste < spare:
+                steps[0] -= 1
+                for c in range(min(self.copies[i], target // x), 0, -1):
+                    if self.up_to(i) >> target - c * x & 1:
+                        for rest in self.sets(target - c * x, waste, i, steps, x if c < self.counts[x] else spare):
+                            yield (x,) * c + rest
+            spare = x
+            if i and self.widest[i - 1] <= waste:
+                return  # below this all lengths are closer to the next than the waste
 
-    down(room, have[-1], ())
-    found = found or {(f := best_fit(counts, room)): room - sum(f)}
 
-    def more(low: int, high: int, used: dict[int, int]) -> bool:
-        """Is a length from low to high left beside those used?"""
-        return any(counts[y] > used.get(y, 0) for y in have[bisect_left(have, low):bisect_right(have, high)])
+def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, tries: int = TRIES, sums: Sums | None = None) -> list[tuple[int, ...]]:
+    """The first ``most`` undominated sets of available lengths (largest first) that fit in ``room``, least waste first.
 
-    out = []
-    for f, waste in sorted(found.items(), key=lambda x: (x[1], len(x[0]), tuple(-y for y in x[0]))):
-        used = {x: f.count(x) for x in f}
-        if not waste or not more(1, waste, used) and not any(more(x + 1, x + waste, used) for x in used):
-            out.append(f)
-    return out or [min(found, key=lambda f: (found[f], f))]
+    A set that another available length would still fit into is dominated by the larger set, and one whose
+    member could be exchanged for a longer available length that fits is dominated by the exchange. The table of
+    sums names the wastes there are and leads to the sets of each, so the first is found without a search.
+    """
+    sums, steps, out = sums or Sums(len(counts) - 1), [tries], []
+    sums.update(counts)
+    top = bisect_right(sums.have, room)
+    can = sums.up_to(top)
+    for waste in range(room + 1):
+        if can >> room - waste & 1:
+            for f in sums.sets(room - waste, waste, top, steps):
+                used = {x: f.count(x) for x in f}
+                if not waste or not any(counts[y] > used.get(y, 0) for y in sums.have[:bisect_right(sums.have, waste)]):
+                    out.append(f)
+                if len(out) >= most:
+                    return out
+            if steps[0] <= 0:
+                break
+    return out
 
 
 def best_fit(counts: np.ndarray, room: int) -> tuple[int, ...]:
     """The largest length that fits, again and again."""
+    have = [int(x) for x in np.flatnonzero(counts[:room + 1]) if x > 0]
     out: list[int] = []
-    while room > 0:
-        fits = [int(x) for x in np.flatnonzero(counts[:room + 1]) if x > 0 and out.count(int(x)) < counts[x]]
-        if not fits:
-            break
-        out.append(fits[-1])
-        room -= fits[-1]
+    i = len(have)
+    while i := min(i, bisect_right(have, room)):
+        i -= 1
+        n = min(int(counts[have[i]]), room // have[i])
+        out += [have[i]] * n
+        room -= n * have[i]
     return tuple(out)
 
 
@@ -155,42 +204,75 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
             counts[x] -= k
         return counts
 
-    # the incumbent: at each step the filling of least waste
-    now, n = counts, 0
-    while now.any():
-        big = int(np.flatnonzero(now)[-1])
-        rest = taken(now, (big,), 1)
-        pattern = min(((big, *f) for f in (best_fit(rest, capacity - big), *fillings(rest, capacity - big))), key=lambda p: (capacity - sum(p), len(p)))
-        k = times(now, pattern)
-        best.append((pattern, k))
-        now, n = taken(now, pattern, k), n + k
-    best_n = n
-
-    # branch and bound: only solutions with a sequence less are looked for
-    stack = [(counts, (), 0, 0)]
-    while stack and budget > 0 and best_n > least:
-        now, chain, n, waste = stack.pop()
-        budget -= 1
-        if not now.any():
-            if n < best_n:
-                best_n, best = n, []
-                while chain:
-                    chain, step = chain
-                    best.append(step)
-            continue
+    # the incumbent: the best fit while the largest length left is above a switch, then the filling of least waste;
+    # large pieces that take small ones early can cost as many sequences as small ones that are left till last
+    sums = Sums(capacity)
+    tried: dict[int, int] = {}
+
+    def descend(switch: int) -> None:
+        nonlocal best, best_n
+        switch = min(max(switch, 0), capacity)
+        if switch in tried or best_n == least:
+            return
+        now, n, steps = counts, 0, []
+        while now.any():
+            big = int(np.flatnonzero(now)[-1])
+            rest = taken(now, (big,), 1)
+            pattern = (big, *(best_fit(rest, capacity - big) if big > switch else fillings(rest, capacity - big, 1, sums=sums)[0]))
+            k = times(now, pattern)
+            steps.append((pattern, k))
+            now, n = taken(now, pattern, k), n + k
+        tried[switch] = n
+        if best_n is None or n < best_n:
+            best_n, best = n, steps
+
+    grid = -(-capacity // SWITCHES)
+    largest = max(histogram, default=0)
+    for switch in [capacity, *(x for x in range(capacity - grid, -grid, -grid) if x < largest)]:
+        descend(switch)
+    while grid > 1 and best_n > least:
+        grid = -(-grid // 2)
+        at = min(tried, key=lambda x: (tried[x], x))
+        descend(at - grid)
+        descend(at + grid)
+
+    # branch and bound, depth first: only solutions with a sequence less are looked for. A frame holds the counts of a
+    # node and the branches not yet taken, so memory grows with the depth only
+    def branches(now: np.ndarray, waste: int) -> list[tuple]:
         big = int(np.flatnonzero(now)[-1])
         rest = taken(now, (big,), 1)
         allowed = (best_n - 1) * capacity - total
-        branches = []
-        for f in fillings(rest, capacity - big):
+        out = []
+        for f in fillings(rest, capacity - big, sums=sums):
             pattern = (big, *f)
             lost = capacity - sum(pattern)
             k = times(now, pattern)
             for m in {k, 1} if lost else {k}:
                 if waste + lost * m <= allowed:
-                    branches.append((lost, -m, pattern))
-        for lost, m, pattern in sorted(branches, reverse=True):
-            stack.append((taken(now, pattern, -m), (chain, (pattern, -m)), n - m, waste - lost * m))
+                    out.append((lost, -m, pattern))
+        return sorted(out, reverse=True)
+
+    stack = []
+    if budget > 0 and best_n > least:
+        budget -= 1
+        stack.append((counts, (), 0, 0, branches(counts, 0)))
+    while stack and budget > 0 and best_n > least:
+        before, chain, n, waste, left = stack[-1]
+        if not left:
+            stack.pop()
+            continue
+        lost, m, pattern = left.pop()
+        budget -= 1
+        if not left:
+            stack.pop()
+        now, chain, n, waste = taken(before, pattern, -m), (chain, (pattern, -m)), n - m, waste - lost * m
+        if now.any():
+            stack.append((now, chain, n, waste, branches(now, waste)))
+        elif n < best_n:
+            best_n, best = n, []
+            while chain:
+                chain, step = chain
+                best.append(step)
     return best
 
 

@@ -150,6 +150,26 @@ def test_bins_are_few():
         assert -(-sum(lengths) // capacity) <= bins <= len(bfd)
 
 
+def test_fillings_are_the_undominated_ones_in_order_of_waste():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        counts, room = np.concatenate([[0], rng.integers(0, 3, 14)]), int(rng.integers(1, 15))
+        sets = {()}
+        for x in range(1, 15):
+            sets |= {(x,) * c + f for f in sets for c in range(1, counts[x] + 1) if c * x + sum(f) <= room}
+        spare = lambda f: [y for y in range(1, 15) if counts[y] > f.count(y)]
+        want = {f for f in sets if not any(y - x <= room - sum(f) and y > x for y in spare(f) for x in (0, *f))}
+        got = packing.fillings(counts, room, 10_000, 100_000)
+        assert set(got) == want and len(got) == len(want)
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
+def test_bins_without_short_pieces_are_few():
+    for lo, hi, most in ((62, 125, 1160), (50, 150, 1198)):
+        lengths = np.random.default_rng(6).integers(lo, hi + 1, 3000).tolist()
+        assert sum(k for _, k in packing.complete_bins(Counter(lengths), 256, 100)) <= most
+
+
 def test_ids_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
