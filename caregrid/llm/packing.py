@@ -16,6 +16,7 @@ is empty: the end token alone. A doc_id may be null or repeated; every row is pa
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 
@@ -28,6 +29,7 @@ from caregrid.llm.common import map_batches, stored, text_or_empty
 CAPACITY, END = 2048, 0
 NODES, FILLINGS, TRIES = 20_000, 64, 2_000
 SWITCHES = 24  # descents for an incumbent, before a few more around the best
+RUN = 100_000  # white space in a row that is left to the tokenizers library
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,7 +47,8 @@ def encoder(path: str):
 
     The ids are those of the byte-level BPE in the tokenizers file at ``path``. Its vocabulary, whose ids are
     the merge ranks, is loaded into tiktoken, which gives the same ids with a third of the CPU time (the tests
-    compare the two); a text that holds the string of a special token goes to the tokenizers library.
+    compare the two); a text that holds the string of a special token goes to the tokenizers library, and so does
+    one with a very long run of white space, which tiktoken's splitting cannot take (it fails near a million).
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -55,10 +58,11 @@ def encoder(path: str):
         file = json.load(f)
     special = [x["content"] for x in file["added_tokens"]]
     ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+    blanks = re.compile(rf"(?<!\s)\s{{{RUN}}}")
     fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if any(s in t for s in special)
+        return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if any(s in t for s in special) or len(t) >= RUN and blanks.search(t)
                 else fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
 
     return encode

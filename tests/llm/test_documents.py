@@ -181,6 +181,16 @@ def test_ids_are_those_of_the_tokenizers_library():
     assert enc(texts[:700]) + enc(texts[700:]) == want
 
 
+def test_ids_of_very_long_white_space():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok, enc = Tokenizer.from_file(path), packing.encoder(path)
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "a b " + " \n" * 60_000 + "\u3000c", "x " * 70_000, ("a" + " " * 99_999) * 2]
+    for t in texts:
+        assert enc([t]) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 # ---- 4 language
 
 def test_language(table, nothing):
