@@ -9,6 +9,9 @@ four letters form a sequence); equal windows are compressed once per task. A doc
 its number of windows at each difference and its length go into a logistic calibration, fitted on labelled
 documents that the dictionaries have not seen.
 
+In effect this is a list of at most ``TOXIC_WORDS`` words, in place of a dictionary trained on toxic text and
+windows of several words, which found far fewer held-out documents; the README has both figures and what is lost.
+
 Null text counts as empty and gets the score of a text without windows. Without labels of both kinds every
 score is 0. Extra columns and repeated rows pass through; labels of one doc_id are merged (any 1 wins).
 """
