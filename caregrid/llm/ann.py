@@ -8,7 +8,8 @@ exactly by cosine in double precision. Hash functions come from a seed, so all b
 row is indexed. Recall against brute force is measured in the tests and given in the README.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; equal vectors are searched
-once and give ties by id; fewer rows than k give all of them.
+once and give ties by id; fewer rows than k give all of them, as a query that meets too few rows of a block to
+fill its answer is compared with all of the block.
 """
 
 from __future__ import annotations
@@ -85,8 +86,8 @@ def lsh_best(tables: int = TABLES, bits: int = BITS, width: float = WIDTH, probe
                     at = np.arange(total) + np.repeat(lo - (np.cumsum(size) - size), size)
                     seen[order[t, at]] = True
             c = np.flatnonzero(seen)
-            if not len(c):
-                continue
+            if len(c) < keep:  # too few met for a full answer: all rows
+                c = np.arange(len(x))
             score = x[c] @ q[i] / (xn[c] * qn[i])
             near = np.argpartition(-score, min(keep, len(c)) - 1)[:keep]
             near = np.flatnonzero(score >= score[near].min())  # with every tie

@@ -70,6 +70,15 @@ def test_nearest_recall_and_scores(spark):
     assert ann.nearest(df.where("false")).count() == 0
 
 
+def test_few_rows_give_all_of_them(spark):
+    v = np.random.default_rng(5).standard_normal((3, 64))
+    rows = [(50 * i, x.tolist()) for i, x in enumerate([*v, -v[0], -v[1]])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert got == {q: {i for i, _ in rows} - {q} for q, _ in rows}
+
+
 def test_probe_sets_come_in_order_of_expected_cost():
     s = ann.probe_sets(6, 40)
     assert len(s) == 40 and not s[0].any() and len({r.tobytes() for r in s}) == 40
