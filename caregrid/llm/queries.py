@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caregrid.llm import ann, langid, license_scan, line_dedup, mixing, packing, pii, simhash, topk, toxicity
+from caregrid.llm import ann, langid, license_scan, line_dedup, mixing, packing, periodic, pii, simhash, topk, toxicity
 from caregrid.llm.common import read, stored
 
 
@@ -79,6 +79,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2("__lines.kept", 256).alias("kept_sha256"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document by the checksum h of its id goes on, from a word a, with p words over and over."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.floor(h / 10).alias("g"),
+                    F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")).alias("words"))
+    n = F.when(F.size("words") > 0, F.size("words"))
+    d = d.withColumn("a", (F.col("g") % n).cast("int"))
+    d = d.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = n - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    return d.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = periodic.find_runs(with_repeats(read(spark, sf_dir, "documents")))
+    r = r.withColumn("top", periodic.strongest())
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    return r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                    F.expr("top.length * 1000 div top.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_pii, op2_license, op3_packing, op4_langid, op5_simhash, op6_ann, op7_mixing, op8_topk, op9_toxicity, op10_line_dedup, pipeline)}
+        op1_pii, op2_license, op3_packing, op4_langid, op5_simhash, op6_ann, op7_mixing, op8_topk, op9_toxicity, op10_line_dedup,
+        op11_periodic, pipeline)}
 
 SQL: dict[str, str] = {
     "op8_topk": """
