@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caregrid.llm import ann, langid, license_scan, line_dedup, mixing, packing, periodic, pii, simhash, topk, toxicity
+from caregrid.llm import ann, id_files, langid, license_scan, line_dedup, mixing, packing, periodic, pii, simhash, topk, toxicity
 from caregrid.llm.common import read, stored
 
 
@@ -102,6 +102,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    folder = id_files.write_ids(read(spark, sf_dir, "documents"), lambda: packing.encoder(path))
+    return id_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii, op2_license, op3_packing, op4_langid, op5_simhash, op6_ann, op7_mixing, op8_topk, op9_toxicity, op10_line_dedup,
-        op11_periodic, pipeline)}
+        op11_periodic, op12_token_files, pipeline)}
 
 SQL: dict[str, str] = {
     "op8_topk": """
