@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caregrid.llm import ann, id_files, langid, license_scan, line_dedup, mixing, packing, periodic, pii, simhash, topk, toxicity
+from caregrid.llm import alignment, ann, id_files, langid, license_scan, line_dedup, mixing, packing, periodic, pii, simhash, topk, toxicity
 from caregrid.llm.common import read, stored
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    rows, _ = alignment.align(read(spark, sf_dir, "documents"), lambda: alignment.byte_level(a), lambda: alignment.sentence_pieces(b), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,7 +123,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_pii, op2_license, op3_packing, op4_langid, op5_simhash, op6_ann, op7_mixing, op8_topk, op9_toxicity, op10_line_dedup,
-        op11_periodic, op12_token_files, pipeline)}
+        op11_periodic, op12_token_files, op13_alignment, pipeline)}
 
 SQL: dict[str, str] = {
     "op8_topk": """
