@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from caregrid.llm.common import map_batches, shared_path, stored, text_or_empty
 
 END, BLOCK, LIMIT = 0, 512, 16
 SPAN = 1 << 20  # ids that are read together
-FLUSH = 1 << 20  # ids that are coded together
+FLUSH = 1 << 16  # ids that are coded together
 MOST_BITS = 24  # a code and the 7 bits before it fit into 32
 MANIFEST = "path string, first_null boolean, first_id long, first_row long, file_ids long, index_at long, doc long, docs long, id long, ids long"
 
@@ -235,8 +236,8 @@ def count_ids(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in map(unpacked, batch.column(0), batch.column(1)):
-                n = np.bincount(x)
+            for wide, kind in ((False, "<u2"), (True, "<u4")):
+                n = np.bincount(np.frombuffer(b"".join(batch.filter(pc.equal(batch.column(1), wide)).column(0).to_pylist()), kind))
                 if len(n) > len(total):
                     total = np.append(total, np.zeros(len(n) - len(total), np.int64))
                 total[:len(n)] += n
