@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' ids: groups between common ends, and how often id pairs are linked over the corpus.
 
 Both tokenizers give every text as tokens with known bytes. Where a token of A and one of B end at the same byte the
-text is cut into groups, and the tokens that end there are linked. The corpus-wide counts of linked id pairs come from
+text is cut into groups, and the tokens that end there are linked (a token has one byte at least: one link per group). The corpus-wide counts of linked id pairs come from
 inverted pair bitmaps. Documents are numbered (``row``); for every pair and every 65,536 rows a container holds the
 documents with that pair (plane 0) and, for multiplicities above one, the bits of the multiplicity less one (planes 1,
 2, ... of weight 1, 2, ...). A container is a sorted array of 16-bit numbers, or a bitmap of 8,192 bytes from 4,096
@@ -99,40 +99,50 @@ def sentence_pieces(path: str) -> Tokens:
 
 # ---- one document
 
+class Joined:
+    """The bytes of tokens one after the other; every token has one byte at least."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.start, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(pieces), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[ids] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+
 class Aligner:
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
-        self.size_a, self.size_b = (np.array([len(p) for p in t.pieces], np.int64) for t in (a, b))
+        self.joined_a, self.joined_b = Joined(a.pieces), Joined(b.pieces)
         self.names = [f"{i}{sep}" for i in range(max(len(a.pieces), len(b.pieces))) for sep in ",|;"]
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if text:
             a, b = self.a.encode([text])[0], self.b.encode([text])[0]
-            plain = b" " + text.encode()
-            if all(b"".join(map(t.pieces.__getitem__, ids.tolist())) == plain for t, ids in ((self.a, a), (self.b, b))):
+            plain = np.frombuffer(b" " + text.encode(), np.uint8)
+            if all(np.array_equal(joined(ids), plain) for joined, ids in ((self.joined_a, a), (self.joined_b, b))):
                 return a, b
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(group of each token of A, of each of B, and the linked places in A and in B)."""
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        common = np.intersect1d(end_a, end_b)
-        low_a, low_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
-        n_b = np.searchsorted(end_b, common, "right") - low_b
-        links = (np.searchsorted(end_a, common, "right") - low_a) * n_b
-        nth = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
-        n_b = np.repeat(n_b, links)
-        return np.searchsorted(common, end_a), np.searchsorted(common, end_b), np.repeat(low_a, links) + nth // n_b, np.repeat(low_b, links) + nth % n_b
-
-    def text(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens of A and of B end together with one of the other side; they are linked in turn and close the groups."""
+        end_a, end_b = np.cumsum(self.joined_a.size[a]), np.cumsum(self.joined_b.size[b])
+        ends = np.zeros(int(end_a[-1]) + 1 if len(a) else 0, np.int8)
+        ends[end_a] = 1
+        ends[end_b] += 1
+        return ends[end_a] == 2, ends[end_b] == 2
+
+    def text(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``: the groups in order."""
         if not len(a):
             return ""
-        side = np.concatenate([2 * group_a, 2 * group_b + 1])
-        order = np.argsort(side, kind="stable")
-        side = side[order]
-        last = np.append(side[1:] != side[:-1], True)
-        return "".join(map(self.names.__getitem__, (3 * np.concatenate([a, b])[order] + last * (1 + side % 2)).tolist()))[:-1]
+        done_a, done_b = np.flatnonzero(last_a) + 1, np.append(0, np.flatnonzero(last_b) + 1)  # tokens up to the end of a group
+        names = np.empty(len(a) + len(b), np.int64)
+        names[np.arange(len(a)) + done_b[np.cumsum(last_a) - last_a]] = 3 * a + last_a
+        names[np.arange(len(b)) + done_a[np.cumsum(last_b) - last_b]] = 3 * b + 2 * last_b
+        return "".join(map(self.names.__getitem__, names.tolist()))[:-1]
 
 
 # ---- containers
@@ -228,15 +238,15 @@ def _scan(docs: DataFrame, make_a: Callable[[], Tokens], make_b: Callable[[], To
                     yield from flush()
                     block = row >> BLOCK_BITS
                 ids_a, ids_b = aligner.tokens(text)
-                group_a, group_b, at_a, at_b = aligner.align(ids_a, ids_b)
-                groups = aligner.text(ids_a, ids_b, group_a, group_b)
+                last_a, last_b = aligner.align(ids_a, ids_b)
+                groups, n = aligner.text(ids_a, ids_b, last_a, last_b), int(last_a.sum())
                 if digest and groups:
                     groups = hashlib.sha256(groups.encode()).hexdigest()
-                for name, v in zip(out, (row, doc, len(ids_a), len(ids_b), int(group_a[-1]) + 1 if len(ids_a) else 0, len(at_a), groups), strict=True):
+                for name, v in zip(out, (row, doc, len(ids_a), len(ids_b), n, n, groups), strict=True):
                     out[name].append(v)
-                if len(at_a):
-                    held.append((ids_a[at_a] * n_b + ids_b[at_b] << BLOCK_BITS) + (row & (1 << BLOCK_BITS) - 1))
-                    waiting += len(at_a)
+                if n:
+                    held.append((ids_a[last_a] * n_b + ids_b[last_b] << BLOCK_BITS) + (row & (1 << BLOCK_BITS) - 1))
+                    waiting += n
             yield batch(0, len(out["row"]), **out)
         yield from flush()
 
