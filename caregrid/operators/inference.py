@@ -41,7 +41,7 @@ EXTRACT_SYSTEM = (
     "full_time/part_time/visiting/on_call/unknown for staff. Return JSON only."
 )
 VALIDATE_SYSTEM = (
-    "You check an extracted facility record against its source text and the rule flags raised. "
+    "You check an extracted facility record against the rule flags raised on it. "
     "Return JSON {\"recommend_correction\": bool, \"issues\": [str]}."
 )
 CORRECT_SYSTEM = (
@@ -191,12 +191,12 @@ def run_extract(bronze: DataFrame, completer, silver_path: str, failures_path: s
     """
     from caregrid.operators.upsert import merge, pending, read_or_empty, replace_table, upsert_table
     from caregrid.schemas import SILVER
-    from caregrid.sources.files import table_exists
+    from caregrid.sources.files import read_table, table_exists
 
     spark = bronze.sparkSession
     todo = bronze.where(F.length(F.coalesce("composite_text", F.lit(""))) > 0)
     if only_missing and table_exists(spark, silver_path):
-        todo = pending(todo, spark.read.parquet(silver_path), "facility_id")
+        todo = pending(todo, read_table(spark, silver_path), "facility_id")
     if sample_limit > 0:
         todo = todo.orderBy("facility_id").limit(sample_limit)
     req = todo.select("facility_id", extraction_messages("composite_text", "facility_id", text_chars).alias("messages"))
@@ -305,7 +305,7 @@ def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, p
     audit = audits[0]
     for a in audits[1:]:
         audit = audit.unionByName(a)
-    return new_gold.orderBy("facility_id"), audit
+    return new_gold, audit
 
 
 def _audit(calls: DataFrame, event_type: str, agent: str, iteration: int, model: str) -> DataFrame:
@@ -334,6 +334,7 @@ def pipeline(spark: SparkSession, raw: DataFrame, root: str, completer=None, emb
     from caregrid.operators.deserts import deserts
     from caregrid.operators.gold import heuristic_gold, rule_gold
     from caregrid.operators.upsert import replace_table
+    from caregrid.sources.files import read_table
 
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("bronze", "silver", "silver_failures", "calls", "gold",
                                                   "deserts", "audit", "vectors", "work")}
@@ -345,10 +346,9 @@ def pipeline(spark: SparkSession, raw: DataFrame, root: str, completer=None, emb
     else:
         run_extract(bronze, completer, paths["silver"], paths["silver_failures"], paths["calls"],
                     concurrency=concurrency).collect()  # one row
-        silver = parse_replies(spark.read.parquet(paths["silver"]), "extraction_json", "facility_id")
+        silver = parse_replies(read_table(spark, paths["silver"]), "extraction_json", "facility_id")
         gold = rule_gold(silver.select("facility_id", "extraction"), bronze)
-    gold.write.mode("overwrite").parquet(paths["gold"])
-    gold = spark.read.parquet(paths["gold"])
+    gold = replace_table(spark, gold, paths["gold"], key="facility_id")
     if completer is not None and not skip_correct:
         new_gold, audit = self_correct(gold, bronze, completer, paths["work"], params, concurrency=concurrency)
         audit.write.mode("append").parquet(paths["audit"])

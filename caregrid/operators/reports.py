@@ -174,12 +174,12 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
 
 def readiness(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
     """One row per layer - exists flag and row count (0 when the table is missing)."""
-    from caregrid.sources.files import table_exists
+    from caregrid.sources.files import read_table, table_exists
 
     rows = []
     for name, path in tables.items():
         if table_exists(spark, path):
-            rows.append(spark.read.parquet(path).agg(F.count(F.lit(1)).cast("long").alias("rows"))
+            rows.append(read_table(spark, path).agg(F.count(F.lit(1)).cast("long").alias("rows"))
                         .select(F.lit(name).alias("layer"), F.lit(True).alias("ready"), "rows"))
         else:
             rows.append(spark.range(1).select(F.lit(name).alias("layer"), F.lit(False).alias("ready"),

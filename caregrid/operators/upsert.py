@@ -1,10 +1,8 @@
 """Keyed merge operators: resume anti-join (J3/U2), upsert (J8 + A3), matched-only update.
 
-The merge is two shuffles on the key (anti-join, keep-last dedup of the batch) and one union; nothing is
-collected. ``upsert_table`` keeps its table partitioned by a hash of the key and rewrites only the partitions
-that the batch touches (Spark's dynamic partition overwrite, whose new files become visible at commit).
-``replace_table`` writes a whole new table beside the old one and swaps the folders, keeping the old one until
-the new one is in place; ``recover`` undoes a swap that was cut short.
+On DataFrames a merge is two shuffles on the key (anti-join, keep-last dedup of the batch) and one union. On tables
+the merges go through ``sources.snapshots``: files that hold no key of the batch stay as they are, and the new
+version becomes visible at once or not at all.
 """
 
 from __future__ import annotations
@@ -32,31 +30,19 @@ def merge(existing: DataFrame | None, updates: DataFrame, key: str, order_col: s
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-BUCKETS = 16
-BUCKET = "key_bucket"
+def upsert_table(spark: SparkSession, updates: DataFrame, path: str, key: str, order_col: str, rows_per_file: int | None = None) -> DataFrame:
+    """J8 on a versioned table (created if absent): only files that hold a key of ``updates`` are rewritten."""
+    from caregrid.sources import snapshots
 
-
-def upsert_table(spark: SparkSession, updates: DataFrame, path: str, key: str, order_col: str,
-                 buckets: int = BUCKETS) -> DataFrame:
-    """J8 on a Parquet table (created if absent): merge ``updates`` into the key buckets that they touch."""
-    from caregrid.sources.files import table_exists
-
-    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
-    updates = updates.withColumn(BUCKET, bucket)
-    existing = None
-    if table_exists(spark, path):
-        touched = [r[0] for r in updates.select(BUCKET).distinct().collect()]  # ``buckets`` numbers at most
-        existing = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
-    merged = merge(existing, updates, key, order_col)
-    merged.repartition(buckets, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    return read_or_empty(spark, path, merged.schema)
+    snapshots.upsert(spark, updates, path, key, order_col, rows_per_file or snapshots.ROWS_PER_FILE)
+    return snapshots.read(spark, path)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table at ``path``, or an empty one where no file has been written."""
-    from caregrid.sources.files import table_exists
+    """The table at ``path``, or an empty one where nothing has been written."""
+    from caregrid.sources.files import read_table, table_exists
 
-    return spark.read.parquet(path) if table_exists(spark, path) else spark.createDataFrame([], schema)
+    return read_table(spark, path) if table_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -64,25 +50,17 @@ def _fs(spark: SparkSession, path: str):
     return p, p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def replace_table(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to a staging folder, then swap it in for ``path`` (safe when df reads path)."""
-    path = path.rstrip("/")
-    df.write.mode("overwrite").parquet(f"{path}.__staging")
-    p, fs = _fs(spark, path)
-    dst, old = p(path), p(f"{path}.__old")
-    if fs.exists(dst):
-        if fs.exists(old):
-            fs.delete(old, True)
-        fs.rename(dst, old)
-    if not fs.rename(p(f"{path}.__staging"), dst):
-        raise OSError(f"could not move {path}.__staging to {path}")
-    if fs.exists(old):
-        fs.delete(old, True)
-    return spark.read.parquet(path)
+def replace_table(spark: SparkSession, df: DataFrame, path: str, key: str | None = None) -> DataFrame:
+    """A new version of the table that holds ``df`` (which may read the table); the old version stays readable."""
+    from caregrid.sources import snapshots
+
+    recover(spark, path)
+    snapshots.replace(spark, df, path, key)
+    return snapshots.read(spark, path)
 
 
 def recover(spark: SparkSession, path: str) -> bool:
-    """After a swap that was cut short: put the old table back if none is in place."""
+    """A plain folder whose swap by an earlier release was cut short: put ``.__old`` back if no folder is in place."""
     path = path.rstrip("/")
     p, fs = _fs(spark, path)
     if not fs.exists(p(path)) and fs.exists(p(f"{path}.__old")):
@@ -90,6 +68,14 @@ def recover(spark: SparkSession, path: str) -> bool:
     return False
 
 
+def update_table(spark: SparkSession, updates: DataFrame, path: str, key: str, columns: list[str]) -> DataFrame:
+    """J9 on a versioned table: only files that hold a key of ``updates`` are rewritten."""
+    from caregrid.sources import snapshots
+
+    snapshots.update(spark, updates, path, key, columns)
+    return snapshots.read(spark, path)
+
+
 def update_matched(target: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """J9 (MERGE ... WHEN MATCHED UPDATE): for keys present in ``updates`` (deduplicated by the caller),
     replace ``columns``; other rows and columns untouched; no rows inserted."""

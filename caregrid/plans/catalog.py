@@ -18,6 +18,7 @@ from caregrid.operators import trust as TR
 from caregrid.operators.bronze import quality_report
 from caregrid.plans import oracle as O
 from caregrid.plans import pipeline as PL
+from caregrid.sources.files import read_table as stored_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -763,8 +764,8 @@ def a16(spark, sf):
 
     VX, _, vt = _vector_inputs(spark, sf)
     paths = _extract_run(spark, sf)[1]
-    return RP.quality_gates(PL.bronze(spark, sf), PL.gold(spark, sf), vt, spark.read.parquet(paths["silver_llm"]),
-                            spark.read.parquet(paths["silver_llm_failures"]))
+    return RP.quality_gates(PL.bronze(spark, sf), PL.gold(spark, sf), vt, stored_table(spark, paths["silver_llm"]),
+                            stored_table(spark, paths["silver_llm_failures"]))
 
 
 @register("F8", q(O.CHAIN_DESERTS, """SELECT pin_code, state, desert_risk_score FROM deserts
@@ -851,7 +852,7 @@ def a3(spark, sf):
 WHERE facility_id NOT IN (SELECT facility_id FROM latest)
 UNION ALL SELECT facility_id, name, trust_score, batch_ord FROM latest"""))
 def j8(spark, sf):
-    """The upsert on a table: Gold written first, then the batch merged into the key buckets that it touches."""
+    """The upsert on a table: Gold written first, then the files that hold a key of the batch rewritten with it."""
     from caregrid.operators.upsert import upsert_table
 
     path = PL.table_path(spark, sf, f"gold_upsert_{uuid.uuid4().hex}")
@@ -873,6 +874,40 @@ def j9(spark, sf):
     return update_matched(target, upd, "facility_id", ["name", "trust_score"])
 
 
+def _gold_versions(spark, sf):
+    """A versioned Gold table: version 1 all of Gold, version 2 with the names and trust scores of the batch."""
+    from caregrid.operators.dedup import dedup_keep_last
+    from caregrid.sources import snapshots
+
+    path = PL.table_path(spark, sf, f"gold_versions_{uuid.uuid4().hex}")
+    snapshots.replace(spark, PL.gold(spark, sf).select("facility_id", "name", "trust_score", "address_state"), path, "facility_id", rows_per_file=2000)
+    snapshots.update(spark, dedup_keep_last(_batch(spark, sf), ["facility_id"], "batch_ord"), path, "facility_id", ["name", "trust_score"], rows_per_file=2000)
+    return path
+
+
+@register("J9T", q(O.CHAIN_GOLD + (_BATCH_SQL,), """SELECT g.facility_id, coalesce(l.name, g.name) AS name,
+  CASE WHEN l.facility_id IS NOT NULL THEN l.trust_score ELSE g.trust_score END AS trust_score, g.address_state
+FROM gold g LEFT JOIN latest l ON g.facility_id = l.facility_id"""))
+def j9_table(spark, sf):
+    """The matched-only update on a versioned table: the newest version."""
+    from caregrid.sources import snapshots
+
+    return snapshots.read(spark, _gold_versions(spark, sf))
+
+
+@register("J9H", q(O.CHAIN_GOLD + (_BATCH_SQL,), """SELECT g.facility_id, g.trust_score AS trust_before, l.trust_score AS trust_after
+FROM gold g JOIN latest l ON g.facility_id = l.facility_id"""))
+def j9_history(spark, sf):
+    """What the update changed, by reading both versions of the table."""
+    from caregrid.sources import snapshots
+
+    path = _gold_versions(spark, sf)
+    before, after = (snapshots.read(spark, path, v) for v in (1, 2))
+    ids = _batch(spark, sf).select("facility_id").distinct()
+    return before.select("facility_id", F.col("trust_score").alias("trust_before")).join(ids, "facility_id", "left_semi").join(
+        after.select("facility_id", F.col("trust_score").alias("trust_after")), "facility_id")
+
+
 @register("J3", q(O.CHAIN_VECTOR, "SELECT facility_id, src_key FROM bronze WHERE facility_id NOT IN (SELECT facility_id FROM vt)"))
 def j3(spark, sf):
     from caregrid.operators.upsert import pending
@@ -923,7 +958,7 @@ def l2(spark, sf):
 
     _, paths = _extract_run(spark, sf)
     x = F.col("x")
-    return spark.read.parquet(paths["silver_llm"]).withColumn("x", F.from_json("extraction_json", EXTRACTION)).select(
+    return stored_table(spark, paths["silver_llm"]).withColumn("x", F.from_json("extraction_json", EXTRACTION)).select(
         "facility_id", x.icu.present.alias("icu_present"), x.emergency.emergency_care.alias("em_care"), x.emergency.is_24_7.alias("is_24_7"),
         x.surgery.general_surgery.alias("general_surgery"), x.surgery.caesarean.alias("caesarean"), x.dialysis.present.alias("dialysis"),
         F.array_join(x.specialties_extracted, ",").alias("specialties"), x.raw_text_used.alias("raw_text_used"), "prompt_tokens", "completion_tokens")
@@ -952,7 +987,7 @@ def a11(spark, sf):
     from caregrid.operators import reports as RP
 
     _, paths = _extract_run(spark, sf)
-    return RP.yield_rollup(spark.read.parquet(paths["silver_llm"]), PL.gold(spark, sf))
+    return RP.yield_rollup(stored_table(spark, paths["silver_llm"]), PL.gold(spark, sf))
 
 
 def _corrected(spark, sf):
@@ -1086,7 +1121,7 @@ def s8(spark, sf):
     from caregrid.sources.files import read_csv_all_string, write_csv
 
     _, paths = _extract_run(spark, sf)
-    silver = spark.read.parquet(paths["silver_llm"])
+    silver = stored_table(spark, paths["silver_llm"])
     summary = (PL.gold(spark, sf).join(silver, "facility_id", "inner")
                .select("facility_id", "name", "address_city", "address_state", "facility_type", "trust_score",
                        "prompt_tokens", "completion_tokens", "latency_ms")
@@ -1116,7 +1151,7 @@ def s9(spark, sf):
 FROM gold g JOIN llm l ON g.facility_id = l.facility_id"""))
 def j7(spark, sf):
     _, paths = _extract_run(spark, sf)
-    return PL.gold(spark, sf).join(spark.read.parquet(paths["silver_llm"]), "facility_id", "inner").select(
+    return PL.gold(spark, sf).join(stored_table(spark, paths["silver_llm"]), "facility_id", "inner").select(
         "facility_id", "trust_score", "prompt_tokens", "completion_tokens")
 
 
@@ -1124,7 +1159,7 @@ def j7(spark, sf):
 WHERE g.trust_score > 0.5 AND l.prompt_tokens > 0 AND l.completion_tokens > 0"""))
 def f10(spark, sf):
     _, paths = _extract_run(spark, sf)
-    s = spark.read.parquet(paths["silver_llm"])
+    s = stored_table(spark, paths["silver_llm"])
     return (PL.gold(spark, sf).join(s, "facility_id").where(
         (F.col("trust_score") > 0.5) & (F.col("prompt_tokens") > 0) & (F.col("completion_tokens") > 0))
         .select("facility_id", "trust_score", "prompt_tokens"))
@@ -1150,7 +1185,7 @@ def a15(spark, sf):
 
     _, paths = _extract_run(spark, sf)
     # latency differs from run to run
-    return RP.trace_metrics(PL.gold(spark, sf), spark.read.parquet(paths["silver_llm"]), PL.bronze(spark, sf)).drop("latency_ms")
+    return RP.trace_metrics(PL.gold(spark, sf), stored_table(spark, paths["silver_llm"]), PL.bronze(spark, sf)).drop("latency_ms")
 
 
 @register("X12", q(O.CHAIN_VECTOR, f"""SELECT g.facility_id, coalesce(g.address_city, '') || ', ' || coalesce(g.address_state, '') || ' - ' || coalesce(g.address_zip, '') AS location,
@@ -1367,6 +1402,18 @@ def s4(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("S5V", q(O.CHAIN_GOLD, "SELECT facility_id, CAST(2 AS BIGINT) AS copies FROM gold"))
+def s5_versions(spark, sf):
+    """S4 and S5 on a versioned table: one write, one append, both visible in the newest version."""
+    from caregrid.sources import snapshots
+
+    path = PL.table_path(spark, sf, f"gold_appended_{uuid.uuid4().hex}")
+    g = PL.gold(spark, sf).select("facility_id")
+    snapshots.replace(spark, g, path)
+    snapshots.append(spark, g, path)
+    return stored_table(spark, path).groupBy("facility_id").agg(F.count(F.lit(1)).cast("long").alias("copies"))
+
+
 @register("S5", q(O.CHAIN_GOLD, "SELECT facility_id, CAST(2 AS BIGINT) AS copies FROM gold"))
 def s5(spark, sf):
     from caregrid.sources.files import write_table
@@ -1431,7 +1478,7 @@ def _model_pipeline(spark, sf):
 def l6(spark, sf):
     """The whole pipeline on the model path: extract, rule Gold, correct, index, deserts."""
     paths = _model_pipeline(spark, sf)
-    gold = spark.read.parquet(paths["gold"])
+    gold = stored_table(spark, paths["gold"])
     n = gold.agg(F.count_if(F.col("correction_iterations") > 0).cast("long").alias("corrected"))
     d = spark.read.parquet(paths["deserts"])
     return d.select("pin_code", "state", "desert_risk_score", F.array_join("desert_categories", ",").alias("desert_categories"),
@@ -1447,7 +1494,7 @@ def l6_nearest(spark, sf):
     from caregrid.operators import geo as GEO
     from caregrid.sources.testdata import nearest_requests
 
-    gold = spark.read.parquet(_model_pipeline(spark, sf)["gold"])
+    gold = stored_table(spark, _model_pipeline(spark, sf)["gold"])
     return GEO.rank_nearest(nearest_requests(spark, sf), gold).groupBy("request_id").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 

@@ -36,6 +36,12 @@ def read_registry_csv(spark: SparkSession, path: str, columns: list[str] | None
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    from caregrid.operators.upsert import recover
+    from caregrid.sources import snapshots
+
+    recover(spark, path)
+    if snapshots.is_table(spark, path):
+        return True
     try:
         spark.read.parquet(path).schema  # noqa: B018 - metadata only
         return True
@@ -44,10 +50,14 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S3: Parquet scan with an existence guard and an optional explicit schema."""
+    """S3: the newest version of a versioned table, or a Parquet scan with an existence guard and an optional schema."""
     from caregrid.operators.upsert import recover
+    from caregrid.sources import snapshots
 
     recover(spark, path)
+    if snapshots.is_table(spark, path):
+        df = snapshots.read(spark, path)
+        return df if schema is None else df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
     try:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(path)
@@ -85,6 +95,6 @@ def register_views(spark: SparkSession, tables: dict[str, str]) -> list[str]:
     done = []
     for name, path in tables.items():
         if table_exists(spark, path):
-            spark.read.parquet(path).createOrReplaceTempView(name)
+            read_table(spark, path).createOrReplaceTempView(name)
             done.append(name)
     return done

@@ -1,6 +1,7 @@
 """The foreachBatch wrapper: each new file's facilities are extracted once."""
 
 from caregrid.operators.inference import OfflineCompleter
+from caregrid.sources.files import read_table
 from caregrid.streaming.incremental import extract_stream
 
 
@@ -16,5 +17,5 @@ def test_micro_batches_extract_once(spark, tmp_path):
     run()
     spark.createDataFrame([("b", "surgery again"), ("c", "dialysis")], schema).coalesce(1).write.mode("append").parquet(src)
     run()
-    rows = {r["facility_id"]: r["extraction_json"] for r in spark.read.parquet(silver).collect()}
+    rows = {r["facility_id"]: r["extraction_json"] for r in read_table(spark, silver).collect()}
     assert set(rows) == {"a", "b", "c"} and "again" not in rows["b"]
