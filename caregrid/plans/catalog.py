@@ -404,6 +404,25 @@ def d11(spark, sf):
     return _d11_select(GEO.rank_nearest(req, g))
 
 
+@register("D11P", q(O.CHAIN_GEO + ("wide AS (SELECT * REPLACE (radius_km * 10 AS radius_km) FROM req)", O.ranked_sql("wide", "rk")), f"SELECT {_D11_COLS} FROM rk"))
+def d11_pruned(spark, sf):
+    """D11 at ten times the radius, with upper bounds of the scores by cell."""
+    from caregrid.operators import facility_index as FI
+
+    _, req, g = _geo_inputs(spark, sf)
+    return _d11_select(FI.nearest_pruned(req.withColumn("radius_km", F.col("radius_km") * 10), g))
+
+
+@register("D11N", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"), _PAIRS_SQL), """SELECT request_id, rank, facility_id,
+  (SELECT count(*) FROM allpairs p WHERE p.request_id = rk.request_id AND p.distance_km <= p.radius_km)::BIGINT AS n_in_radius FROM rk"""))
+def d11_counted(spark, sf):
+    """D11 with the number of facilities within the radius, counted by cells."""
+    from caregrid.operators import facility_index as FI
+
+    _, req, g = _geo_inputs(spark, sf)
+    return FI.rank_nearest_counted(req, g).select("request_id", "rank", "facility_id", "n_in_radius")
+
+
 @register("W1", q(O.CHAIN_GEO + (O.ranked_sql("req", "rk"),), "SELECT request_id, rank, facility_id FROM rk"))
 def w1(spark, sf):
     GEO, req, g = _geo_inputs(spark, sf)

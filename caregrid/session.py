@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of the shared one and read back: later jobs start from files, not from lineage."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a small input over the cluster's cores when it arrives in fewer partitions
     than the default parallelism (e.g. one small file); large inputs are already split by the
