@@ -2,14 +2,16 @@
 
 Components are quantised to integers; a posting list per dimension holds the block's rows ordered by value,
 so that from either end its segments come in the order of their impact on a query (the query's component
-times the value). A query processes segments of all dimensions by descending impact, adding to accumulators,
-in rounds that lower the impact threshold. After a round, a row's unprocessed components can add no more than
-the threshold each; some rows of high partial scores are rescored exactly, and the k-th best of these is a
-score that every member reaches. Rows whose upper bound falls short of it are out by proof; the search stops
-when few are left, or after the last round, and rescores all that are left exactly.
-
-Vectors that are null or hold null or non-finite components take no part (zero vectors do); ties go to the
-smaller id; fewer rows than k give all of them.
+times the value). A query processes the segments of all dimensions level by level, by descending impact,
+adding to accumulators. After each level, a row's unprocessed components can add no more than the level
+each, and no more than the first unprocessed impacts of all lists together; some rows of high partial scores
+are rescored exactly, and the k-th best of these is a score that every member reaches. Rows whose upper bound
+falls short of it are out by proof; the search stops when few are left, or after the last level, and rescores
+all that are left exactly.
+
+Sums that might leave 62 bits (dimensions x largest components of query and rows) are taken with Python's integers;
+a result that no long can hold is an error. Vectors that are null or hold null or non-finite components
+take no part (zero vectors do); ties go to the smaller id; fewer rows than k give all of them.
 """
 
 from __future__ import annotations
@@ -21,50 +23,79 @@ from pyspark.sql import functions as F
 from caregrid.llm import blocks
 
 K, SCALE = 5, 256
-ROUNDS = (0.0, -0.1)  # thresholds as parts of the largest impact
+# The levels as parts of the largest impact; the stop test follows each.
+LEVELS = (0.75, 0.55, 0.4, 0.3, 0.22, 0.16, 0.11, 0.07, 0.04, 0.02, 0.0, -0.05, -0.15)
+ROWS, QUERIES = 8_192, 8_192  # a block of rows, whose index serves this many queries
+
+
+class Index:
+    """The posting lists of a block, and ``read``: postings processed of those there were."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        order = np.argsort(x, axis=0, kind="stable")
+        value = np.take_along_axis(x, order, axis=0)
+        self.posting, self.value = np.ascontiguousarray(order.T.astype(np.int32)), np.ascontiguousarray(value.T)
+        self.read = self.there = 0
+
+    def members(self, w: np.ndarray, keep: int, levels: tuple[float, ...], finish: int) -> np.ndarray:
+        """The rows that can be among the ``keep`` best for ``w``; all rows where nothing could be ruled out."""
+        x, value, n = self.x, self.value, len(self.x)
+        used = np.flatnonzero(w)
+        largest = int(np.maximum(w * value[:, 0], w * value[:, -1]).max(initial=0))
+        score, count = np.zeros(n, x.dtype), np.zeros(n, x.dtype)
+        done, ahead = np.zeros(len(w), np.int64), np.zeros(len(w), x.dtype)
+        member = np.arange(n)
+        self.there += n * len(used)
+        for part in levels:
+            limit = int(np.ceil(largest * part))  # segments of this impact and more are processed
+            for d in used:
+                if w[d] > 0:  # the impact falls from the high end of the list
+                    stop = n - int(np.searchsorted(value[d], -(-limit // int(w[d])), "left"))
+                    own, after = slice(n - stop, n - done[d]), n - stop - 1
+                else:
+                    stop = after = int(np.searchsorted(value[d], limit // int(w[d]), "right"))
+                    own = slice(done[d], stop)
+                if stop > done[d]:
+                    rows = self.posting[d, own]
+                    score[rows] += value[d, own] * w[d]
+                    count[rows] += 1
+                    self.read += stop - int(done[d])
+                    done[d] = stop
+                ahead[d] = value[d, after] * w[d] if stop < n else 0
+            some = np.argpartition(-score, min(n, 4 * keep) - 1)[:4 * keep]
+            least = np.partition(x[some] @ w, len(some) - keep)[len(some) - keep]  # no k-th best score is lower
+            unseen = np.minimum((len(used) - count) * (limit - 1), ahead[ahead > 0].sum()) if limit > 0 else (len(used) - count) * (limit - 1)
+            member = np.flatnonzero(score + unseen >= least)
+            if len(member) * finish <= n:
+                break
+        return member
 
 
-def saat_best(rounds: tuple[float, ...] = ROUNDS, finish: int = 32):
+MOST = (1 << 63) - 1
+
+
+def _long(scores: np.ndarray) -> np.ndarray:
+    """As longs; what no long holds becomes the largest, which a result may not have (a row's product with itself may)."""
+    return scores if scores.dtype != object else np.array([max(-MOST, min(MOST, int(s))) for s in scores], np.int64)
+
+
+def saat_best(levels: tuple[float, ...] = LEVELS, finish: int = 32):
     """The function that finds a block's best rows; it rescores once 1 / ``finish`` of the rows can be members."""
 
     def best(q: np.ndarray, x: np.ndarray, keep: int):
         n, dim = x.shape
-        bits = int(dim).bit_length()
-        order = np.argsort(x, axis=0, kind="stable")
-        value = np.take_along_axis(x, order, axis=0)
-        lows, highs = value[0], value[-1]
-        posting, value = np.ascontiguousarray(order.T.astype(np.int32)), np.ascontiguousarray(value.T)
-        found = ([], [], [])
-        for i in range(len(q)):
-            w = q[i]
-            used = np.flatnonzero(w)
-            largest = int(np.maximum(w * lows, w * highs).max(initial=0))
-            acc = np.zeros(n, np.int64)  # the score so far and, in the low bits, how many components it has
-            done = np.zeros(dim, np.int64)
-            member = np.arange(n)
-            for part in rounds if n > keep else ():
-                limit = int(np.ceil(largest * part))  # segments of this impact and more are processed
-                for d in used:
-                    if w[d] > 0:  # the impact falls from the high end of the list
-                        stop = n - int(np.searchsorted(value[d], -(-limit // w[d]), "left"))
-                        own = slice(n - stop, n - done[d])
-                    else:
-                        stop = int(np.searchsorted(value[d], limit // w[d], "right"))
-                        own = slice(done[d], stop)
-                    if stop > done[d]:
-                        rows = posting[d, own]
-                        acc[rows] += value[d, own] * (w[d] << bits) + 1
-                        done[d] = stop
-                score, count = acc >> bits, acc & ((1 << bits) - 1)
-                some = np.argpartition(-score, min(n, 4 * keep) - 1)[:4 * keep]
-                least = np.partition(x[some] @ w, len(some) - keep)[len(some) - keep]  # no k-th best score is lower
-                member = np.flatnonzero(score + (len(used) - count) * (limit - 1) >= least)
-                if len(member) * finish <= n:
-                    break
+        widest = dim * max(map(abs, (int(x.min()), int(x.max())))) * max(map(abs, (int(q.min()), int(q.max()))))
+        if widest >= 1 << 62:
+            q, x = q.astype(object), x.astype(object)
+        index, found = Index(x), ([], [], [])
+        for i, w in enumerate(q):
+            member = index.members(w, keep, levels, finish) if n > keep else np.arange(n)
             exact = x[member] @ w
             near = np.flatnonzero(exact >= np.partition(exact, max(0, len(exact) - keep))[max(0, len(exact) - keep)])
-            top = near[np.lexsort((member[near], -exact[near]))][:keep]
-            for out, v in zip(found, (np.full(len(top), i), member[top], exact[top]), strict=True):
+            top = near[np.lexsort((member[near], -exact[near]))][:keep] if exact.dtype != object else np.array(
+                sorted(near.tolist(), key=lambda j: (-exact[j], member[j]))[:keep])
+            for out, v in zip(found, (np.full(len(top), i), member[top], _long(exact[top])), strict=True):
                 out.append(v)
         return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
 
@@ -75,4 +106,6 @@ def top_products(vectors: DataFrame, k: int = K, every: int = 50, scale: int = S
     """(query_id, rank, vec_id, score): the k largest integer inner products for each row whose vec_id is divisible by ``every``."""
     exact = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(
         F.floor(F.lit(float(scale)) * x)).cast("long"))
-    return blocks.search(vectors, exact, saat_best(), k, every, zero_ok=True, score_type="long", **params)
+    found = blocks.search(vectors, exact, saat_best(), k, every, zero_ok=True, score_type="long", **{"rows": ROWS, "queries": QUERIES} | params)
+    whole = F.when(F.abs("score") == MOST, F.raise_error(F.lit("OverflowError: a score leaves the range of a long"))).otherwise(F.col("score"))
+    return found.withColumn("score", whole)

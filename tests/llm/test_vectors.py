@@ -49,11 +49,37 @@ def test_rounds_stop_on_proof_only():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-256, 256, (3000, 24)), rng.integers(-256, 256, (20, 24))
     q[0], x[:5] = 0, 0
-    for rounds in ((0.0, -0.1), (0.9, 0.5, 0.25, 0.1), ()):
+    for rounds in (topk.LEVELS, (0.0, -0.1), (0.9, 0.5, 0.25, 0.1), ()):
         i, _, s = topk.saat_best(rounds)(q, x, 6)
         assert all((np.sort(q[k] @ x.T)[::-1][:6] == s[i == k]).all() for k in range(20))
 
 
+def test_skewed_impacts_stop_early():
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.standard_normal((4000, 24)) * np.exp(-np.arange(24) / 2)).astype(np.int64)
+    index = topk.Index(x)
+    for w in x[:20]:
+        best = np.sort(x @ w)[::-1][:6]
+        member = index.members(w, 6, topk.LEVELS, 32)
+        assert (np.sort(x[member] @ w)[::-1][:6] == best).all()
+    assert index.read < 0.3 * index.there
+
+
+@pytest.mark.parametrize("size", [1e6, 1e7])
+def test_large_components_do_not_overflow(spark, size):
+    rng = np.random.default_rng(7)
+    rows = [(i, (size * rng.standard_normal(64) * 0.2).tolist()) for i in range(300)]
+    want = {}
+    exact = [[int(np.floor(256 * a)) for a in v] for _, v in rows]
+    for i in range(0, 300, 50):
+        s = sorted((-sum(a * b for a, b in zip(exact[i], v, strict=True)), j) for j, v in enumerate(exact) if j != i)[:5]
+        want[i] = [(j, -x) for x, j in s]
+    got = {}
+    for r in sorted(topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == want
+
+
 def test_nearest_recall_and_scores(spark):
     df, rows = vectors(spark, dim=32)
     cosine = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
@@ -83,3 +109,9 @@ def test_probe_sets_come_in_order_of_expected_cost():
     s = ann.probe_sets(6, 40)
     assert len(s) == 40 and not s[0].any() and len({r.tobytes() for r in s}) == 40
     assert not (s[:, :6] & s[:, 6:][:, ::-1]).any()
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    rows = [(i, [1e16 + 64 * i] * 8) for i in range(9)]
+    with pytest.raises(Exception, match="range of a long"):
+        topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
