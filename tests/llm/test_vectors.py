@@ -49,8 +49,8 @@ def test_rounds_stop_on_proof_only():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-256, 256, (3000, 24)), rng.integers(-256, 256, (20, 24))
     q[0], x[:5] = 0, 0
-    for rounds in (topk.LEVELS, (0.0, -0.1), (0.9, 0.5, 0.25, 0.1), ()):
-        i, _, s = topk.saat_best(rounds)(q, x, 6)
+    for rounds, cost in ((topk.LEVELS, topk.COST), (topk.LEVELS, 0.0), ((0.0, -0.1), 0.0), ((0.9, 0.5, 0.25, 0.1), 1.0), ((), 1.0)):
+        i, _, s = topk.saat_best(rounds, cost)(q, x, 6)
         assert all((np.sort(q[k] @ x.T)[::-1][:6] == s[i == k]).all() for k in range(20))
 
 
@@ -60,9 +60,11 @@ def test_skewed_impacts_stop_early():
     index = topk.Index(x)
     for w in x[:20]:
         best = np.sort(x @ w)[::-1][:6]
-        member = index.members(w, 6, topk.LEVELS, 32)
+        member = index.members(w, 6, topk.LEVELS, topk.COST)
         assert (np.sort(x[member] @ w)[::-1][:6] == best).all()
     assert index.read < 0.3 * index.there
+    members = [len(index.members(w, 6, topk.LEVELS, topk.COST)) for w in x[:20]]
+    assert np.mean(members) < 0.2 * len(x)
 
 
 @pytest.mark.parametrize("size", [1e6, 1e7])
