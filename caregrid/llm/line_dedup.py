@@ -1,10 +1,14 @@
 """Line deduplication over levelled sorted runs of line hashes (DataFrame operations only).
 
-A run is a table of (key hash, documents, largest doc_id), bucketed and sorted by the hash. A batch of
-documents is reduced to one row per key and merge-joined with every run in turn: the anti-join leaves the
-keys that no run holds, the rest are counts for known keys, and both become the batch's own run. As soon as
-``fanout`` runs stand on a level they are merged into one run of the next level, so a key lies in few runs.
-Equal bucketing lets these joins read the runs without shuffling them again.
+A run is a table of (key hash, documents, largest doc_id), bucketed and sorted by the hash; no key lies in two runs.
+A batch of documents is reduced to one row per key, bucketed likewise, and merge-anti-joined with every run in turn:
+the keys that no run holds become the batch's own run, and only the others, known from earlier batches, are kept as
+additions to the counts. When ``fanout`` runs stand on a level they are merged into one run of the next level, so few
+runs are open at any time. Equal bucketing lets these joins read the runs without shuffling them again. At the end a
+key's count is that of its run and its additions; keys that never came again need no look-up.
+
+Batches double in size, from ``first_lines`` lines on: their number grows with the logarithm of the input, and all
+anti-joins together read a small multiple of the keys. A document lies in one batch whole.
 
 Key: the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; only keys of ``min_chars`` code
 points and more are looked at. A key in ``min_docs`` documents or more loses all its lines except in the
@@ -23,7 +27,7 @@ from caregrid.llm.common import lower_az, shared_path, stored, text_or_empty
 
 SPACE = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-BATCHES, FANOUT = 4, 4
+FIRST_LINES, FANOUT = 250_000, 3
 
 
 def line_key(line: Column) -> Column:
@@ -47,77 +51,97 @@ def _half(md5: str, start: int) -> Column:
 
 
 class Runs:
-    """The runs of a line store, by level."""
+    """The runs of a line store, by level, and the additions to the counts of their keys."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, list[str]] = {}
+        self.additions: list[DataFrame] = []
+        self.made: list[str] = []
 
     def tables(self) -> list[str]:
         return [t for level in sorted(self.levels, reverse=True) for t in self.levels[level]]
 
-    def _write(self, df: DataFrame, level: int) -> None:
+    def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (df.select("h1", "h2", "docs", "largest", "first_seen").repartition(self.buckets, "h1")
+        self.made.append(name)
+        (df.select("h1", "h2", "docs", "largest").repartition(self.buckets, "h1")
          .write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", shared_path(self.spark, name)).saveAsTable(name))
-        self.levels.setdefault(level, []).append(name)
+        return name
 
     def add(self, lines: DataFrame) -> None:
         """One batch: (doc_id, h1, h2), whole documents."""
         own = lines.groupBy("h1", "h2", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")).agg(F.lit(1).alias("one"))
         own = own.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("d").alias("largest"))
-        new = own
+        if not self.levels:
+            self.levels[0] = [self._write(own)]
+            return
+        batch = self._write(own)
+        new = self.spark.table(batch)
         for t in self.tables():  # what no run holds yet
             new = new.join(self.spark.table(t).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        if self.levels:
-            new = own.join(new.select("h1", "h2", F.lit(True).alias("fresh")), ["h1", "h2"], "left")
-            self._write(new.withColumn("first_seen", F.coalesce("fresh", F.lit(False))), 0)
-        else:
-            self._write(own.withColumn("first_seen", F.lit(True)), 0)
+        run = self._write(new)
+        known = self.spark.table(batch).join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self.additions.append(stored(known.select("h1", "h2", "docs", "largest"), "line-additions"))
+        self._drop(batch)
+        self.levels.setdefault(0, []).append(run)
         self._compact()
 
     def _compact(self) -> None:
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             old = self.levels.pop(level)
-            self._write(self._merged(old), level + 1)
+            self.levels.setdefault(level + 1, []).append(self._write(self._all(old)))
             for t in old:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._drop(t)
             level += 1
 
-    def _merged(self, tables: list[str]) -> DataFrame:
+    def _all(self, tables: list[str]) -> DataFrame:
         rows = self.spark.table(tables[0])
         for t in tables[1:]:
             rows = rows.union(self.spark.table(t))
-        return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest"),
-                                            F.max("first_seen").alias("first_seen"))
+        return rows
 
-    def resolved(self) -> DataFrame:
-        """(h1, h2, docs, largest) over all runs."""
+    def resolved(self, min_docs: int = 1) -> DataFrame:
+        """(h1, h2, docs, largest) of the keys in at least ``min_docs`` documents."""
         if not self.levels:
             raise ValueError("the line store is empty")
-        return self._merged(self.tables()).select("h1", "h2", "docs", "largest")
+        keys = self._all(self.tables())
+        if self.additions:
+            more = self.additions[0]
+            for a in self.additions[1:]:
+                more = more.union(a)
+            more = more.groupBy("h1", "h2").agg(F.sum("docs").alias("more"), F.max("largest").alias("later"))
+            keys = keys.join(more, ["h1", "h2"], "left").select(
+                "h1", "h2", (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"), F.greatest("largest", "later").alias("largest"))
+        return keys.where(F.col("docs") >= min_docs)
+
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.made.remove(table)
 
     def forget(self) -> None:
         """Take the runs out of the catalog; their files stay in the shared folder."""
-        for t in self.tables():
-            self.spark.sql(f"DROP TABLE {t}")
-        self.levels = {}
+        for t in list(self.made):
+            self._drop(t)
+        self.levels, self.additions = {}, []
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES,
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, first_lines: int = FIRST_LINES,
                   fanout: int = FANOUT, buckets: int | None = None) -> DataFrame:
     """(doc_id, text_hash, dropped array<int>): the line numbers that a document loses; only documents that lose any."""
-    lines = long_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(batches)).cast("int"))
-    path = shared_path(docs.sparkSession, "line-keys")
-    lines.write.partitionBy("batch").parquet(path)
-    lines = docs.sparkSession.read.schema(lines.schema).parquet(path)
+    lines = stored(long_lines(docs, min_chars), "line-keys")
+    batches = (max(1, -(-lines.count() // first_lines)) - 1).bit_length() + 1
+    # of 2 ** (batches - 1) parts the first batch has part 0, the second part 1, then 2 and 3, then 4 to 7, ...
+    part = F.pmod(F.xxhash64(F.lit("batch"), "doc_id"), F.lit(1 << batches - 1))
     runs = Runs(docs.sparkSession, fanout, buckets)
-    for i in range(batches):
-        runs.add(lines.where(F.col("batch") == i).select("doc_id", "h1", "h2"))
-    frequent = stored(runs.resolved().where(F.col("docs") >= min_docs).select("h1", "h2", "largest"), "frequent-lines")
-    runs.forget()
+    try:
+        for i in range(batches):
+            runs.add(lines.where((part >= (1 << i >> 1)) & (part < (1 << i))).select("doc_id", "h1", "h2"))
+        frequent = stored(runs.resolved(min_docs).select("h1", "h2", "largest"), "frequent-lines")
+    finally:
+        runs.forget()
     lost = lines.join(frequent, ["h1", "h2"]).where(F.coalesce("doc_id", F.lit(-(1 << 63))) < F.col("largest"))
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("dropped"))
 

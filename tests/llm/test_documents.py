@@ -357,13 +357,42 @@ def plain_lines(rows, min_docs=5):
     return out
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(4, 4), (5, 2)])
-def test_line_dedup(table, nothing, batches, fanout):
+@pytest.mark.parametrize(("first_lines", "fanout"), [(60, 3), (25, 2), (10**6, 3)])
+def test_line_dedup(spark, table, nothing, first_lines, fanout):
     df, rows = table
-    d = line_dedup.deduplicated(df, batches=batches, fanout=fanout)
+    d = line_dedup.deduplicated(df, first_lines=first_lines, fanout=fanout)
     got = d.selectExpr("doc_id", "__lines.n_lines", "__lines.n_dropped", "sha2(__lines.kept, 256) h").collect()
     assert Counter(tuple(r) for r in got) == plain_lines(rows)
     if fanout == 2:
-        out = line_dedup.dedup_lines(df, batches=2)
+        out = line_dedup.dedup_lines(df, first_lines=200)
         assert out.columns == df.columns and out.dtypes == df.dtypes and ids(out) == all_ids(rows)
-        assert line_dedup.deduplicated(nothing, batches=2).count() == 0
+        assert line_dedup.deduplicated(nothing).count() == 0
+
+
+def test_runs_hold_each_key_once_and_only_known_keys_add(spark):
+    rng, runs, seen, total = np.random.default_rng(1), line_dedup.Runs(spark, fanout=2, buckets=3), set(), Counter()
+    try:
+        for i in range(5):
+            keys = [(int(d), int(k), 0) for d in range(100 * i, 100 * i + 20) for k in rng.integers(0, 60, 4)]
+            runs.add(spark.createDataFrame(keys, "doc_id long, h1 long, h2 long"))
+            own = Counter(k for _, k in {(d, k) for d, k, _ in keys})
+            if i:
+                added = {r["h1"]: r["docs"] for r in runs.additions[-1].collect()}
+                assert added == {k: n for k, n in own.items() if k in seen}
+            seen |= set(own)
+            total += own
+            held = [r["h1"] for t in runs.tables() for r in spark.table(t).collect()]
+            assert sorted(held) == sorted(seen)  # each key in one run
+        assert {r["h1"]: r["docs"] for r in runs.resolved().collect()} == total
+        assert {r["h1"] for r in runs.resolved(7).collect()} == {k for k, n in total.items() if n >= 7}
+        assert max(runs.levels) >= 2 and all(len(v) < 2 for v in runs.levels.values())
+    finally:
+        runs.forget()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_a_failing_batch_leaves_no_tables(spark, table, monkeypatch):
+    monkeypatch.setattr(line_dedup.Runs, "_compact", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.dropped_lines(table[0], first_lines=50)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
