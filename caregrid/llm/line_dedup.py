@@ -3,8 +3,8 @@
 A run is a table of (key hash, documents, largest doc_id), bucketed and sorted by the hash; no key lies in two runs.
 A batch of documents is reduced to one row per key, bucketed likewise, and merge-anti-joined with every run in turn:
 the keys that no run holds become the batch's own run, and only the others, known from earlier batches, are kept as
-additions to the counts. When ``fanout`` runs stand on a level they are merged into one run of the next level, so few
-runs are open at any time. Equal bucketing lets these joins read the runs without shuffling them again. At the end a
+additions to the counts. When ``fanout`` runs stand on a level they are merged into one run of the next level; a run
+starts on the level of its batch's size, so few runs are open at any time. Equal bucketing lets these joins read the runs without shuffling them again. At the end a
 key's count is that of its run and its additions; keys that never came again need no look-up.
 
 Batches double in size, from ``first_lines`` lines on: their number grows with the logarithm of the input, and all
@@ -27,7 +27,7 @@ from caregrid.llm.common import lower_az, shared_path, stored, text_or_empty
 
 SPACE = " \t\n\x0b\f\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-FIRST_LINES, FANOUT = 250_000, 3
+FIRST_LINES, FANOUT = 25_000, 2
 
 
 def line_key(line: Column) -> Column:
@@ -70,12 +70,12 @@ class Runs:
          .write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", shared_path(self.spark, name)).saveAsTable(name))
         return name
 
-    def add(self, lines: DataFrame) -> None:
-        """One batch: (doc_id, h1, h2), whole documents."""
+    def add(self, lines: DataFrame, level: int = 0) -> None:
+        """One batch: (doc_id, h1, h2), whole documents; its run starts on this level."""
         own = lines.groupBy("h1", "h2", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d")).agg(F.lit(1).alias("one"))
         own = own.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("d").alias("largest"))
         if not self.levels:
-            self.levels[0] = [self._write(own)]
+            self.levels[level] = [self._write(own)]
             return
         batch = self._write(own)
         new = self.spark.table(batch)
@@ -85,11 +85,10 @@ class Runs:
         known = self.spark.table(batch).join(self.spark.table(run).select("h1", "h2"), ["h1", "h2"], "left_anti")
         self.additions.append(stored(known.select("h1", "h2", "docs", "largest"), "line-additions"))
         self._drop(batch)
-        self.levels.setdefault(0, []).append(run)
-        self._compact()
+        self.levels.setdefault(level, []).append(run)
+        self._compact(level)
 
-    def _compact(self) -> None:
-        level = 0
+    def _compact(self, level: int) -> None:
         while len(self.levels.get(level, [])) >= self.fanout:
             old = self.levels.pop(level)
             self.levels.setdefault(level + 1, []).append(self._write(self._all(old)))
@@ -138,7 +137,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     runs = Runs(docs.sparkSession, fanout, buckets)
     try:
         for i in range(batches):
-            runs.add(lines.where((part >= (1 << i >> 1)) & (part < (1 << i))).select("doc_id", "h1", "h2"))
+            runs.add(lines.where((part >= (1 << i >> 1)) & (part < (1 << i))).select("doc_id", "h1", "h2"), max(0, i - 1))
         frequent = stored(runs.resolved(min_docs).select("h1", "h2", "largest"), "frequent-lines")
     finally:
         runs.forget()

@@ -392,7 +392,7 @@ def test_runs_hold_each_key_once_and_only_known_keys_add(spark):
 
 
 def test_a_failing_batch_leaves_no_tables(spark, table, monkeypatch):
-    monkeypatch.setattr(line_dedup.Runs, "_compact", lambda self: 1 / 0)
+    monkeypatch.setattr(line_dedup.Runs, "_compact", lambda self, level: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         line_dedup.dropped_lines(table[0], first_lines=50)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
