@@ -48,7 +48,7 @@ def intent_matched(i: Column, ex: Column) -> Column:
 
 
 def intent_evidence(i: Column, ex: Column) -> Column:
-    """D13 evidence phrase for a matched intent tag."""
+    """D13 evidence phrase for a matched intent tag. The phrases are fixed values."""
     beds = ex["icu"]["bed_count"]
     vn = ex["ventilator"]["count"]
     mn = ex["dialysis"]["machine_count"]
@@ -207,10 +207,11 @@ def query_facilities(queries: DataFrame, vt: DataFrame, gold: DataFrame, params:
     Returns (ranked results, one response per query: interpretation, summary, note, filters, counters).
     """
     from caregrid.operators.vector import search
+    from caregrid.session import stored
 
     qs = queries.withColumn("min_trust_score", F.coalesce("min_trust_score", F.lit(params.min_trust_for_reasoning)))
-    hits = search(qs, vt, top_k=params.vector_top_k, mode=mode, params=params)
-    valid = revalidate(hits, qs, gold)
+    hits = stored(search(qs, vt, top_k=params.vector_top_k, mode=mode, params=params), "hits")  # both frames read these
+    valid = stored(revalidate(hits, qs, gold), "valid-hits")
     calls = None
     if completer is None:
         ranked = fallback_rank(valid, qs)

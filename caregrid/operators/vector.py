@@ -211,7 +211,8 @@ def candidates(queries: DataFrame, corpus: DataFrame, k: int, prefilter: bool, p
     if size["n"] * (size["dim"] or 0) * 8 <= params.max_broadcast_bytes and not force_blocked:
         return _candidates_broadcast(queries, corpus, k, prefilter)
     q_blocks = max(1, -(-size["n"] // params.block_queries))
-    c_blocks = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c_blocks = max(1, -(-corpus.count() * (size["dim"] or 0) * 8 // params.max_broadcast_bytes),
+                   int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # no block beyond the bytes of a broadcast
     return _candidates_blocked(queries, corpus, k, prefilter, q_blocks, c_blocks)
 
 

@@ -481,6 +481,17 @@ def v2(spark, sf):
     return VX.search(qs, vt, top_k=5)
 
 
+@register("V2X", q(O.CHAIN_VECTOR + (O.prefilter_sql(5),), "SELECT * FROM hits"))
+def v2_index(spark, sf):
+    """V2 over the stored metric index with quantised vectors."""
+    from caregrid.operators import vector_index as VI
+
+    VX, qs, vt = _vector_inputs(spark, sf)
+    path = PL.table_path(spark, sf, f"vector_index_{uuid.uuid4().hex}")
+    VI.build(vt, path)
+    return VI.search(qs, path, 5)
+
+
 @register("W3", q(O.CHAIN_VECTOR + (O.postfilter_sql(5),), "SELECT * FROM hits"))
 def w3(spark, sf):
     """Over-fetch 4 k by similarity, filter, keep k: may give fewer than k."""
