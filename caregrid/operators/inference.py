@@ -108,6 +108,19 @@ def ranking_messages(query: str | Column, min_trust: str | Column, candidates: s
 # L1 completion calls
 # ---------------------------------------------------------------------------
 
+def one_call(completer, msgs) -> tuple:
+    """The values of ``CALL_FIELDS`` for one call."""
+    msgs = [{"role": m["role"], "content": m["content"]} for m in msgs]
+    t0 = time.perf_counter()
+    try:
+        r = completer(msgs)
+        out = (r.get("content"), int(r.get("prompt_tokens") or 0), int(r.get("completion_tokens") or 0))
+        error = None
+    except Exception as e:  # noqa: BLE001 - a failed call is a failure row
+        out, error = (None, 0, 0), f"{type(e).__name__}: {e}"
+    return (*out, (time.perf_counter() - t0) * 1000.0, error)
+
+
 def complete(df: DataFrame, messages_col: str, completer, partitions: int | None = None, concurrency: int = 1) -> DataFrame:
     """L1: one completer call per row inside executors; per-row failures become ``call_error``.
 
@@ -118,21 +131,10 @@ def complete(df: DataFrame, messages_col: str, completer, partitions: int | None
     src = src.withColumn("input_hash", F.sha2(F.to_json(messages_col), 256))
     schema = T.StructType(src.schema.fields + CALL_FIELDS)
 
-    def call(msgs) -> tuple:
-        msgs = [{"role": m["role"], "content": m["content"]} for m in msgs]
-        t0 = time.perf_counter()
-        try:
-            r = completer(msgs)
-            out = (r.get("content"), int(r.get("prompt_tokens") or 0), int(r.get("completion_tokens") or 0))
-            error = None
-        except Exception as e:  # noqa: BLE001 - a failed call is a failure row
-            out, error = (None, 0, 0), f"{type(e).__name__}: {e}"
-        return (*out, (time.perf_counter() - t0) * 1000.0, error)
-
     def run(batches):
         with ThreadPoolExecutor(concurrency) as pool:
             for pdf in batches:
-                calls = list(pool.map(call, pdf[messages_col]))
+                calls = list(pool.map(lambda msgs: one_call(completer, msgs), pdf[messages_col]))
                 yield pdf.assign(**{f.name: pd.Series([c[i] for c in calls], index=pdf.index, dtype=object)
                                     for i, f in enumerate(CALL_FIELDS)})
 
@@ -183,9 +185,10 @@ class OfflineCompleter:
 
 def run_extract(bronze: DataFrame, completer, silver_path: str, failures_path: str, calls_path: str,
                 sample_limit: int = 0, only_missing: bool = True, partitions: int | None = None,
-                concurrency: int = 1, text_chars: int = EXTRACT_CHARS) -> DataFrame:
+                concurrency: int = 1, text_chars: int = EXTRACT_CHARS, ledger: str | None = None) -> DataFrame:
     """L2: F2 -> J3 -> F3 -> X11 -> L1 (written once) -> X1/X2 (written once) -> ok/failed -> J8 into Silver
-    and failures. A later run calls the model only for facilities that Silver lacks.
+    and failures. A later run calls the model only for facilities that Silver lacks. With a ``ledger`` (a folder)
+    replies are kept by the hash of their messages while the calls run (``sources.ledger``).
 
     Returns the run metrics (A12): ok, failed, prompt and completion token totals.
     """
@@ -200,7 +203,13 @@ def run_extract(bronze: DataFrame, completer, silver_path: str, failures_path: s
     if sample_limit > 0:
         todo = todo.orderBy("facility_id").limit(sample_limit)
     req = todo.select("facility_id", extraction_messages("composite_text", "facility_id", text_chars).alias("messages"))
-    complete(req, "messages", completer, partitions, concurrency).drop("messages") \
+    if ledger:
+        from caregrid.sources.ledger import complete_once
+
+        called = complete_once(req, "messages", completer, ledger, partitions, concurrency)
+    else:
+        called = complete(req, "messages", completer, partitions, concurrency)
+    called.drop("messages") \
         .withColumn("_run_ord", F.monotonically_increasing_id()) \
         .write.mode("overwrite").parquet(calls_path)
     is_ok = F.col("extraction").isNotNull() & F.col("call_error").isNull()

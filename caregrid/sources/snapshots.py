@@ -147,6 +147,27 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return _scan(spark, path, _schema(h), [r[0] for r in files(spark, path, h).select("file").collect()])
 
 
+def changes(spark: SparkSession, path: str, old: int | None, new: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the files that only version ``old`` (None: an empty table) and only version ``new`` hold.
+
+    Rows that a merge carried over unchanged are in both.
+    """
+    path = path.rstrip("/")
+    after = head(spark, path, new)
+    before = head(spark, path, old) if old is not None else None
+    a = {r[0] for r in files(spark, path, after).select("file").collect()}
+    b = {r[0] for r in files(spark, path, before).select("file").collect()} if before else set()
+    return _scan(spark, path, _schema(before or after), sorted(b - a)), _scan(spark, path, _schema(after), sorted(a - b))
+
+
+def rows_with(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The rows of the newest version with a key of ``keys`` (unique ones), read from the files that hold one."""
+    path = path.rstrip("/")
+    h = head(spark, path)
+    rows = _scan(spark, path, _schema(h), files_with(spark, path, h, keys))
+    return rows.join(keys, rows[h["key"]].eqNullSafe(keys[h["key"]]), "left_semi")
+
+
 # ---- key index
 
 def _file() -> Column:
@@ -241,9 +262,10 @@ def _part_files(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().toString() for s in fs.listStatus(p(folder)) if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
 
 
-def _commit(spark: SparkSession, path: str, base: dict | None, write: str, schema: T.StructType, key: str | None, fresh: bool) -> int:
+def _commit(spark: SparkSession, path: str, base: dict | None, write: str, schema: T.StructType, key: str | None, fresh: bool, meta: dict | None = None) -> int:
     version = base["version"] + 1 if base else 1
-    h = {"version": version, "writes": [write] if fresh or not base else [*base["writes"], write], "schema": schema.jsonValue(), "key": key, "at": time.time()}
+    h = {"version": version, "writes": [write] if fresh or not base else [*base["writes"], write], "schema": schema.jsonValue(), "key": key, "at": time.time(),
+         "meta": meta or {}}
     if len(h["writes"]) > MERGE_WRITES:
         h["writes"] = [_merge_log(spark, path, h)]
     if not create_if_absent(spark, _version_file(path, version), json.dumps(h)):
@@ -275,18 +297,21 @@ def _adopted(spark: SparkSession, path: str, key: str | None) -> dict | None:
     return head(spark, path)
 
 
-def _put(spark: SparkSession, path: str, base: dict | None, df: DataFrame, key: str | None, removed: list[str], rows_per_file: int, fresh: bool) -> int:
+def _put(spark: SparkSession, path: str, base: dict | None, df: DataFrame, key: str | None, removed: list[str], rows_per_file: int, fresh: bool,
+         meta: dict | None = None) -> int:
     write = uuid.uuid4().hex
     folder = _write_data(df, path, write, key, rows_per_file)
     _describe(spark, path, write, df.schema, key, _part_files(spark, folder), removed)
-    return _commit(spark, path, base, write, df.schema, key, fresh)
+    return _commit(spark, path, base, write, df.schema, key, fresh, meta)
+
 
+def replace(spark: SparkSession, df: DataFrame, path: str, key: str | None = None, rows_per_file: int = ROWS_PER_FILE, meta: dict | None = None) -> int:
+    """A new version that holds ``df`` alone (which may read the table itself); the old files stay. Returns the version.
 
-def replace(spark: SparkSession, df: DataFrame, path: str, key: str | None = None, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """A new version that holds ``df`` alone (which may read the table itself); the old files stay. Returns the version."""
+    ``meta`` is committed with the version (``head(...)["meta"]``)."""
     path = path.rstrip("/")
     base = _adopted(spark, path, None)
-    return _put(spark, path, base, df, key or (base["key"] if base and base["key"] in df.columns else None), [], rows_per_file, True)
+    return _put(spark, path, base, df, key or (base["key"] if base and base["key"] in df.columns else None), [], rows_per_file, True, meta)
 
 
 def append(spark: SparkSession, df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> int:
@@ -298,11 +323,11 @@ def append(spark: SparkSession, df: DataFrame, path: str, rows_per_file: int = R
     return _put(spark, path, base, df, base["key"] if base else None, [], rows_per_file, base is None)
 
 
-def upsert(spark: SparkSession, updates: DataFrame, path: str, key: str, order_col: str, rows_per_file: int = ROWS_PER_FILE) -> int:
+def upsert(spark: SparkSession, updates: DataFrame, path: str, key: str, order_col: str, rows_per_file: int = ROWS_PER_FILE, meta: dict | None = None) -> int:
     """Replace the rows with a key of ``updates`` and add those with new keys; of equal keys in the batch the last by ``order_col``."""
     from caregrid.operators.dedup import dedup_keep_last
 
-    return _merge(spark, dedup_keep_last(updates, [key], order_col), path, key, None, rows_per_file)
+    return _merge(spark, dedup_keep_last(updates, [key], order_col), path, key, None, rows_per_file, meta)
 
 
 def update(spark: SparkSession, updates: DataFrame, path: str, key: str, columns: list[str], rows_per_file: int = ROWS_PER_FILE) -> int:
@@ -310,7 +335,7 @@ def update(spark: SparkSession, updates: DataFrame, path: str, key: str, columns
     return _merge(spark, updates.select(key, *columns), path, key, columns, rows_per_file)
 
 
-def _merge(spark: SparkSession, batch: DataFrame, path: str, key: str, columns: list[str] | None, rows_per_file: int) -> int:
+def _merge(spark: SparkSession, batch: DataFrame, path: str, key: str, columns: list[str] | None, rows_per_file: int, meta: dict | None = None) -> int:
     path = path.rstrip("/")
     base = _adopted(spark, path, key)
     if base and base["key"] != key:
@@ -323,7 +348,7 @@ def _merge(spark: SparkSession, batch: DataFrame, path: str, key: str, columns:
         if base is None:
             if columns is not None:
                 raise FileNotFoundError(f"no table at {path}")
-            return _put(spark, path, None, batch, key, [], rows_per_file, True)
+            return _put(spark, path, None, batch, key, [], rows_per_file, True, meta)
         touched = files_with(spark, path, base, batch.select(F.col(f"`{key}`")))
         old = _scan(spark, path, _schema(base), touched)
         same = old[key].eqNullSafe(batch[key])
@@ -335,7 +360,7 @@ def _merge(spark: SparkSession, batch: DataFrame, path: str, key: str, columns:
             if not touched:
                 return base["version"]
             new = update_matched(old, batch, key, columns)
-        return _put(spark, path, base, new, key, touched, rows_per_file, False)
+        return _put(spark, path, base, new, key, touched, rows_per_file, False, meta)
     finally:
         fs.delete(p(work), True)
 
