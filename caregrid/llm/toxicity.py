@@ -1,16 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled documents. The ordinary one is the
-library's dictionary over windows of ordinary text. The toxic one is the same content followed by what
-toxic text adds: the words, most frequent last, that hold a character 5-gram far commoner in toxic documents.
-As the shared part cancels, the difference of the two compressed lengths of a window is the toxic content in
-it. A window is one word between a fixed lead-in and lead-out that both dictionaries end with (so that even
-four letters form a sequence); equal windows are compressed once per task. A document's largest difference,
-its number of windows at each difference and its length go into a logistic calibration, fitted on labelled
-documents that the dictionaries have not seen.
-
-In effect this is a list of at most ``TOXIC_WORDS`` words, in place of a dictionary trained on toxic text and
-windows of several words, which found far fewer held-out documents; the README has both figures and what is lost.
+Two zstandard dictionaries are trained on windows of ``WINDOW`` words of labelled documents, one on toxic and one on
+ordinary text, and every window of a text is compressed with each. Toxic documents are mostly made of the same prose
+as others, so the shared part has to cancel: the toxic dictionary stands behind the content of the ordinary one, and
+both are trained in rounds. At first the toxic one learns from the windows of toxic documents that the ordinary
+dictionary compresses worst. Then windows of ordinary documents that come out shorter by it go into the ordinary
+training set and, trained by themselves, into the ordinary content, and the toxic one learns anew from those windows
+of toxic documents whose gain is farthest from such common text. The round with the best calibration is taken.
+
+A document's largest differences of compressed length, its number of windows at each difference and its number of
+windows go into a logistic calibration, fitted on labelled documents that the dictionaries have not seen. Windows
+slide word by word over the whole text. One that shares no ``GRAM`` bytes with the toxic dictionary (found for all
+windows at once, by a table of hashed grams) counts as equally long under both and is not compressed.
 
 Null text counts as empty and gets the score of a text without windows. Without labels of both kinds every
 score is 0. Extra columns and repeated rows pass through; labels of one doc_id are merged (any 1 wins).
@@ -19,6 +20,8 @@ score is 0. Extra columns and repeated rows pass through; labels of one doc_id a
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +33,13 @@ from caregrid.llm.common import map_batches, stored, text_or_empty
 
 FOLDS, HELD_OUT = 5, 0  # crc32(doc_id as text) mod 5 = 0 is never learnt from
 SAMPLE = 2000  # toxic documents at most; twice as many ordinary ones; a third of each calibrates
-BASE_BYTES, TOXIC_WORDS, WINDOWS_PER_DOC = 32_768, 400, 16
-GRAM = 5
+WINDOW = 3
+BASE_BYTES, TOXIC_BYTES, LEAST_BYTES = 32_768, 16_384, 4_096
+TOXIC_WINDOWS, ORDINARY_WINDOWS, CHOSEN = 500, 16, 20_000  # windows learnt from: of a document, and of all in a round
+ROUNDS, JUDGED = 7, 5  # rounds of training; the last ones are judged by their calibration
+GRAM, TABLE = 4, 1 << 20
 FRAME = b"\n=== window ===\n"
-PUNCTUATION = bytes(x for x in range(33, 127) if not chr(x).isalnum())
-CACHE = 300_000  # words whose difference a task remembers
-STEPS = (3, 4, 5, 6, 7, 8)
+STEPS = (3, 4, 5, 6, 7, 8, 10, 12)
 
 
 @dataclass(frozen=True)
@@ -46,50 +50,65 @@ class Model:
     toxic: bytes
     weights: tuple[float, ...] | None = None
 
-    def compressors(self):
-        def of(content: bytes):
-            d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=3)
-            return zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-        return of(self.base), of(self.base + self.toxic)
+def _codes(b: np.ndarray) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each place on."""
+    x = np.zeros(max(0, len(b) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        x = x << np.uint64(8) | b[i:len(b) - GRAM + 1 + i]
+    return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)  # 20 bits
 
-    def grams(self) -> frozenset[bytes]:
-        """Four-byte strings of the toxic part; without one a window cannot be shorter under the toxic dictionary."""
-        return frozenset(self.toxic[i:i + 4] for i in range(len(self.toxic) - 3))
 
+def windows(text: str) -> tuple[bytes, np.ndarray]:
+    """The lower-cased words between single blanks, and the places of the blanks."""
+    words = text.lower().encode(errors="replace").split()
+    joined = b" " + b" ".join(words) + b" " if words else b""
+    return joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
 
-def words(text: str) -> set[bytes]:
-    """Distinct lower-cased words without ASCII punctuation at their ends."""
-    return {w for x in text.lower().encode().split() if len(w := x.strip(PUNCTUATION)) > 2}
+
+def ends(blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window starts and ends, with the blanks around it; a shorter text is one window."""
+    n = max(0, len(blanks) - 1)
+    first = np.arange(max(1, n - WINDOW + 1) if n else 0)
+    return blanks[first], blanks[np.minimum(first + WINDOW, n)] + 1
+
+
+def distinct_windows(text: str) -> list[bytes]:
+    joined, blanks = windows(text)
+    return sorted({joined[a:b] for a, b in zip(*map(np.ndarray.tolist, ends(blanks)), strict=True)}, key=lambda w: (zlib.crc32(w), w))
+
+
+def lengths(content: bytes):
+    """A function from a window to its compressed length with this dictionary content."""
+    d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=3)
+    compress = zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+    return lambda window: len(compress(FRAME + window + FRAME))
 
 
 def differences(model: Model):
-    """A function from a word to the bytes that its window is shorter by under the toxic dictionary, never below 0."""
-    ordinary, toxic = model.compressors()
-    grams, known = model.grams(), {}
-
-    def of(word: bytes) -> int:
-        d = known.get(word)
-        if d is None:
-            w = b" " + word + b" "
-            d = 0
-            if any(w[i:i + 4] in grams for i in range(len(w) - 3)):
-                x = FRAME + w + FRAME
-                d = max(0, len(ordinary(x)) - len(toxic(x)))
-            if len(known) >= CACHE:
-                known.clear()
-            known[word] = d
-        return d
+    """A function from a text to the bytes that each of its windows is shorter by under the toxic dictionary (distinct
+    windows; those that share no gram with it are left out), and the number of windows."""
+    ordinary, toxic = lengths(model.base), lengths(model.base + model.toxic)
+    table = np.zeros(TABLE, bool)
+    table[_codes(np.frombuffer(model.toxic, np.uint8))] = True
+
+    def of(text: str) -> tuple[list[int], int]:
+        joined, blanks = windows(text)
+        start, end = ends(blanks)
+        shared = np.concatenate([[0], np.cumsum(table[_codes(np.frombuffer(joined, np.uint8))])])
+        last = np.maximum(start, np.minimum(end - GRAM + 1, len(shared) - 1))
+        some = np.flatnonzero(shared[last] > shared[np.minimum(start, len(shared) - 1)])
+        return [ordinary(w) - toxic(w) for w in {joined[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)}], len(start)
 
     return of
 
 
 def features(text: str, difference) -> list[float]:
-    own = words(text)
-    d = sorted((x for x in map(difference, own) if x >= STEPS[0]), reverse=True)
-    largest = d[:2] + [0] * (2 - len(d[:2]))
-    return [1.0, *map(float, largest), *[math.log1p(sum(x >= s for x in d)) for s in STEPS], math.log1p(len(own))]
+    found, n = difference(text)
+    d = sorted((x for x in found if x >= STEPS[0]), reverse=True)
+    largest = (d[:3] + [0] * 3)[:3]
+    return [1.0, *map(float, largest), *[math.log1p(sum(x >= s for x in d)) for s in STEPS], math.log1p(n)]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
@@ -120,72 +139,68 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     ids = ids.withColumn("calibrates", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)) == 0)
     chosen = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
                     .join(F.broadcast(stored(ids, "toxic-ids")), "doc_id"), "toxic-sample")  # 3 * sample ids at most
-    model = _dictionaries(chosen.where("not calibrates"))
-    if model is None:
-        return None
+    share = counts[1] / (counts[0] + counts[1])  # the sample has more toxic rows than the labels
+    best = None
+    for model in _dictionaries(chosen.where("not calibrates")):
+        found = _calibrated(model, chosen.where("calibrates"), share)
+        if found is not None and (best is None or found[1] < best[1]):
+            best = found
+    return best and best[0]
 
-    def make():
-        difference = differences(model)
 
-        def step(c):
-            return {"toxic": c["toxic"], "x": [features(t, difference) for t in c["text"]]}
+def _calibrated(model: Model, sample: DataFrame, share: float) -> tuple[Model, float] | None:
+    """The model with its weights, and its loss on the sample."""
 
-        return step
+    def make():
+        difference = differences(model)
+        return lambda c: {"toxic": c["toxic"], "x": [features(t, difference) for t in c["text"]]}
 
-    rows = map_batches(chosen.where("calibrates").select("toxic", "text"), make, "toxic int, x array<double>").collect()  # sample rows
+    rows = map_batches(sample.select("toxic", "text"), make, "toxic int, x array<double>").collect()  # sample rows
     if len({r["toxic"] for r in rows}) < 2:
         return None
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    share = counts[1] / (counts[0] + counts[1])  # the sample has more toxic rows than the labels
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Model(model.base, model.toxic, tuple(fit_logistic(x, y, weight).tolist()))
+    w = fit_logistic(x, y, weight)
+    z = np.clip(x @ w, -30, 30)
+    return Model(model.base, model.toxic, tuple(w.tolist())), float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
 
 
-def _dictionaries(sample: DataFrame) -> Model | None:
-    def make():
-        def step(c):
-            pairs = [(w, y) for t, y in zip(c["text"], c["toxic"], strict=True) for w in words(t)]
-            return {"word": [" " + w.decode(errors="replace") for w, _ in pairs], "toxic": [y for _, y in pairs]}
+def _content(samples: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        return b"".join(samples)[:size]
 
-        return step
 
-    total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(total) < 2:
-        return None
-    n1, n0 = total[1], total[0]
-    word = stored(map_batches(sample.select("text", "toxic"), make, "word string, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "toxic-words")
-    gram = word.where(F.char_length("word") >= GRAM).select("bad", "good", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.char_length("word") - GRAM + 1), lambda i: F.substring("word", i, GRAM)))).alias("gram"), "word")
-
-    def telling(least, ratio):
-        """Common enough in toxic documents and ``ratio`` times as common there as in ordinary ones."""
-        return (F.col("bad") >= max(3, least * n1)) & ((F.col("bad") + 0.5) / (n1 + 1) > ratio * (F.col("good") + 0.5) / (n0 + 1))
-
-    tell = gram.groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(telling(0.01, 20)).select("gram")
-    picked = (word.where(telling(0.003, 8)).join(gram.join(tell, "gram").select("word").distinct(), "word")
-              .orderBy(F.desc("bad"), "word").limit(TOXIC_WORDS).collect())
-    if not picked:
-        return None
-    toxic = b"".join(r["word"].encode() for r in reversed(picked)) + b" "
+def _dictionaries(sample: DataFrame) -> Iterator[Model]:
+    """The models of the last ``JUDGED`` rounds, not calibrated yet; the sample's windows (so many of a document) are held here."""
 
-    def make_windows():
+    def make():
         def step(c):
-            out = []
-            for t in c["text"]:
-                b = b" ".join(t.lower().encode().split())
-                at = range(0, max(1, len(b) - 64), max(64, len(b) // WINDOWS_PER_DOC))
-                out += [b[i:i + 64] for i in at if b]
-            return {"window": out}
+            return {"toxic": c["toxic"], "windows": [distinct_windows(t)[:TOXIC_WINDOWS if y else ORDINARY_WINDOWS] for t, y in zip(c["text"], c["toxic"], strict=True)]}
 
         return step
 
-    windows = [bytes(r["window"]) for r in map_batches(sample.where("toxic = 0").select("text"), make_windows, "window binary").collect()]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, sorted(windows), level=3).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = b" ".join(sorted(windows))[:BASE_BYTES]
-    return Model(base, toxic)
+    rows = map_batches(sample.select("text", "toxic"), make, "toxic int, windows array<binary>").collect()
+    ordinary = sorted(bytes(w) for r in rows if not r["toxic"] for w in r["windows"])
+    bad = sorted({bytes(w) for r in rows if r["toxic"] for w in r["windows"]})
+    if not ordinary or not bad:
+        return
+    base = _content(ordinary, BASE_BYTES)
+    plain = lengths(base)
+    toxic = _content(sorted(bad, key=lambda w: (-plain(w) / len(w) ** 0.5, w))[:max(1, len(bad) // 3)], TOXIC_BYTES)
+    for i in range(ROUNDS):
+        a, b = lengths(base), lengths(base + toxic)
+        common = [w for w in ordinary if a(w) - b(w) >= STEPS[0]]
+        more = _content(common, TOXIC_BYTES // 2) if len(common) > 20 else b""
+        base = _content(ordinary + 4 * common, BASE_BYTES) + more
+        plain = lengths(base)
+        gain = sorted((b(w) - plain(w), w) for w in bad if a(w) - b(w) >= STEPS[0])
+        if not gain:
+            break
+        toxic = _content([w for _, w in gain[:CHOSEN]], max(LEAST_BYTES, TOXIC_BYTES >> i))
+        if i >= ROUNDS - JUDGED:
+            yield Model(base, toxic)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -339,6 +339,47 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_window_differences_equal_plain_compression():
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 8))) for _ in range(300)]
+    model = toxicity.Model(" ".join(vocabulary[:150]).encode(), " ".join(vocabulary[150:200]).encode())
+    ordinary, toxic = toxicity.lengths(model.base), toxicity.lengths(model.base + model.toxic)
+    difference = toxicity.differences(model)
+    grams = {model.toxic[i:i + toxicity.GRAM] for i in range(len(model.toxic) - toxicity.GRAM + 1)}
+    seen = 0
+    for n in (0, 1, 2, 3, 4, 50, 700):
+        text = "  ".join(rng.choice(vocabulary, n)).upper() + " \n"
+        words = text.lower().encode().split()
+        plain = {b" " + b" ".join(words[i:i + 3]) + b" " for i in range(max(1, n - 2) if n else 0)}
+        sharing = {w for w in plain if any(w[i:i + toxicity.GRAM] in grams for i in range(len(w) - toxicity.GRAM + 1))}
+        got, count = difference(text)
+        assert count == max(0, min(n, max(1, n - 2)))
+        want = Counter(ordinary(w) - toxic(w) for w in sharing)
+        more = Counter(ordinary(w) - toxic(w) for w in plain)
+        assert not want - Counter(got) and not Counter(got) - more  # a hash may let a few more windows through
+        seen += len(want)
+    assert seen > 5
+
+
+def test_a_toxic_phrase_of_ordinary_words(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(800)]
+    phrase = f"{vocabulary[3]} {vocabulary[71]} {vocabulary[500]} {vocabulary[220]}"
+    rows = []
+    for i in range(900):
+        words = list(rng.choice(vocabulary, rng.integers(40, 120)))
+        if i % 3 == 0:
+            for _ in range(2):
+                words.insert(rng.integers(0, len(words)), phrase)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    bad, good = [score[i] >= 0.5 for i, _, y in held if y], [score[i] >= 0.5 for i, _, y in held if not y]
+    assert len(bad) > 30 and np.mean(bad) >= 0.9 and np.mean(good) <= 0.05
+
+
 # ---- 10 lines
 
 def plain_lines(rows, min_docs=5):
