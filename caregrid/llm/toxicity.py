@@ -10,8 +10,8 @@ of toxic documents whose gain is farthest from such common text. The round with
 
 A document's largest differences of compressed length, its number of windows at each difference and its number of
 windows go into a logistic calibration, fitted on labelled documents that the dictionaries have not seen. Windows
-slide over the whole text, ``STRIDE`` words at a time (word by word where the dictionaries learn). One that shares
-no ``GRAM`` bytes with the toxic dictionary (found for all windows at once, by a table of hashed grams) counts as
+slide over the whole text, ``STRIDE`` words at a time, and word by word around those that are ``CLOSER`` bytes shorter
+(and where the dictionaries learn). One that shares no ``GRAM`` bytes with the toxic dictionary (found for all windows at once, by a table of hashed grams) counts as
 equally long under both and is not compressed.
 
 Null text counts as empty and gets the score of a text without windows. Without labels of both kinds every
@@ -35,6 +35,7 @@ from caregrid.llm.common import map_batches, stored, text_or_empty
 FOLDS, HELD_OUT = 5, 0  # crc32(doc_id as text) mod 5 = 0 is never learnt from
 SAMPLE = 2000  # toxic documents at most; twice as many ordinary ones; a third of each calibrates
 WINDOW, STRIDE = 3, 2  # words of a window, and from one scored window to the next: every two neighbours share one
+CLOSER = 2  # bytes from which on the windows beside one are looked at too
 BASE_BYTES, TOXIC_BYTES, LEAST_BYTES = 32_768, 16_384, 4_096
 TOXIC_WINDOWS, ORDINARY_WINDOWS, CHOSEN = 500, 16, 20_000  # windows learnt from: of a document, and of all in a round
 ROUNDS, JUDGED = 7, 5  # rounds of training; the last ones are judged by their calibration
@@ -67,12 +68,10 @@ def windows(text: str) -> tuple[bytes, np.ndarray]:
     return joined, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
 
 
-def ends(blanks: np.ndarray, stride: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Where each window starts and ends, with the blanks around it; a shorter text is one window, and the last window
-    ends with the text."""
+def ends(blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each window starts and ends, with the blanks around it; a shorter text is one window."""
     n = max(0, len(blanks) - 1)
-    last = max(0, n - WINDOW)
-    first = np.unique(np.append(np.arange(0, last + 1, stride), last)) if n else np.zeros(0, np.int64)
+    first = np.arange(max(1, n - WINDOW + 1) if n else 0)
     return blanks[first], blanks[np.minimum(first + WINDOW, n)] + 1
 
 
@@ -98,11 +97,25 @@ def differences(model: Model):
 
     def of(text: str) -> tuple[list[int], int]:
         joined, blanks = windows(text)
-        start, end = ends(blanks, STRIDE)
+        start, end = ends(blanks)
+        n = len(start)
         shared = np.concatenate([[0], np.cumsum(table[_codes(np.frombuffer(joined, np.uint8))])])
         last = np.maximum(start, np.minimum(end - GRAM + 1, len(shared) - 1))
-        some = np.flatnonzero(shared[last] > shared[np.minimum(start, len(shared) - 1)])
-        return [ordinary(w) - toxic(w) for w in {joined[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)}], len(start)
+        shares = shared[last] > shared[np.minimum(start, len(shared) - 1)]
+        known: dict[bytes, int] = {}
+
+        def compare(some: np.ndarray) -> Iterator[int]:
+            for i in some[shares[some]].tolist():
+                w = joined[start[i]:end[i]]
+                if w not in known:
+                    known[w] = ordinary(w) - toxic(w)
+                if known[w] >= CLOSER:
+                    yield i
+
+        first = np.unique(np.append(np.arange(0, n, STRIDE), n - 1)) if n else np.zeros(0, np.int64)
+        near = {j for i in compare(first) for j in range(max(0, i - STRIDE + 1), min(n, i + STRIDE))}
+        list(compare(np.array(sorted(near), np.int64)))
+        return list(known.values()), n
 
     return of
 
