@@ -1558,6 +1558,34 @@ def s1_ingest(spark, sf):
     return ingest(read_registry_csv(spark, path, cols)).select("facility_id", "name", "address_city", "latitude", "composite_text_length")
 
 
+@register("S1M", "SELECT doc_id, md5(text) AS text_md5, length(text) - length(replace(text, chr(10), '')) AS n_breaks FROM documents")
+def s1_multi_line(spark, sf):
+    """Whole texts with their line breaks, written as CSV and read back by the splittable reader."""
+    from caregrid.sources.csv_records import read_csv_records
+
+    path = PL.table_path(spark, sf, f"documents_csv_{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows, _ = read_csv_records(spark, path, ["doc_id", "text"])
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"),
+                       (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("long").alias("n_breaks"))
+
+
+@register("J1B", q(O.CHAIN_GOLD, "SELECT g.facility_id, b.composite_text_length, g.trust_score FROM gold g JOIN bronze b ON g.facility_id = b.facility_id"))
+def j1_bucketed(spark, sf):
+    """Gold meets Bronze on facility_id, both bucketed and sorted by it: the join reads them without a shuffle."""
+    from caregrid.sources.bucketed import buckets_for, open_bucketed, write_bucketed
+
+    tables, n = [PL.gold(spark, sf), PL.bronze(spark, sf)], None
+    for i, df in enumerate(tables):
+        n = n or buckets_for(df.count())
+        path = PL.table_path(spark, sf, f"by_facility_{uuid.uuid4().hex}")
+        write_bucketed(df, path, "facility_id", n)
+        tables[i] = open_bucketed(spark, path)
+    gold, bronze = tables
+    return gold.select("facility_id", "trust_score").join(bronze.select("facility_id", "composite_text_length"), "facility_id")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
