@@ -27,4 +27,4 @@ def test_pipeline(spark):
     assert docs.where("length > 2048").count() == 0 < docs.count()
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
     assert corpus_pipeline.run(spark, SF).agg({"length": "sum"}).first() == docs.agg({"length": "sum"}).first()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
