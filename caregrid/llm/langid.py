@@ -7,7 +7,8 @@ Language profiles are counted over all labelled training documents: each task ad
 sums per (language, n-gram) are shuffled.
 
 Null text, or a text without a letter: ``und`` with score 0. Null doc_id: held out like any other id by the
-checksum of the empty string. Ties go to the smaller language value. Without training rows all are ``und``.
+checksum of the empty string. Ties go to the smaller language value. Without training rows all are ``und``. More than
+``MAX_LANGUAGES`` learnt values (a column that holds no languages) are an error before any profile is counted.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from caregrid.llm.common import map_batches, text_or_empty
 
 TOP, ORDERS = 300, (1, 2, 3)
 FOLDS, HELD_OUT = 4, 2
+MAX_LANGUAGES = 1000  # every task holds the profiles of all
 FLUSH = 400_000  # n-grams that a task holds per language before it hands its sums on
 _BITS = 21  # of a code point
 
@@ -64,6 +66,8 @@ def ranked(gram: np.ndarray, count: np.ndarray, top: int = TOP) -> np.ndarray:
 
 def profiles(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
     """Per language its ranked n-grams; ``top`` per language reach the driver."""
+    if docs.select("lang").where("lang is not null").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: clean the column first")
 
     def count(batches):
         known: dict[str, str] = {}

@@ -105,6 +105,30 @@ def test_license_join_equals_brute_force(spark):
     assert got == want and len(want) > 5
 
 
+def test_whole_licences_are_found_beside_notices(spark):
+    """Texts with a whole licence, with most of it, and with half of it, between other words; blocks of both lengths."""
+    rng = np.random.default_rng(8)
+    long = [t for t in license_scan.TEMPLATES if license_scan.block_length(t) > license_scan.BLOCK]
+    assert {t.label for t in long} >= {"mit", "isc"} and all(license_scan.block_length(t) >= 2 * len(t.words) for t in license_scan.TEMPLATES)
+    noise = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 500, n))
+    docs, want = [], {}
+    for i in range(24):
+        t, share = long[i % len(long)], (1.0, 0.95, 0.5)[i % 3]
+        words = [w for w in t.text.split() if share == 1 or rng.random() < share]
+        docs.append((i, f"{noise(int(rng.integers(0, 900)))} {' '.join(words)} {noise(int(rng.integers(0, 900)))}"))
+        held = set(license_scan.WORD.findall(license_scan.lower(" ".join(words))))
+        want[i] = [x.label for x in [t] if len(held & set(x.words)) >= license_scan.needed(x)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), long).collect()}
+    assert {i: sorted({h["label"] for h in r["hits"]}) for i, r in got.items()} == want and 10 < sum(map(len, want.values())) < 24
+    table = license_scan.blocks_by_length(spark.createDataFrame(docs, "doc_id long, text string"), [(long[0].words, 5, 64), (long[1].words, 5, 512)])
+    for k, block, t in ((0, 64, long[0]), (1, 512, long[1])):
+        one = license_scan.blocks_of(spark.createDataFrame(docs, "doc_id long, text string"), t.words, 5, block)
+        assert sorted(map(str, one.select("doc_id", "blocks").collect())) == sorted(
+            str(r).replace(f"blocks{k}=", "blocks=") for r in table.select("doc_id", f"blocks{k}").collect())
+    with pytest.raises(ValueError):
+        license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), [license_scan.Template("x", " -- ")])
+
+
 # ---- 3 packing
 
 def test_packing_round_trip(table, nothing):
@@ -208,6 +232,14 @@ def test_language(table, nothing):
     assert {r["lang_pred"] for r in langid.classify(df, {}).collect()} == {"und"}
 
 
+def test_a_column_without_languages_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = lambda n: spark.createDataFrame([(i, "some words", f"l{i % n}") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.identify(rows(3)).count() == 40
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(rows(4))
+
+
 def test_ngrams():
     t = langid.letters({}, "Ab, ab! é")
     assert t == " ab ab é "
