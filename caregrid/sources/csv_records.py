@@ -102,8 +102,8 @@ def block_states(lines: DataFrame) -> tuple[dict[tuple[str, int], int], set[tupl
     return begun, open_at_end
 
 
-def _records(states, only_pieces: bool):
-    """Whole records of each block, or its pieces of records that cross its borders."""
+def _records(states, only_pieces: bool, files: set[str] | None = None):
+    """Whole records of each block (of ``files``, if given), or its pieces of records that cross its borders."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = states.value
@@ -118,6 +118,8 @@ def _records(states, only_pieces: bool):
             return [row("\n".join(held), "through" if leading else "tail")] if only_pieces else []
 
         for f, s, lines, quoted in _blocks(batches):
+            if files is not None and f not in files:
+                continue
             out = []
             if (f, s) != block:
                 out += rest()
@@ -152,9 +154,9 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     whole = lines.mapInArrow(_records(states, False), shape).select("file", "start", "seq", "record", F.lit(True).alias("closed"))
     if not open_at_end:
         return whole
-    crossing = sorted({f for f, _ in open_at_end})
-    pieces = _lines(spark, path).where(F.col("file").isin(crossing)) if len(crossing) <= 1000 else lines
-    pieces = pieces.mapInArrow(_records(states, True), shape)
+    # the files are told apart in the task: a filter on them would leave Spark fewer bytes to scan, and so other blocks
+    crossing = {f for f, _ in open_at_end}
+    pieces = lines.mapInArrow(_records(states, True, crossing), shape)
     # A record's first piece is a tail; the pieces up to the next tail are its own. One row per crossing, not per record.
     in_file = Window.partitionBy("file").orderBy("start", "seq")
     pieces = pieces.withColumn("own", F.sum((F.col("kind") == "tail").cast("long")).over(in_file))
