@@ -4,7 +4,7 @@ rows (L5) and the whole pipeline (L6).
 
 The model is an injected callable ``completer(messages: list[dict]) -> dict``
 returning ``{"content", "prompt_tokens", "completion_tokens"}``; it runs inside
-executors through ``mapInPandas`` (one call per row, ``concurrency`` calls at a
+executors through ``mapInArrow`` (one call per row, ``concurrency`` calls at a
 time in a task, errors captured per row). Every completion batch is written to a
 table before it is parsed or split, so later steps re-read the written calls; a
 task that is retried or speculated calls the model again for its rows (calls are
@@ -17,7 +17,7 @@ import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +56,7 @@ RANK_SYSTEM = (
 )
 # How much source text a prompt carries.
 EXTRACT_CHARS, CORRECT_CHARS = 3000, 2000
+CALL_ROWS = 256  # messages and replies that a task holds as Python objects
 
 
 # ---------------------------------------------------------------------------
@@ -131,14 +132,19 @@ def complete(df: DataFrame, messages_col: str, completer, partitions: int | None
     src = src.withColumn("input_hash", F.sha2(F.to_json(messages_col), 256))
     schema = T.StructType(src.schema.fields + CALL_FIELDS)
 
-    def run(batches):
-        with ThreadPoolExecutor(concurrency) as pool:
-            for pdf in batches:
-                calls = list(pool.map(lambda msgs: one_call(completer, msgs), pdf[messages_col]))
-                yield pdf.assign(**{f.name: pd.Series([c[i] for c in calls], index=pdf.index, dtype=object)
-                                    for i, f in enumerate(CALL_FIELDS)})
+    types = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()]  # of CALL_FIELDS
 
-    return src.mapInPandas(run, schema)
+    def run(batches):  # the other columns pass as Arrow; Python holds the messages and replies of CALL_ROWS rows
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                for start in range(0, b.num_rows, CALL_ROWS):
+                    part = b.slice(start, CALL_ROWS)
+                    msgs = part.column(part.schema.get_field_index(messages_col)).to_pylist()
+                    calls = list(pool.map(lambda m: one_call(completer, m), msgs))
+                    out = [pa.array([c[i] for c in calls], t) for i, t in enumerate(types)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *out], names=[*part.schema.names, *[f.name for f in CALL_FIELDS]])
+
+    return src.mapInArrow(run, schema)
 
 
 class OfflineCompleter:
