@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from caregrid.sources.files import TableMissing
 
-ROWS_A_BUCKET = 1_000_000
+ROWS_A_BUCKET = 100_000  # a task sorts a bucket: wide rows (Gold, some KB each) must fit in its memory
 
 
 def buckets_for(rows: int, rows_a_bucket: int = ROWS_A_BUCKET) -> int:
