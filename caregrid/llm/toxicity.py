@@ -40,6 +40,7 @@ BASE_BYTES, TOXIC_BYTES, LEAST_BYTES = 32_768, 16_384, 4_096
 TOXIC_WINDOWS, ORDINARY_WINDOWS, CHOSEN = 500, 16, 20_000  # windows learnt from: of a document, and of all in a round
 ROUNDS, JUDGED = 7, 5  # rounds of training; the last ones are judged by their calibration
 GRAM, TABLE = 4, 1 << 20
+BATCH, CHARACTERS = 2_000, 200_000  # windows of a call of the compressor, and characters of texts compared together
 FRAME = b"\n=== window ===\n"
 STEPS = (3, 4, 5, 6, 7, 8, 10, 12)
 
@@ -81,47 +82,81 @@ def distinct_windows(text: str) -> list[bytes]:
 
 
 def lengths(content: bytes):
-    """A function from a window to its compressed length with this dictionary content."""
+    """A function from a window to its compressed length with this dictionary content; ``many`` of it takes a list of
+    windows, ``BATCH`` to a call of the library, which costs less than half of a call for each."""
     d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=3)
-    compress = zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-    return lambda window: len(compress(FRAME + window + FRAME))
+    compressor = zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def one(window: bytes) -> int:
+        return len(compressor.compress(FRAME + window + FRAME))
+
+    def many(some: list[bytes]) -> np.ndarray:
+        out: list[int] = []
+        for i in range(0, len(some), BATCH):
+            out += map(len, compressor.multi_compress_to_buffer([FRAME + w + FRAME for w in some[i:i + BATCH]], threads=1))
+        return np.array(out, np.int64)
+
+    one.many = many
+    return one
 
 
 def differences(model: Model):
     """A function from a text to the bytes that each of its windows is shorter by under the toxic dictionary (distinct
-    windows; those that share no gram with it are left out), and the number of windows."""
-    ordinary, toxic = lengths(model.base), lengths(model.base + model.toxic)
+    windows; those that share no gram with it are left out), and the number of windows; ``many`` of it takes texts."""
+    ordinary, toxic = lengths(model.base).many, lengths(model.base + model.toxic).many
     table = np.zeros(TABLE, bool)
     table[_codes(np.frombuffer(model.toxic, np.uint8))] = True
 
-    def of(text: str) -> tuple[list[int], int]:
+    def placed(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The words, where windows start and end, and which of them share a gram."""
         joined, blanks = windows(text)
         start, end = ends(blanks)
-        n = len(start)
         shared = np.concatenate([[0], np.cumsum(table[_codes(np.frombuffer(joined, np.uint8))])])
         last = np.maximum(start, np.minimum(end - GRAM + 1, len(shared) - 1))
-        shares = shared[last] > shared[np.minimum(start, len(shared) - 1)]
-        known: dict[bytes, int] = {}
-
-        def compare(some: np.ndarray) -> Iterator[int]:
-            for i in some[shares[some]].tolist():
-                w = joined[start[i]:end[i]]
-                if w not in known:
-                    known[w] = ordinary(w) - toxic(w)
-                if known[w] >= CLOSER:
-                    yield i
+        return joined, start, end, shared[last] > shared[np.minimum(start, len(shared) - 1)]
 
-        first = np.unique(np.append(np.arange(0, n, STRIDE), n - 1)) if n else np.zeros(0, np.int64)
-        near = {j for i in compare(first) for j in range(max(0, i - STRIDE + 1), min(n, i + STRIDE))}
-        list(compare(np.array(sorted(near), np.int64)))
-        return list(known.values()), n
-
-    return of
-
-
-def features(text: str, difference) -> list[float]:
-    found, n = difference(text)
+    def many(texts: list[str]) -> list[tuple[list[int], int]]:
+        parts = [placed(t) for t in texts]
+        known: dict[bytes, int] = {}
+        found: list[dict[bytes, int]] = [{} for _ in parts]
+
+        def compare(wanted: list[np.ndarray]) -> list[list[int]]:
+            """Compares these windows of each text; those that are ``CLOSER`` bytes shorter."""
+            at = [some[shares[some]].tolist() for some, (_, _, _, shares) in zip(wanted, parts, strict=True)]
+            cut = [[joined[start[i]:end[i]] for i in some] for some, (joined, start, end, _) in zip(at, parts, strict=True)]
+            new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in known]
+            known.update(zip(new, (ordinary(new) - toxic(new)).tolist(), strict=True))
+            for of, ws in zip(found, cut, strict=True):
+                of.update((w, known[w]) for w in ws)
+            return [[i for i, w in zip(some, ws, strict=True) if known[w] >= CLOSER] for some, ws in zip(at, cut, strict=True)]
+
+        n = [len(start) for _, start, _, _ in parts]
+        first = compare([np.unique(np.append(np.arange(0, m, STRIDE), m - 1)) if m else np.zeros(0, np.int64) for m in n])
+        compare([np.array(sorted({j for i in some for j in range(max(0, i - STRIDE + 1), min(m, i + STRIDE))}), np.int64)
+                 for some, m in zip(first, n, strict=True)])
+        return [(list(of.values()), m) for of, m in zip(found, n, strict=True)]
+
+    def one(text: str) -> tuple[list[int], int]:
+        return many([text])[0]
+
+    one.many = many
+    return one
+
+
+def features_of(texts: list[str], difference) -> list[list[float]]:
+    """The features of each text, ``CHARACTERS`` of text at a time."""
+    out, part, held = [], [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text)
+        if held >= CHARACTERS:
+            out += [_features(*of) for of in difference.many(part)]
+            part, held = [], 0
+    return out + [_features(*of) for of in difference.many(part)]
+
+
+def _features(found: list[int], n: int) -> list[float]:
     d = sorted((x for x in found if x >= STEPS[0]), reverse=True)
     largest = (d[:3] + [0] * 3)[:3]
     return [1.0, *map(float, largest), *[math.log1p(sum(x >= s for x in d)) for s in STEPS], math.log1p(n)]
@@ -169,7 +204,7 @@ def _calibrated(model: Model, sample: DataFrame, share: float) -> tuple[Model, f
 
     def make():
         difference = differences(model)
-        return lambda c: {"toxic": c["toxic"], "x": [features(t, difference) for t in c["text"]]}
+        return lambda c: {"toxic": c["toxic"], "x": features_of(c["text"], difference)}
 
     rows = map_batches(sample.select("toxic", "text"), make, "toxic int, x array<double>").collect()  # sample rows
     if len({r["toxic"] for r in rows}) < 2:
@@ -203,15 +238,17 @@ def _dictionaries(sample: DataFrame) -> Iterator[Model]:
     if not ordinary or not bad:
         return
     base = _content(ordinary, BASE_BYTES)
-    plain = lengths(base)
-    toxic = _content(sorted(bad, key=lambda w: (-plain(w) / len(w) ** 0.5, w))[:max(1, len(bad) // 3)], TOXIC_BYTES)
+    plain = lengths(base).many(bad).tolist()
+    worst = sorted((-n / len(w) ** 0.5, w) for n, w in zip(plain, bad, strict=True))
+    toxic = _content([w for _, w in worst[:max(1, len(bad) // 3)]], TOXIC_BYTES)
     for i in range(ROUNDS):
-        a, b = lengths(base), lengths(base + toxic)
-        common = [w for w in ordinary if a(w) - b(w) >= STEPS[0]]
+        a, b = lengths(base).many, lengths(base + toxic).many
+        common = [w for w, d in zip(ordinary, a(ordinary) - b(ordinary), strict=True) if d >= STEPS[0]]
         more = _content(common, TOXIC_BYTES // 2) if len(common) > 20 else b""
         base = _content(ordinary + 4 * common, BASE_BYTES) + more
-        plain = lengths(base)
-        gain = sorted((b(w) - plain(w), w) for w in bad if a(w) - b(w) >= STEPS[0])
+        shorter, plain = b(bad), lengths(base).many
+        closer = np.flatnonzero(a(bad) - shorter >= STEPS[0]).tolist()
+        gain = sorted((x - y, bad[i]) for i, x, y in zip(closer, shorter[closer].tolist(), plain([bad[i] for i in closer]).tolist(), strict=True))
         if not gain:
             break
         toxic = _content([w for _, w in gain[:CHOSEN]], max(LEAST_BYTES, TOXIC_BYTES >> i))
@@ -229,7 +266,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         difference, w = differences(model), np.array(model.weights)
 
         def step(c):
-            z = np.array([features(t, difference) for t in c["text"]]).reshape(-1, len(w)) @ w
+            z = np.array(features_of(c["text"], difference)).reshape(-1, len(w)) @ w
             return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "score": (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()}
 
         return step
@@ -249,7 +286,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
         difference, v = differences(model), np.array(w)
         for b in batches:
-            z = np.array([features(t or "", difference) for t in b.column(b.schema.get_field_index("text")).to_pylist()]).reshape(-1, len(v)) @ v
+            z = np.array(features_of([t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()], difference)).reshape(-1, len(v)) @ v
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
 
     return docs.mapInArrow(run, schema)

@@ -371,6 +371,25 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_windows_compared_together_equal_one_text_at_a_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 8))) for _ in range(200)]
+    model = toxicity.Model(" ".join(vocabulary[:120]).encode(), " ".join(vocabulary[90:150]).encode())
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (0, 1, 2, 3, 60, 5, 0, 400, 7)] + ["\ud800 é", ""]
+    monkeypatch.setattr(toxicity, "BATCH", 7)
+    monkeypatch.setattr(toxicity, "CHARACTERS", 300)
+    length = toxicity.lengths(model.base)
+    cut = [w for t in texts for w in toxicity.distinct_windows(t)]
+    assert length.many(cut).tolist() == [length(w) for w in cut] and length.many([]).tolist() == []
+    difference, calls = toxicity.differences(model), []
+    together = toxicity.differences(model)
+    many, together.many = together.many, lambda part: calls.append(len(part)) or many(part)
+    got = toxicity.features_of(texts, together)
+    assert 1 < len(calls) < len(texts) and sum(calls) == len(texts)
+    assert got == [toxicity.features_of([t], difference)[0] for t in texts] and toxicity.features_of([], difference) == []
+    assert [difference(t) for t in texts] == many(texts)
+
+
 def test_window_differences_equal_plain_compression():
     rng = np.random.default_rng(6)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 8))) for _ in range(300)]
