@@ -192,23 +192,38 @@ def _describe(spark: SparkSession, path: str, write: str, schema: T.StructType,
     """The log folder of one write: its files with their statistics and the Bloom filters of their keys."""
     log = f"{path}/_log/{write}"
     k = F.col(f"`{key}`") if key else F.lit(None).cast("string")
-    entries = None
-    blocks = 1
-    if sources:
-        rows = spark.read.schema(schema).parquet(*sources).select(_file().alias("file"), k.alias("key"))
-        entries = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key").isNull()).alias("nulls"),
-                                           F.min("key").alias("low"), F.max("key").alias("high"))
-        most = entries.agg(F.max("rows")).first()[0] or 0
-        while blocks * BLOCK_BITS < most * BITS_PER_KEY:
-            blocks *= 2
-        entries = entries.select(F.lit(True).alias("added"), "*", F.lit(blocks).alias("blocks"))
-        if key:
-            bits = rows.select("file", _block(F.col("key"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*_bits(F.col("key")))).alias("bit"))
-            bits.groupBy("file", "block").agg(F.bitmap_construct_agg("bit").alias("bits")).write.parquet(f"{log}/keys")
     entry_schema = _entry_schema({"schema": schema.jsonValue(), "key": key})
     gone = spark.createDataFrame([(False, f) for f in removed], "added boolean, file string").select(
         "added", "file", *[F.lit(None).cast(f.dataType).alias(f.name) for f in entry_schema.fields[2:]])
-    (gone if entries is None else entries.unionByName(gone)).write.parquet(f"{log}/files")
+    if not sources:
+        gone.write.parquet(f"{log}/files")
+        return
+    work = f"{path}/_work/{uuid.uuid4().hex}"
+    p, fs = _fs(spark, path)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    try:
+        # the files may be many and small: they are opened once
+        rows = kept(spark.read.schema(schema).parquet(*sources).select(_file().alias("file"), k.alias("key")), "rows")
+        entries = kept(rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key").isNull()).alias("nulls"),
+                                                F.min("key").alias("low"), F.max("key").alias("high"))
+                       .withColumn("number", F.monotonically_increasing_id()), "entries")
+        blocks, most = 1, entries.agg(F.max("rows")).first()[0] or 0
+        while blocks * BLOCK_BITS < most * BITS_PER_KEY:
+            blocks *= 2
+        if key:
+            # bitmaps are aggregated by sorting: by a number, not by long names that begin alike
+            names = F.broadcast(entries.select("file", "number"))  # one row per file
+            bits = rows.join(names, "file").select("number", _block(F.col("key"), F.lit(blocks)).cast("int").alias("block"),
+                                                   F.explode(F.array(*_bits(F.col("key")))).alias("bit"))
+            found = bits.groupBy("number", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+            found.join(names, "number").select("file", "block", "bits").write.parquet(f"{log}/keys")
+        entries.select(F.lit(True).alias("added"), *[f for f in entry_schema.names[1:-1]], F.lit(blocks).alias("blocks")).unionByName(gone).write.parquet(f"{log}/files")
+    finally:
+        fs.delete(p(work), True)
 
 
 KEYS = "file string, block int, bits binary"

@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from caregrid.operators import upsert as UP
 from caregrid.sources import snapshots as S
@@ -173,3 +174,26 @@ def test_new_columns_empty_tables_and_plain_folders(spark, tmp_path):
     assert register_views(spark, {"t_plain": plain, "t_none": str(tmp_path / "none")}) == ["t_plain"]
     assert spark.table("t_plain").count() == 11
     assert S.update(spark, spark.createDataFrame([(77, "x")], "id long, v string"), plain, "id", ["v"]) == 2  # no such key: no version
+
+
+def test_written_files_are_opened_once_to_describe_them(spark, tmp_path, monkeypatch):
+    read, file = spark.sparkContext.accumulator(0), S._file
+    monkeypatch.setattr(S, "_file", lambda: F.udf(lambda f: read.add(1) or f, "string").asNondeterministic()(file()))
+    df = spark.range(1000).select(F.when(F.col("id") % 100 > 0, F.concat(F.lit("k"), F.col("id"))).alias("k"), "id")
+    path = str(tmp_path / "t")
+    S.replace(spark, df, path, "k", 50)
+    assert read.value == 1000
+    monkeypatch.undo()
+    h = S.head(spark, path)
+    got = {r["file"]: (r["rows"], r["nulls"], r["low"], r["high"], r["blocks"]) for r in S.files(spark, path, h).collect()}
+    rows = S.read(spark, path).select(S._file().alias("file"), "k").collect()
+    assert len(got) >= 20 and len(rows) == 1000
+    for name, seen in got.items():
+        keys = [r["k"] for r in rows if r["file"] == name]
+        known = [k for k in keys if k is not None]
+        assert seen == (len(keys), len(keys) - len(known), min(known, default=None), max(known, default=None), 1)
+    bits = {r["file"]: bytes(r["bits"]) for r in S._filters(spark, path, h).collect()}
+    assert bits.keys() == got.keys()
+    asked = spark.createDataFrame([(r["file"], r["k"]) for r in rows], "file string, k string").select("file", F.array(*S._bits(F.col("k"))).alias("at"))
+    assert all(bits[r["file"]][i // 8] >> i % 8 & 1 for r in asked.collect() for i in r["at"])
+    assert not list((tmp_path / "t" / "_work").glob("*"))
