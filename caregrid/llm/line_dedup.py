@@ -30,24 +30,19 @@ MIN_CHARS, MIN_DOCS = 40, 5
 FIRST_LINES, FANOUT = 25_000, 2
 
 
-def line_key(line: Column) -> Column:
-    return lower_az(F.btrim(line, F.lit(SPACE)))
-
-
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, line, h1, h2): every line whose key is long enough; h1 and h2 are 128 bits of its MD5."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line", "body"))
-    key = each.select("doc_id", "text_hash", "line", line_key(F.col("body")).alias("key")).where(F.char_length("key") >= min_chars)
-    md5 = F.md5("key")
-    return key.select("doc_id", "text_hash", "line", md5.alias("md5")).select(
+    # lower-casing A-Z keeps the length, so that only the lines that stay are lower-cased
+    long = each.withColumn("trimmed", F.btrim("body", F.lit(SPACE))).where(F.char_length("trimmed") >= min_chars)
+    return long.select("doc_id", "text_hash", "line", F.md5(lower_az(F.col("trimmed"))).alias("md5")).select(
         "doc_id", "text_hash", "line", _half("md5", 1).alias("h1"), _half("md5", 17).alias("h2"))
 
 
 def _half(md5: str, start: int) -> Column:
-    """16 hex digits as a long."""
-    high = F.conv(F.substring(md5, start, 8), 16, 10).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(F.conv(F.substring(md5, start + 8, 8), 16, 10).cast("long"))
+    """16 hex digits as a (signed) long."""
+    return F.conv(F.substring(md5, start, 16), 16, -10).cast("long")
 
 
 class Runs:

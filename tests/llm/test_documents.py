@@ -464,6 +464,17 @@ def test_line_dedup(spark, table, nothing, first_lines, fanout):
         assert line_dedup.deduplicated(nothing).count() == 0
 
 
+def test_line_keys_are_lower_cased_once_and_only_if_long(spark):
+    lines = ["\tA Plain LINE, [Z] and @ `a` {z}, Long Enough to be a key \r", "ÉCOLE İstanbul ΣΑΣ Ⅷ ǅ Straße ＡＢＣ, LONG enough to be a key", "short", "x" * 40, " " + "Y" * 39]
+    keys = line_dedup.long_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    az = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t.strip(" \t\n\x0b\f\r"))
+    digest = lambda t: hashlib.md5(az(t).encode()).digest()
+    want = {(i, *(int.from_bytes(digest(t)[k:k + 8], signed=True) for k in (0, 8))) for i, t in enumerate(lines) if len(az(t)) >= 40}
+    assert {(r["line"], r["h1"], r["h2"]) for r in keys.collect()} == want and len(want) == 3
+    plan = [x for x in keys._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ABCDEFGHIJKLMNOPQRSTUVWXYZ" in x]
+    assert len(plan) == 1 and "Filter" not in plan[0]
+
+
 def test_runs_hold_each_key_once_and_only_known_keys_add(spark):
     rng, runs, seen, total = np.random.default_rng(1), line_dedup.Runs(spark, fanout=2, buckets=3), set(), Counter()
     try:
