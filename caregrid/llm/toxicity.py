@@ -81,9 +81,20 @@ def distinct_windows(text: str) -> list[bytes]:
     return sorted({joined[a:b] for a, b in zip(*map(np.ndarray.tolist, ends(blanks)), strict=True)}, key=lambda w: (zlib.crc32(w), w))
 
 
+def framed(some: list[bytes]) -> list[zstandard.BufferWithSegments]:
+    """The windows between frames, ``BATCH`` to a buffer, where two neighbours share the frame between them."""
+    out, frame = [], np.uint64(len(FRAME))
+    for i in range(0, len(some), BATCH):
+        part = some[i:i + BATCH]
+        size = np.fromiter(map(len, part), np.uint64, len(part))
+        start = np.cumsum(size + frame) - size - frame
+        out.append(zstandard.BufferWithSegments(FRAME + FRAME.join(part) + FRAME, np.stack([start, size + 2 * frame], axis=1).tobytes()))
+    return out
+
+
 def lengths(content: bytes):
     """A function from a window to its compressed length with this dictionary content; ``many`` of it takes a list of
-    windows, ``BATCH`` to a call of the library, which costs less than half of a call for each."""
+    windows and ``each`` takes them ``framed``, so many to a call of the library, which costs less than half of a call for each."""
     d = zstandard.ZstdCompressionDict(content + FRAME, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=3)
     compressor = zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -91,20 +102,17 @@ def lengths(content: bytes):
     def one(window: bytes) -> int:
         return len(compressor.compress(FRAME + window + FRAME))
 
-    def many(some: list[bytes]) -> np.ndarray:
-        out: list[int] = []
-        for i in range(0, len(some), BATCH):
-            out += map(len, compressor.multi_compress_to_buffer([FRAME + w + FRAME for w in some[i:i + BATCH]], threads=1))
-        return np.array(out, np.int64)
+    def each(buffers: list[zstandard.BufferWithSegments]) -> np.ndarray:
+        return np.array([len(x) for b in buffers for x in compressor.multi_compress_to_buffer(b, threads=1)], np.int64)
 
-    one.many = many
+    one.each, one.many = each, lambda some: each(framed(some))
     return one
 
 
 def differences(model: Model):
     """A function from a text to the bytes that each of its windows is shorter by under the toxic dictionary (distinct
     windows; those that share no gram with it are left out), and the number of windows; ``many`` of it takes texts."""
-    ordinary, toxic = lengths(model.base).many, lengths(model.base + model.toxic).many
+    ordinary, toxic = lengths(model.base).each, lengths(model.base + model.toxic).each
     table = np.zeros(TABLE, bool)
     table[_codes(np.frombuffer(model.toxic, np.uint8))] = True
 
@@ -123,13 +131,18 @@ def differences(model: Model):
 
         def compare(wanted: list[np.ndarray]) -> list[list[int]]:
             """Compares these windows of each text; those that are ``CLOSER`` bytes shorter."""
-            at = [some[shares[some]].tolist() for some, (_, _, _, shares) in zip(wanted, parts, strict=True)]
-            cut = [[joined[start[i]:end[i]] for i in some] for some, (joined, start, end, _) in zip(at, parts, strict=True)]
-            new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in known]
-            known.update(zip(new, (ordinary(new) - toxic(new)).tolist(), strict=True))
-            for of, ws in zip(found, cut, strict=True):
-                of.update((w, known[w]) for w in ws)
-            return [[i for i, w in zip(some, ws, strict=True) if known[w] >= CLOSER] for some, ws in zip(at, cut, strict=True)]
+            at = [some[shares[some]] for some, (_, _, _, shares) in zip(wanted, parts, strict=True)]
+            cut = [[joined[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+                   for some, (joined, start, end, _) in zip(at, parts, strict=True)]
+            new = list({w: None for ws in cut for w in ws if w not in known})
+            buffers = framed(new)
+            known.update(zip(new, (ordinary(buffers) - toxic(buffers)).tolist(), strict=True))
+            closer = []
+            for of, some, ws in zip(found, at, cut, strict=True):
+                d = list(map(known.__getitem__, ws))
+                of.update(zip(ws, d, strict=True))
+                closer.append(some[np.array(d, np.int64) >= CLOSER].tolist())
+            return closer
 
         n = [len(start) for _, start, _, _ in parts]
         first = compare([np.unique(np.append(np.arange(0, m, STRIDE), m - 1)) if m else np.zeros(0, np.int64) for m in n])

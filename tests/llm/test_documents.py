@@ -390,6 +390,16 @@ def test_windows_compared_together_equal_one_text_at_a_time(monkeypatch):
     assert [difference(t) for t in texts] == many(texts)
 
 
+def test_framed_windows_lie_in_one_buffer(monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH", 4)
+    some = [b" a b c ", b"", b" \xc3\xa9 ", b" a b c ", toxicity.FRAME, b" last one "]
+    buffers = toxicity.framed(some)
+    assert [len(b) for b in buffers] == [4, 2] and toxicity.framed([]) == []
+    assert [x.tobytes() for b in buffers for x in b] == [toxicity.FRAME + w + toxicity.FRAME for w in some]
+    size = toxicity.lengths(b"some ordinary words of a dictionary")
+    assert size.each(buffers).tolist() == size.many(some).tolist() == [size(w) for w in some]
+
+
 def test_window_differences_equal_plain_compression():
     rng = np.random.default_rng(6)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 8))) for _ in range(300)]
