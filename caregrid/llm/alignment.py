@@ -83,14 +83,17 @@ def sentence_pieces(path: str) -> Tokens:
 
     gap = re.compile("(?<=[^ ▁]) (?=.)", re.S)  # the sign in a text counts as a space
 
+    def ids(text: str) -> np.ndarray:
+        return model.encode(text, return_type="numpy").astype(np.int64)
+
     def one(text: str) -> np.ndarray:
         if len(text) < LONG or not apart:
-            return np.array(model.encode(text), np.int64)
+            return ids(text)
         parts, at = [], 0
         while at < len(text):
             cut = gap.search(text, at + LONG)
             end = cut.start() if cut else len(text)
-            parts.append(np.array(model.encode(text[at:end]), np.int64))
+            parts.append(ids(text[at:end]))
             at = end + 1  # the model puts this space before the next part
         return np.concatenate(parts)
 
@@ -116,7 +119,7 @@ class Aligner:
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
         self.joined_a, self.joined_b = Joined(a.pieces), Joined(b.pieces)
-        self.names = [f"{i}{sep}" for i in range(max(len(a.pieces), len(b.pieces))) for sep in ",|;"]
+        self.names = np.array([f"{i}{sep}".encode() for i in range(max(len(a.pieces), len(b.pieces))) for sep in ",|;"])  # ends filled up with zeros
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if text:
@@ -142,7 +145,7 @@ class Aligner:
         names = np.empty(len(a) + len(b), np.int64)
         names[np.arange(len(a)) + done_b[np.cumsum(last_a) - last_a]] = 3 * a + last_a
         names[np.arange(len(b)) + done_a[np.cumsum(last_b) - last_b]] = 3 * b + 2 * last_b
-        return "".join(map(self.names.__getitem__, names.tolist()))[:-1]
+        return self.names[names].tobytes().translate(None, b"\0")[:-1].decode()
 
 
 # ---- containers

@@ -110,6 +110,31 @@ def test_long_texts_go_in_parts(monkeypatch):
         monkeypatch.setattr(alignment, "LONG", 1_000_000)
 
 
+def test_group_texts_and_ids_are_made_without_an_object_per_token():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    t = alignment.sentence_pieces(queries.tokenizer_path("piece_bpe_32k.model"))
+    aligner = alignment.Aligner(alignment.Tokens(list, [b"x"] * 70_000), alignment.Tokens(list, [b"x"] * 900))
+    a, b = rng.integers(0, 70_000, 200_000), rng.integers(0, 900, 200_000)
+    ends = rng.random(200_000) < 0.5
+    ends[-1] = True
+    words = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 50_000))
+    tracemalloc.start()
+    got = aligner.text(a, b, ends, ends)
+    of_text = tracemalloc.get_traced_memory()[1]
+    tracemalloc.clear_traces()
+    ids = t.encode([words])[0]
+    of_ids = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    groups, at = [], 0
+    for end in np.flatnonzero(ends) + 1:
+        groups.append("|".join(",".join(map(str, x[at:end].tolist())) for x in (a, b)))
+        at = end
+    assert got == ";".join(groups) and of_text < 60 * (len(a) + len(b))
+    assert ids.dtype == np.int64 and len(ids) > 100_000 and of_ids < 30 * len(ids)
+
+
 def test_planes_add_up():
     times = np.array([1, 2, 3, 7, 8, 100])
     total = np.zeros(6, np.int64)
