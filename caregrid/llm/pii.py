@@ -46,13 +46,12 @@ LEAST = (0.9, 0.55, 0.55, 0.55, 0.55)  # reliabilities are not estimated lower:
 def _matches(generator: str, needs: str, pattern: str) -> Column:
     """Every match with the length of the gap before it and what stands on both sides."""
     text = text_or_empty()
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("value"), gaps.alias("before"),
-                          F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
-    rows = F.transform(zipped, lambda z, i: F.struct(
-        F.lit(generator).alias("generator"), i.alias("nth"), z["value"].alias("value"), F.char_length(z["before"]).alias("gap"),
-        F.lower(F.right(z["before"], F.lit(40))).alias("before"), F.left(z["after"], F.lit(1)).alias("after")))
-    return F.when(text.rlike(needs), F.filter(rows, lambda r: r["value"].isNotNull()))
+    # an array of one: under a condition Spark would split the text anew for every use of the gaps
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("values"), F.split(text, pattern, -1).alias("gaps")))
+    rows = F.transform(once, lambda m: F.transform(m["values"], lambda value, i: F.struct(
+        F.lit(generator).alias("generator"), i.alias("nth"), value.alias("value"), F.char_length(F.get(m["gaps"], i)).alias("gap"),
+        F.lower(F.right(F.get(m["gaps"], i), F.lit(40))).alias("before"), F.left(F.get(m["gaps"], i + 1), F.lit(1)).alias("after"))))
+    return F.when(text.rlike(needs), F.flatten(rows))
 
 
 def _luhn(digits: Column) -> Column:

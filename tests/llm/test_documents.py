@@ -59,6 +59,15 @@ def test_pii_strict_spans_stay(table, nothing):
     assert pii.find(nothing).count() == 0
 
 
+def test_a_text_is_split_once_for_a_generator(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd, c@d.ef"), (2, "a@b.cd"), (3, None)], "doc_id long, text string")
+    name, _, _, needs, pattern = pii.GENERATORS[0]
+    found = docs.select(pii._matches(name, needs, pattern).alias("found"))
+    assert [r[0] and [tuple(x) for x in r[0]] for r in found.collect()] == [
+        [("email", 0, "a@b.cd", 5, "mail ", ","), ("email", 1, "c@d.ef", 2, ", ", "")], [("email", 0, "a@b.cd", 0, "", "")], None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_vote_model_finds_the_reliable_labeler(spark):
     rng, rows = np.random.default_rng(3), []
     for i in range(600):
