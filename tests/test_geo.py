@@ -64,7 +64,7 @@ def test_written_pairs_take_few_bytes(spark, tmp_path):
         return spark.range(0, n, 1, 4).select("id", (F.rand(seed) + 10).alias("a"), (F.rand(seed + 1) + 7).alias("b"))
 
     fac = places(24_000, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("facility_id"), F.col("a").alias("latitude"), F.col("b").alias("longitude"))
-    req = places(600, 5).select(F.col("id").alias("request_id"), F.col("a").alias("lat"), F.col("b").alias("lon"), F.lit(30.0).alias("radius_km"))
+    req = places(200_000, 5).select(F.col("id").alias("request_id"), F.col("a").alias("lat"), F.col("b").alias("lon"), F.lit(1.0).alias("radius_km"))
     fac.write.parquet(str(tmp_path / "facilities"))
     fac, out = spark.read.parquet(str(tmp_path / "facilities")), str(tmp_path / "pairs")  # a table that Spark would broadcast
     candidate_pairs(req, fac).select("request_id", "facility_id", "distance_km").write.parquet(out)
