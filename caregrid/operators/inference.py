@@ -264,6 +264,7 @@ def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, p
     from caregrid.operators.gold import embedding_text
     from caregrid.operators.trust import confidence, trust_flags, trust_score_from_flags
     from caregrid.operators.upsert import update_matched
+    from caregrid.session import stored
 
     spark = gold.sparkSession
     low = gold.where(F.col("trust_score") < params.low_trust_threshold)
@@ -287,11 +288,12 @@ def self_correct(gold: DataFrame, bronze: DataFrame, completer, work_dir: str, p
                                                     "call_error", "input_hash")
         cpath = f"{work_dir}/correct_{it}"
         complete(creq, "messages", completer, concurrency=concurrency).drop("messages").write.mode("overwrite").parquet(cpath)
-        c = parse_replies(spark.read.parquet(cpath).withColumnRenamed("extraction", "_old"), "content", "facility_id")
+        c = spark.read.parquet(cpath)
         audits.append(_audit(c, "correction", "corrector", it, model))
-        fixed = c.where(F.col("extraction").isNotNull()).select(
-            "facility_id", "extraction", "composite_text", "composite_text_length", "facility_type", "numberDoctors",
-            F.lit(it).alias("iterations"))
+        # written before the filter, which would repeat the parse for every field that it reads
+        c = stored(parse_replies(c.drop("extraction"), "content", "facility_id").select(
+            "facility_id", "extraction", "composite_text", "composite_text_length", "facility_type", "numberDoctors"), "corrections")
+        fixed = c.where(F.col("extraction").isNotNull()).withColumn("iterations", F.lit(it))
         fixed = fixed.withColumn("_ctl", F.coalesce("composite_text_length", F.lit(0)))
         fixed = fixed.withColumn("trust_flags", trust_flags("extraction", "facility_type", None, "_ctl")).drop("_ctl")
         fpath = f"{work_dir}/fixed_{it}"
@@ -349,6 +351,7 @@ def pipeline(spark: SparkSession, raw: DataFrame, root: str, completer=None, emb
     from caregrid.operators.deserts import deserts
     from caregrid.operators.gold import heuristic_gold, rule_gold
     from caregrid.operators.upsert import replace_table
+    from caregrid.session import stored
     from caregrid.sources.files import read_table
 
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("bronze", "silver", "silver_failures", "calls", "gold",
@@ -361,8 +364,9 @@ def pipeline(spark: SparkSession, raw: DataFrame, root: str, completer=None, emb
     else:
         run_extract(bronze, completer, paths["silver"], paths["silver_failures"], paths["calls"],
                     concurrency=concurrency).collect()  # one row
-        silver = parse_replies(read_table(spark, paths["silver"]), "extraction_json", "facility_id")
-        gold = rule_gold(silver.select("facility_id", "extraction"), bronze)
+        # written: a filter on the parsed column would be pushed below the parse, which it then repeats for every field it reads
+        silver = parse_replies(read_table(spark, paths["silver"]), "extraction_json", "facility_id").select("facility_id", "extraction")
+        gold = rule_gold(stored(silver, "silver-parsed"), bronze)
     gold = replace_table(spark, gold, paths["gold"], key="facility_id")
     if completer is not None and not skip_correct:
         new_gold, audit = self_correct(gold, bronze, completer, paths["work"], params, concurrency=concurrency)
