@@ -45,7 +45,7 @@ def test_pairs_and_distances_equal_the_exact_formula(spark):
     fac = [(f"f{i}", r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(400)]
     fac += [(f"c{i}", 10 + r.uniform(-0.4, 0.4), 7 + r.uniform(-0.4, 0.4)) for i in range(400)]
     fac += [("same", 10.0, 7.0), ("same", 10.0, 7.0), ("pole", 90.0, 0.0)]
-    req = [(j, 10 + r.uniform(-0.2, 0.2), 7 + r.uniform(-0.2, 0.2), r.choice([0.005, 1.0, 7.25, 30.0])) for j in range(80)]
+    req = [(j, 10 + r.uniform(-0.2, 0.2), 7 + r.uniform(-0.2, 0.2), r.choice([0.005, 1.0, 7.25, 30.0])) for j in range(100)]
     req += [(900, 10.0, 7.0, 1.0), (900, 10.0, 7.0, 1.0), (901, 89.0, 3.0, 400.0), (902, -10.0, -173.0, 7000.0), (903, 0.0, 0.0, 20030.0),
             (904, 0.0, 0.0, None)]
     fdf = spark.createDataFrame(fac, "facility_id string, latitude double, longitude double")
